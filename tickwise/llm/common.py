@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The frame's schema with further fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema, ddl: str, sort: list[str] | None = None) -> DataFrame:
     """Deal rows by key, sort inside each partition and call fn once for each group.
 
