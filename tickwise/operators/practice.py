@@ -77,7 +77,8 @@ def upsert_resets(resets: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _recency(at: Column, now: datetime) -> Column:
-    days = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now)) - F.unix_micros(at)) / 86_400e6)
+    micros = F.timestamp_diff("MICROSECOND", at.cast("timestamp_ntz"), F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz"))
+    days = F.greatest(F.lit(0.0), micros / 86_400e6)
     return F.exp(-days / 30)
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -286,7 +287,7 @@ def check_summaries(drafts: DataFrame, facts: DataFrame, students: DataFrame) ->
     return first.unionByName(unknown).unionByName(wrong).distinct()
 
 
-@pandas_udf("array<int>")  # type: ignore[call-overload]
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def bar_mentions_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """TX6 by Arrow batches, for texts so long that nested array functions are slow; same result as bar_mentions()."""
     import re
