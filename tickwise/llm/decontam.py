@@ -131,7 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, remove:
         return marked.where("cardinality(hits) = 0").select(*docs.columns)
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    where = docs.columns.index("text")
+    names = docs.columns
+    where = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cleaned = []
@@ -145,6 +146,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, remove:
                     at = spans[hits[i + 1] - 1][1]
                 text = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
             cleaned.append(text)
-        return pa.RecordBatch.from_arrays([pa.array(cleaned, type=pa.string()) if i == where else batch.column(i) for i in range(len(docs.columns))], names=docs.columns)
+        return pa.RecordBatch.from_arrays([pa.array(cleaned, type=pa.string()) if i == where else batch.column(i) for i in range(len(names))], names=names)
 
     return map_batches(marked, run, docs.schema)

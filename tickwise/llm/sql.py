@@ -32,9 +32,9 @@ def url_sql(rules=URL_RULES) -> str:
         "u1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u0)",
         "u2 AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(h) + 1), '^[^?#]*') AS path FROM u1)",
         f"u AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS act, host || path AS txt FROM u2)",
-        "t AS (SELECT txt, count(*) FILTER (act = 'allow') AS a, count(*) FILTER (act = 'block') AS r FROM u WHERE txt <> '' GROUP BY txt)",
-        f"e AS (SELECT txt, a, r, unnest([substring(repeat(chr(2), {ORDER - 1}) || txt || chr(3), i, {ORDER}) FOR i IN range(1, length(txt) + 2)]) AS gram FROM t)",
-        f"c{ORDER} AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM e GROUP BY gram)",
+        "t AS (SELECT txt, count(*) FILTER (act = 'allow') AS a, count(*) FILTER (act = 'block') AS r, substring(md5(txt), 1, 1) IN ('0', '1', '2') AS held FROM u WHERE txt <> '' GROUP BY txt)",
+        f"e AS (SELECT txt, a, r, held, unnest([substring(repeat(chr(2), {ORDER - 1}) || txt || chr(3), i, {ORDER}) FOR i IN range(1, length(txt) + 2)]) AS gram FROM t)",
+        f"c{ORDER} AS (SELECT gram, sum(CASE WHEN held THEN 0 ELSE a END) AS a, sum(CASE WHEN held THEN 0 ELSE r END) AS r FROM e GROUP BY gram)",
     ]
     for k in range(ORDER - 1, 0, -1):
         ctes.append(f"c{k} AS (SELECT substring(gram, 2) AS gram, sum(a) AS a, sum(r) AS r FROM c{k + 1} GROUP BY 1)")
@@ -43,8 +43,8 @@ def url_sql(rules=URL_RULES) -> str:
         low = (f"{1 / ALPHABET!r}", f"{1 / ALPHABET!r}", "") if k == 1 else ("q.pa", "q.pr", f"JOIN p{k - 1} q ON q.gram = substring(c.gram, 2)")
         ctes.append(f"p{k} AS (SELECT c.gram, CASE WHEN na = 0 THEN {low[0]} ELSE (c.a + ta * {low[0]}) / (na + ta) END AS pa, CASE WHEN nr = 0 THEN {low[1]} ELSE (c.r + tr * {low[1]}) / (nr + tr) END AS pr FROM c{k} c JOIN x{k} x ON x.ctx = substring(c.gram, 1, {k - 1}) {low[2]})")
     ctes += [
-        f"s AS (SELECT txt, any_value(e.a) AS a, any_value(e.r) AS r, round(avg(ln(pa) - ln(pr)), 9) AS score FROM e JOIN p{ORDER} p USING (gram) GROUP BY txt)",
-        "m AS (SELECT sum(a * score) / nullif(sum(a), 0) AS ma, sum(r * score) / nullif(sum(r), 0) AS mr, sum(a * score * score) / nullif(sum(a), 0) AS qa, sum(r * score * score) / nullif(sum(r), 0) AS qr FROM s)",
+        f"s AS (SELECT txt, any_value(e.a) AS a, any_value(e.r) AS r, any_value(held) AS held, round(avg(ln(pa) - ln(pr)), 9) AS score FROM e JOIN p{ORDER} p USING (gram) GROUP BY txt)",
+        "m AS (SELECT sum(a * score) / nullif(sum(a), 0) AS ma, sum(r * score) / nullif(sum(r), 0) AS mr, sum(a * score * score) / nullif(sum(a), 0) AS qa, sum(r * score * score) / nullif(sum(r), 0) AS qr FROM s WHERE held)",
         "v AS (SELECT ma, mr, sqrt(greatest(qa - ma * ma, 0)) AS sa, sqrt(greatest(qr - mr * mr, 0)) AS sr FROM m)",
         "h AS (SELECT CASE WHEN ma IS NULL OR mr IS NULL THEN 0 WHEN sa + sr > 0 THEN round((ma * sr + mr * sa) / (sa + sr), 6) ELSE round((ma + mr) / 2, 6) END AS threshold FROM v)",
     ]

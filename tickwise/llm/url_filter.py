@@ -2,8 +2,9 @@
 
 Both models are variable-order Markov models over the characters of host and path, with Witten-Bell
 smoothing down to single characters: one of URLs that a rule accepts, one of URLs that a rule rejects.
-A URL's score is the difference of its log-likelihoods divided by its length; the threshold is where
-both classes of learning URLs are equally many standard deviations away.
+A URL's score is the difference of its log-likelihoods divided by its length. Three sixteenths of the
+labelled URLs, by a hash, are left out of the counts and calibrate the threshold: it is where both
+classes of them are equally many standard deviations away.
 
 DataFrame functions only. Counts are kept for the longest order; each shorter order is summed from the
 next longer one, and smoothed probabilities are joined upwards, so URLs themselves are exploded once.
@@ -68,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     rules are (action, host, path): a rule fits its host and all subdomains where the path starts with
     the rule's, and the longest that fits decides. Where none does, verdict is allow if the models'
     score reaches the threshold. An empty host and path are no evidence: allow, score null. Without
-    URLs of both classes to learn from, the threshold is 0 and unseen classes are uniform. Every input
+    calibrating URLs of both classes the threshold is 0; a class without URLs is uniform. Every input
     row gives one row; input columns with these names are replaced.
     """
     pages = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")])
@@ -77,11 +78,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_act": action, "_txt": F.concat("host", "path")})
 
-    texts = judged.where("_txt <> ''").groupBy("_txt").agg(F.count_if(F.col("_act") == "allow").alias("a"), F.count_if(F.col("_act") == "block").alias("r"))
+    texts = judged.where("_txt <> ''").groupBy("_txt").agg(F.count_if(F.col("_act") == "allow").alias("a"), F.count_if(F.col("_act") == "block").alias("r"), F.substring(F.md5("_txt"), 1, 1).isin("0", "1", "2").alias("out"))
     padded = F.concat(F.lit(START * (ORDER - 1)), "_txt", F.lit(END))
-    each = texts.select(F.xxhash64("_txt").alias("h1"), F.xxhash64(F.lit(1), "_txt").alias("h2"), "a", "r", F.explode(F.transform(F.sequence(F.lit(1), F.length("_txt") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
-    ratios = _ratios(each.select("gram", "a", "r"))
-    scored = cut(each.select("h1", "h2", "a", "r", "gram").join(ratios, "gram").groupBy("h1", "h2").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("a").alias("a"), F.first("r").alias("r")))
+    each = texts.select(F.xxhash64("_txt").alias("h1"), F.xxhash64(F.lit(1), "_txt").alias("h2"), "a", "r", "out", F.explode(F.transform(F.sequence(F.lit(1), F.length("_txt") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
+    learned = lambda c: F.when(F.col("out"), 0).otherwise(F.col(c)).cast("long").alias(c)
+    ratios = _ratios(each.select("gram", learned("a"), learned("r")))
+    scored = cut(each.select("h1", "h2", "a", "r", "out", "gram").join(ratios, "gram").groupBy("h1", "h2").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("a").alias("a"), F.first("r").alias("r"), F.first("out").alias("out")))
 
     def weighted(c: str) -> list[Column]:
         w = F.col(c)
@@ -89,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
         square = F.try_divide(F.sum(w * F.col("score") * F.col("score")), F.sum(w))
         return [mean.alias(f"m{c}"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias(f"s{c}")]
 
-    got = scored.agg(*weighted("a"), *weighted("r")).first()
+    got = scored.where("out").agg(*weighted("a"), *weighted("r")).first()
     threshold = 0.0
     if got.ma is not None and got.mr is not None:
         spread = got.sa + got.sr
