@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickwise.functions.notation import DRUMS, DURATIONS, GM_NOTES, PITCH_DRUMS
+from tickwise.operators import manifest as mf
 from tickwise.operators import text_checks as tx
 from tickwise.plans.sql import EVENTS, SQL, pick
 
@@ -67,7 +68,7 @@ say("ev13_bar_to_truth", EVENTS, "SELECT score_id, bar_number, CAST(onset_ticks
 say("ev14_compare_bars", NOTES, "SELECT item_id, exact, tn AS onsets_truth, pn AS onsets_predicted, oc AS onsets_matched, hn::BIGINT AS hits_truth, rn::BIGINT AS hits_predicted, hc AS hits_matched, oc AS durations_compared, od AS durations_matched FROM cp")
 say("ev15_benchmark_summary", NOTES, """, r AS (SELECT 'set' || item_id % 2 AS "set", 'p' || item_id % 3 AS provider, item_id % 1000 + 1 AS ms, item_id % 13 <> 0 AS ok, cp.* FROM cp), a AS (SELECT "set", provider, count(*) AS bars, count(*) FILTER (ok) AS answered, count(*) FILTER (ok AND exact) AS ne, sum(tn) FILTER (ok) AS tn, sum(pn) FILTER (ok) AS pn, sum(oc) FILTER (ok) AS oc, sum(hn) FILTER (ok) AS hn, sum(rn) FILTER (ok) AS rn, sum(hc) FILTER (ok) AS hc, sum(od) FILTER (ok) AS od, quantile_disc(ms, 0.5) FILTER (ok) AS p50_ms, quantile_disc(ms, 0.95) FILTER (ok) AS p95_ms FROM r GROUP BY ALL) SELECT "set", provider, bars, answered, bars - answered AS errors, floor((bars - answered) * 1000.0 / bars + 0.5) / 10.0 AS error_rate, floor(ne * 1000.0 / bars + 0.5) / 10.0 AS exact_bars, floor(2000.0 * oc / (tn + pn) + 0.5) / 10.0 AS onset_f1, floor(2000.0 * hc / (hn + rn) + 0.5) / 10.0 AS drum_hit_f1, floor(od * 1000.0 / oc + 0.5) / 10.0 AS duration_accuracy, CAST(p50_ms AS DOUBLE) AS p50_ms, CAST(p95_ms AS DOUBLE) AS p95_ms FROM a""")
 say("ev17_segmentation", BOXES, ", p AS (SELECT 's' || doc_id % 2 AS source, doc_id, page, count(*) FILTER (box_id % 9 <> 0) AS expected, count(*) AS found FROM bx GROUP BY doc_id, page) SELECT source, count(*) AS pages, count(*) FILTER (found = expected) AS exact, sum(expected)::BIGINT AS expected, sum(found)::BIGINT AS found, sum(abs(found - expected))::BIGINT AS abs_error FROM p WHERE expected <> 0 GROUP BY 1")
-say("pr2_late_attempts", PRACTICE, "SELECT session_id, bpm, clean, CASE WHEN \"at\" < started_at THEN 'before the session' ELSE 'after the session' END AS problem FROM (SELECT a.session_id, a.\"at\" + CASE WHEN bpm % 7 = 0 THEN INTERVAL 40 MINUTE WHEN bpm % 7 = 1 THEN INTERVAL -40 MINUTE ELSE INTERVAL 0 MINUTE END AS \"at\", bpm, clean, started_at, ended_at FROM aa a JOIN ss USING (session_id)) WHERE \"at\" < started_at OR \"at\" > ended_at")
+say("pr2_late_attempts", PRACTICE, "SELECT session_id, bpm, clean, CASE WHEN \"at\" < started_at THEN 'before the session' ELSE 'after the session' END AS problem FROM (SELECT a.session_id, a.\"at\" + CASE WHEN bpm % 7 = 0 THEN INTERVAL 40 MINUTE WHEN bpm % 7 = 1 THEN -INTERVAL 40 MINUTE ELSE INTERVAL 0 MINUTE END AS \"at\", bpm, clean, started_at, ended_at FROM aa a JOIN ss USING (session_id)) WHERE \"at\" < started_at OR \"at\" > ended_at")
 say("pr4_session_summary", PRACTICE, ", x AS (SELECT session_id, count(*) AS n FROM aa GROUP BY 1), p AS (SELECT student_id, count(*) AS sessions, sum(minutes) AS minutes, coalesce(sum(n), 0)::BIGINT AS attempts FROM ss LEFT JOIN x USING (session_id) GROUP BY 1), d AS (SELECT student_id, count(*) AS c FROM gg WHERE status = 'done' GROUP BY 1) SELECT c_custkey AS student_id, coalesce(sessions, 0) AS sessions, coalesce(minutes, 0) AS minutes, coalesce(attempts, 0) AS attempts, coalesce(d.c, 0) AS completed_assignments FROM customer LEFT JOIN p ON c_custkey = p.student_id LEFT JOIN d ON c_custkey = d.student_id")
 say("pr4_ranges", PRACTICE, "SELECT student_id, score_id, from_bar, to_bar, count(bpm) AS attempts, coalesce(max(bpm) FILTER (clean), 0) AS best_clean_bpm FROM ss LEFT JOIN aa USING (session_id) GROUP BY ALL")
 say("pr5_assignments", PRACTICE, "SELECT assignment_id, student_id, row_number() OVER (PARTITION BY student_id ORDER BY due_date NULLS LAST, created_at, assignment_id) AS place FROM gg")
@@ -104,3 +105,17 @@ rd AS (SELECT *, (CASE WHEN dotted THEN 'dotted_' ELSE '' END) || (CASE WHEN tri
 rm AS (SELECT song, bar, onset, arg_min(name, -v * 1000 + arrival) FILTER (gp5 OR NOT rest OR arrival = 1) AS duration, bool_and(rest) AS is_rest, bool_or(grace) AS flam, coalesce(list_sort(list(DISTINCT drum) FILTER (NOT rest)), []) AS drums, arg_min(v, -v * 1000 + arrival) FILTER (gp5 OR NOT rest OR arrival = 1) AS v FROM rd GROUP BY ALL)"""
 say("lb8_bar_labels", RAW, "SELECT song, bar, count(*) AS n_beats, string_agg(duration || ':' || array_to_string(drums, '+') || CASE WHEN flam THEN '!' ELSE '' END, ' ' ORDER BY onset) AS beats, bool_and(is_rest AND v = 1) AS simile FROM rm GROUP BY ALL")
 say("lb10_unmapped_pitches", RAW, f"SELECT song, bar, midi, count(*) AS n FROM rb WHERE NOT rest AND midi NOT IN ({', '.join(map(str, PITCH_DRUMS))}) GROUP BY ALL")
+
+
+def _title(name: str) -> str:
+    step = lambda x, pattern, to="": f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    s = f"lower(translate({step(name, r'[0-9]{2}-[0-9]{2}-[0-9]{4}')}, '_-', '  '))"
+    s = f"split_part(split_part({s}, 'songsterr', 1), 'drum tab', 1)"
+    s = step(s, rf"\b(?:{mf._MONTH})\.?\s*[0-9]{{0,2}},?\s*[0-9]{{4}}\b|\b20[0-9]{{2}}\b")
+    s = step(step(s, r"\b[0-9]{1,4}\b"), r"\bby\s+(?:" + "|".join(mf.BANDS) + r")\b")
+    for band in sorted(mf.BANDS, key=len, reverse=True):
+        s = step(s, rf"^\s*{band}\s+")
+    return f"trim({step(step(s, '[,.' + chr(39) * 2 + ']'), r'\s+', ' ')})"
+
+
+say("mf1_normalise_title", f"t AS (SELECT p_partkey AS doc, {pick(('Rush ', 'AC_DC-', '', 'The Eagles '), 'p_partkey % 4')} || p_name || {pick((' Drum Tab', '-05-30-2024', ' by Rush', ' songsterr full', ' Jan. 3, 2021'), 'p_partkey % 5')} AS name FROM part)", f"SELECT doc, {_title('name')} AS title FROM t")
