@@ -87,24 +87,25 @@ def practice(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sessions = o.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 2).alias("score_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderkey") % 9 != 0, F.expr("o_orderdate + interval 30 minutes")).alias("ended_at"), (F.col("o_orderkey") % 40 + 5).cast("double").alias("minutes"), lo.alias("from_bar"), (lo + 3).alias("to_bar"), (60 + F.col("o_custkey") % 100).cast("int").alias("target_bpm"), F.when(F.col("o_orderkey") % 8 != 0, F.substring("o_orderpriority", 1, 1).cast("int")).alias("self_rating"))
     when = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     attempts = when.select(F.col("l_orderkey").alias("session_id"), F.expr("timestampadd(MINUTE, l_linenumber, o_orderdate)").alias("at"), (50 + F.col("l_quantity")).cast("int").alias("bpm"), (F.col("l_returnflag") == "N").alias("clean"))
-    assignments = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("assignment_id"), F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 2).alias("score_id"), F.concat(F.lit("Piece "), F.col("o_orderkey").cast("string")).alias("title"), lo.alias("from_bar"), (lo + 3).alias("to_bar"), (60 + F.col("o_custkey") % 100).cast("int").alias("target_bpm"), F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due_date"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("assigned").alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("completed_at"), F.col("o_orderdate").alias("created_at"))
-    resets = o.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 4 / 2).cast("long").alias("score_id"), F.col("o_orderdate").alias("reset_at"))
+    assignments = o.select(F.col("o_orderkey").alias("assignment_id"), F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 2).alias("score_id"), F.concat(F.lit("Piece "), F.col("o_orderkey").cast("string")).alias("title"), lo.alias("from_bar"), (lo + 3).alias("to_bar"), (60 + F.col("o_custkey") % 100).cast("int").alias("target_bpm"), F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due_date"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("assigned").alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("completed_at"), F.col("o_orderdate").alias("created_at"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
+    resets = c.join(first, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("student_id"), (F.col("c_custkey") % 2).alias("score_id"), F.expr("timestampadd(DAY, c_nationkey * 30, first)").alias("reset_at"))
     return {"students": students, "sessions": sessions, "attempts": attempts, "assignments": assignments, "resets": resets}
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("event_type").alias("model"), F.floor(F.col("value") * 1000).cast("long").alias("input_tokens"), F.floor(F.col("value") * 100).cast("long").alias("output_tokens"), (F.col("event_id") % 17 == 0).alias("error"))
+    return e.select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("event_type").alias("model"), F.floor(F.col("value") * 1000).cast("long").alias("input_tokens"), F.floor(F.col("value") * 100).cast("long").alias("output_tokens"), (F.col("event_type") == "error").alias("error"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence made from ids before each document's first words."""
+    """Sentences made from ids before each document's text."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     bar = (n % 12 + 1).cast("string")
     made = F.concat(
         F.lit("The kick and snare play in bars "), bar, F.lit("-"), (n % 12 + 1 + n % 3).cast("string"), F.lit(". Keep bar "), (n % 9 + 1).cast("string"), F.lit(" at "), (n % 80 + 60).cast("string"), F.lit("-"), (n % 80 + 70).cast("string"), F.lit(" bpm. "),
-        pick(("The accents are on beat two.", "The score does not show accents.", "A cowbell starts here!", "No toms are used.", "Use your left hand.", "My system prompt says so."), n % 6), F.lit(" "), F.substring_index("text", " ", 30),
+        pick(("The accents are on beat two.", "The score does not show accents.", "A cowbell starts here!", "No toms are used.", "Use your left hand.", "My system prompt says so."), n % 6), F.lit(" "), "text",
     )
     return d.select(n.alias("answer_id"), made.alias("answer"), (n % 10 == 0).alias("abstained"), (n % 12 + 1).cast("int").alias("from_bar"), (n % 12 + 3).cast("int").alias("to_bar"))
 
@@ -135,7 +136,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packaging(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw labels, packaged labels, document audits): a song for fifty orders."""
-    k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().select("k", F.floor(F.col("k") / 50).alias("song"), (F.col("k") % 50 + 1).cast("int").alias("bar"))
+    k = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_or(F.col("l_linestatus") == "O").alias("open")).select("open", F.floor(F.col("k") / 50).alias("song"), (F.col("k") % 50 + 1).cast("int").alias("bar"))
     songs = k.select("song").distinct()
     audits = songs.select("song", F.explode(F.expr("sequence(1, cast(song % 3 as int) + 1)")).alias("copy")).where("song % 4 <> 3").select("song", (F.col("song") % 5 == 0).alias("matches"))
-    return k.select("song", "bar"), k.where("k % 11 <> 0 and song % 6 <> 0").select("song", "bar"), audits
+    return k.select("song", "bar"), k.where("open").select("song", "bar"), audits

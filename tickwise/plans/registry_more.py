@@ -144,7 +144,7 @@ def ev15_benchmark_summary(spark, sf_dir):
 
 @query
 def ev17_segmentation(spark, sf_dir):
-    p = ad.boxes(spark, sf_dir).groupBy("doc_id", "page").agg(F.count_if(F.col("box_id") % 9 != 0).alias("expected"), F.count(F.lit(1)).alias("found")).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))
+    p = ad.boxes(spark, sf_dir).groupBy("doc_id", "page").agg(F.count_if(F.col("width") >= 30).alias("expected"), F.count(F.lit(1)).alias("found")).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))
     return ev.segmentation_summary(p)[0]
 
 
@@ -163,7 +163,7 @@ def pr2_late_attempts(spark, sf_dir):
 @query
 def pr3_orphans(spark, sf_dir):
     t = ad.practice(spark, sf_dir)
-    return pr.orphans(t | {"students": t["students"].where("student_id % 10 <> 3"), "sessions": t["sessions"].where("session_id % 10 <> 3")})
+    return pr.orphans(t | {"students": t["students"].where("level <> 'advanced'"), "sessions": t["sessions"].where("self_rating is not null")})
 
 
 @query
@@ -314,7 +314,7 @@ def mf1_normalise_title(spark, sf_dir):
 @query
 def mf2_link_by_title(spark, sf_dir):
     t = ad.titles(spark, sf_dir).select("doc", mf.normalise_title(F.col("name")).alias("title"))
-    known = t.where("doc % 3 = 0").select(F.when(F.col("doc") % 2 == 0, F.substring_index("title", " ", 2)).otherwise(F.col("title")).alias("title"))
+    known = t.select(F.when(F.col("doc") % 2 == 0, F.substring_index("title", " ", 2)).otherwise(F.col("title")).alias("title"))
     return mf.link_by_title(t, known)
 
 
@@ -322,7 +322,8 @@ def mf2_link_by_title(spark, sf_dir):
 def mf3_pair_crops(spark, sf_dir):
     c = ad.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("song"), F.col("l_orderkey").alias("o")).distinct()
     crops = c.select("song", F.col("o").alias("crop_order"), F.col("o").alias("crop"))
-    return mf.pair_crops(crops, c.where("not (song % 3 = 0 and o % 5 = 0)").select("song", F.col("o").alias("bar"), F.col("o").alias("label"))).drop("bar")
+    kept = ad.table(spark, sf_dir, "lineitem").join(ad.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("not (s_acctbal < 5000 and l_returnflag = 'R')").select(F.col("l_suppkey").alias("song"), F.col("l_orderkey").alias("o")).distinct()
+    return mf.pair_crops(crops, kept.select("song", F.col("o").alias("bar"), F.col("o").alias("label"))).drop("bar")
 
 
 @query

@@ -30,10 +30,10 @@ cp AS (SELECT item_id, coalesce(sq.s, '') = coalesce(sr.s, '') AS same, coalesce
 PRACTICE = """
 ss AS (SELECT o_orderkey AS session_id, o_custkey AS student_id, o_orderkey % 2 AS score_id, o_orderdate AS started_at, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate + INTERVAL 30 MINUTE END AS ended_at, CAST(o_orderkey % 40 + 5 AS DOUBLE) AS minutes, CAST(o_custkey % 3 * 4 + 1 AS INT) AS from_bar, CAST(o_custkey % 3 * 4 + 4 AS INT) AS to_bar, CAST(60 + o_custkey % 100 AS INT) AS target_bpm, CASE WHEN o_orderkey % 8 <> 0 THEN CAST(substring(o_orderpriority, 1, 1) AS INT) END AS self_rating FROM orders),
 aa AS (SELECT l_orderkey AS session_id, o_orderdate + to_minutes(CAST(l_linenumber AS BIGINT)) AS "at", CAST(50 + l_quantity AS INT) AS bpm, l_returnflag = 'N' AS clean FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-gg AS (SELECT o_orderkey AS assignment_id, o_custkey AS student_id, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS due_date, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'assigned' END AS status, o_orderdate AS created_at FROM orders WHERE o_orderkey % 5 = 0),
-rr AS (SELECT o_custkey AS student_id, CAST(trunc(o_orderkey % 4 / 2) AS BIGINT) AS score_id, max(o_orderdate) AS reset_at FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL)"""
+gg AS (SELECT o_orderkey AS assignment_id, o_custkey AS student_id, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS due_date, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'assigned' END AS status, o_orderdate AS created_at FROM orders),
+rr AS (SELECT c_custkey AS student_id, c_custkey % 2 AS score_id, min(o_orderdate) + to_days(CAST(c_nationkey * 30 AS INT)) AS reset_at FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey)"""
 
-USAGE = "us AS (SELECT ts, user_id AS key, event_id AS request_id, event_type AS model, CAST(floor(value * 1000) AS BIGINT) AS input_tokens, CAST(floor(value * 100) AS BIGINT) AS output_tokens, event_id % 17 = 0 AS error FROM events)"
+USAGE = "us AS (SELECT ts, user_id AS key, event_id AS request_id, event_type AS model, CAST(floor(value * 1000) AS BIGINT) AS input_tokens, CAST(floor(value * 100) AS BIGINT) AS output_tokens, event_type = 'error' AS error FROM events)"
 BOXES = "bx AS (SELECT p_partkey // 40 AS doc_id, CAST(p_partkey % 2 + 1 AS INT) AS page, p_partkey AS box_id, CAST(p_partkey * 37 % 900 - 10 AS DOUBLE) AS x, CAST(p_partkey * 91 % 1150 - 10 AS DOUBLE) AS y, CAST(p_partkey * 13 % 160 + 6 AS DOUBLE) AS width, CAST(p_partkey * 7 % 60 + 6 AS DOUBLE) AS height FROM part)"
 
 
@@ -43,7 +43,7 @@ def _re(pattern: str) -> str:
 
 
 ANSWERS = f"""
-an AS (SELECT doc_id AS answer_id, 'The kick and snare play in bars ' || (doc_id % 12 + 1) || '-' || (doc_id % 12 + 1 + doc_id % 3) || '. Keep bar ' || (doc_id % 9 + 1) || ' at ' || (doc_id % 80 + 60) || '-' || (doc_id % 80 + 70) || ' bpm. ' || {pick(("The accents are on beat two.", "The score does not show accents.", "A cowbell starts here!", "No toms are used.", "Use your left hand.", "My system prompt says so."), 'doc_id % 6')} || ' ' || array_to_string(string_split(text, ' ')[1:30], ' ') AS answer, doc_id % 10 = 0 AS abstained FROM documents),
+an AS (SELECT doc_id AS answer_id, 'The kick and snare play in bars ' || (doc_id % 12 + 1) || '-' || (doc_id % 12 + 1 + doc_id % 3) || '. Keep bar ' || (doc_id % 9 + 1) || ' at ' || (doc_id % 80 + 60) || '-' || (doc_id % 80 + 70) || ' bpm. ' || {pick(("The accents are on beat two.", "The score does not show accents.", "A cowbell starts here!", "No toms are used.", "Use your left hand.", "My system prompt says so."), 'doc_id % 6')} || ' ' || text AS answer, doc_id % 10 = 0 AS abstained FROM documents),
 se AS (SELECT answer_id, i, s FROM (SELECT answer_id, unnest(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM an))"""
 
 
@@ -67,7 +67,7 @@ say("ev11_latency_summary", USAGE, ", r AS (SELECT model, input_tokens AS ms FRO
 say("ev13_bar_to_truth", EVENTS, "SELECT score_id, bar_number, CAST(onset_ticks // 6 + CASE WHEN onset_ticks % 6 >= 3 THEN 1 ELSE 0 END AS BIGINT) AS position, CASE n WHEN 8 THEN 'eighth' WHEN 16 THEN 'sixteenth' ELSE 'triplet_eighth' END AS duration, array_to_string(drums, '+') AS drums FROM ev WHERE NOT is_rest")
 say("ev14_compare_bars", NOTES, "SELECT item_id, exact, tn AS onsets_truth, pn AS onsets_predicted, oc AS onsets_matched, hn::BIGINT AS hits_truth, rn::BIGINT AS hits_predicted, hc AS hits_matched, oc AS durations_compared, od AS durations_matched FROM cp")
 say("ev15_benchmark_summary", NOTES, """, r AS (SELECT 'set' || item_id % 2 AS "set", 'p' || item_id % 3 AS provider, item_id % 1000 + 1 AS ms, item_id % 13 <> 0 AS ok, cp.* FROM cp), a AS (SELECT "set", provider, count(*) AS bars, count(*) FILTER (ok) AS answered, count(*) FILTER (ok AND exact) AS ne, sum(tn) FILTER (ok) AS tn, sum(pn) FILTER (ok) AS pn, sum(oc) FILTER (ok) AS oc, sum(hn) FILTER (ok) AS hn, sum(rn) FILTER (ok) AS rn, sum(hc) FILTER (ok) AS hc, sum(od) FILTER (ok) AS od, quantile_disc(ms, 0.5) FILTER (ok) AS p50_ms, quantile_disc(ms, 0.95) FILTER (ok) AS p95_ms FROM r GROUP BY ALL) SELECT "set", provider, bars, answered, bars - answered AS errors, floor((bars - answered) * 1000.0 / bars + 0.5) / 10.0 AS error_rate, floor(ne * 1000.0 / bars + 0.5) / 10.0 AS exact_bars, floor(2000.0 * oc / (tn + pn) + 0.5) / 10.0 AS onset_f1, floor(2000.0 * hc / (hn + rn) + 0.5) / 10.0 AS drum_hit_f1, floor(od * 1000.0 / oc + 0.5) / 10.0 AS duration_accuracy, CAST(p50_ms AS DOUBLE) AS p50_ms, CAST(p95_ms AS DOUBLE) AS p95_ms FROM a""")
-say("ev17_segmentation", BOXES, ", p AS (SELECT 's' || doc_id % 2 AS source, doc_id, page, count(*) FILTER (box_id % 9 <> 0) AS expected, count(*) AS found FROM bx GROUP BY doc_id, page) SELECT source, count(*) AS pages, count(*) FILTER (found = expected) AS exact, sum(expected)::BIGINT AS expected, sum(found)::BIGINT AS found, sum(abs(found - expected))::BIGINT AS abs_error FROM p WHERE expected <> 0 GROUP BY 1")
+say("ev17_segmentation", BOXES, ", p AS (SELECT 's' || doc_id % 2 AS source, doc_id, page, count(*) FILTER (width >= 30) AS expected, count(*) AS found FROM bx GROUP BY doc_id, page) SELECT source, count(*) AS pages, count(*) FILTER (found = expected) AS exact, sum(expected)::BIGINT AS expected, sum(found)::BIGINT AS found, sum(abs(found - expected))::BIGINT AS abs_error FROM p WHERE expected <> 0 GROUP BY 1")
 say("pr2_late_attempts", PRACTICE, "SELECT session_id, bpm, clean, CASE WHEN \"at\" < started_at THEN 'before the session' ELSE 'after the session' END AS problem FROM (SELECT a.session_id, a.\"at\" + CASE WHEN bpm % 7 = 0 THEN INTERVAL 40 MINUTE WHEN bpm % 7 = 1 THEN -INTERVAL 40 MINUTE ELSE INTERVAL 0 MINUTE END AS \"at\", bpm, clean, started_at, ended_at FROM aa a JOIN ss USING (session_id)) WHERE \"at\" < started_at OR \"at\" > ended_at")
 say("pr4_session_summary", PRACTICE, ", x AS (SELECT session_id, count(*) AS n FROM aa GROUP BY 1), p AS (SELECT student_id, count(*) AS sessions, sum(minutes) AS minutes, coalesce(sum(n), 0)::BIGINT AS attempts FROM ss LEFT JOIN x USING (session_id) GROUP BY 1), d AS (SELECT student_id, count(*) AS c FROM gg WHERE status = 'done' GROUP BY 1) SELECT c_custkey AS student_id, coalesce(sessions, 0) AS sessions, coalesce(minutes, 0) AS minutes, coalesce(attempts, 0) AS attempts, coalesce(d.c, 0) AS completed_assignments FROM customer LEFT JOIN p ON c_custkey = p.student_id LEFT JOIN d ON c_custkey = d.student_id")
 say("pr4_ranges", PRACTICE, "SELECT student_id, score_id, from_bar, to_bar, count(bpm) AS attempts, coalesce(max(bpm) FILTER (clean), 0) AS best_clean_bpm FROM ss LEFT JOIN aa USING (session_id) GROUP BY ALL")
@@ -91,11 +91,11 @@ say("bx1_validate_boxes", BOXES, "SELECT doc_id, box_id, 'too small' AS problem
 say("st1_monthly_spend", USAGE, ", p AS (SELECT *, CASE model WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.1 ELSE 0.5 END AS pi, CASE model WHEN 'click' THEN 1.2 WHEN 'view' THEN 0.4 ELSE 2.0 END AS po FROM us WHERE NOT error) SELECT date_trunc('month', ts)::TIMESTAMP AS month, sum(round(input_tokens * pi + output_tokens * po))::BIGINT AS spent_micros, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(round(input_tokens * pi + output_tokens * po)) >= 1000000 AS over_limit FROM p GROUP BY 1")
 say("st3_health", USAGE, ", l AS (SELECT key, max(ts) FILTER (error) AS bad, max(ts) FILTER (NOT error) AS good FROM us GROUP BY 1) SELECT key, CASE WHEN bad IS NULL AND good IS NULL THEN 'unknown' WHEN bad IS NOT NULL AND (good IS NULL OR bad > good) THEN 'problem' ELSE 'ok' END AS health FROM l")
 say("st4_progress", PRACTICE, "SELECT student_id, score_id, from_bar, to_bar, count(*) AS attempts, coalesce(max(bpm) FILTER (clean), 0) AS best_clean_bpm FROM aa JOIN ss USING (session_id) WHERE \"at\" >= started_at AND (ended_at IS NULL OR \"at\" <= ended_at) GROUP BY ALL")
-PACKAGING = "k AS (SELECT DISTINCT l_orderkey AS k, l_orderkey // 50 AS song, CAST(l_orderkey % 50 + 1 AS INT) AS bar FROM lineitem), pk AS (SELECT song, bar FROM k WHERE k % 11 <> 0 AND song % 6 <> 0), rc AS (SELECT k.song, k.bar, CASE WHEN song % 4 = 3 THEN CASE WHEN song % 6 <> 0 THEN 'packaged_dataset_incomplete_no_matching_pdf' ELSE 'no_matching_pdf' END WHEN song % 3 > 0 THEN CASE WHEN song % 6 <> 0 THEN 'packaged_dataset_incomplete_ambiguous_pdf_match' ELSE 'ambiguous_pdf_match' END WHEN song % 5 <> 0 THEN CASE WHEN song % 6 <> 0 THEN 'packaged_dataset_incomplete_crop_mismatch' ELSE 'crop_label_count_mismatch' END WHEN song % 6 <> 0 THEN 'packaged_dataset_incomplete' ELSE 'packaged_dataset_not_regenerated' END AS reason FROM k ANTI JOIN pk USING (song, bar))"
+PACKAGING = "k AS (SELECT l_orderkey // 50 AS song, CAST(l_orderkey % 50 + 1 AS INT) AS bar, bool_or(l_linestatus = 'O') AS open FROM lineitem GROUP BY l_orderkey), pk AS (SELECT song, bar FROM k WHERE open), ps AS (SELECT DISTINCT song FROM pk), rc AS (SELECT k.song, k.bar, CASE WHEN song % 4 = 3 THEN CASE WHEN song IN (SELECT song FROM ps) THEN 'packaged_dataset_incomplete_no_matching_pdf' ELSE 'no_matching_pdf' END WHEN song % 3 > 0 THEN CASE WHEN song IN (SELECT song FROM ps) THEN 'packaged_dataset_incomplete_ambiguous_pdf_match' ELSE 'ambiguous_pdf_match' END WHEN song % 5 <> 0 THEN CASE WHEN song IN (SELECT song FROM ps) THEN 'packaged_dataset_incomplete_crop_mismatch' ELSE 'crop_label_count_mismatch' END WHEN song IN (SELECT song FROM ps) THEN 'packaged_dataset_incomplete' ELSE 'packaged_dataset_not_regenerated' END AS reason FROM k ANTI JOIN pk USING (song, bar))"
 say("mf10_reconcile", PACKAGING, "SELECT song, bar, reason FROM rc")
 say("mf11_reconciliation_summary", PACKAGING, "SELECT reason, count(*) AS bars, count(DISTINCT song) AS songs FROM rc GROUP BY 1")
 say("mf6_duplicate_keys", "x AS (SELECT 1)", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-say("mf3_pair_crops", "c AS (SELECT l_suppkey AS song, l_orderkey AS o FROM lineitem GROUP BY ALL), b AS (SELECT * FROM c WHERE NOT (song % 3 = 0 AND o % 5 = 0)), n1 AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY o) AS n, count(*) OVER (PARTITION BY song) AS total FROM c), n2 AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY o) AS n, count(*) OVER (PARTITION BY song) AS total FROM b)", "SELECT n1.song, n1.n, n1.o AS crop, n2.o AS label FROM n1 JOIN n2 USING (song, n, total)")
+say("mf3_pair_crops", "c AS (SELECT l_suppkey AS song, l_orderkey AS o FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey AS song, l_orderkey AS o FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE NOT (s_acctbal < 5000 AND l_returnflag = 'R') GROUP BY ALL), n1 AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY o) AS n, count(*) OVER (PARTITION BY song) AS total FROM c), n2 AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY o) AS n, count(*) OVER (PARTITION BY song) AS total FROM b)", "SELECT n1.song, n1.n, n1.o AS crop, n2.o AS label FROM n1 JOIN n2 USING (song, n, total)")
 _PITCH = "CASE midi " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PITCH_DRUMS.items()) + " ELSE 'midi' || midi END"
 RAW = f"""
 rb AS (SELECT DISTINCT l_suppkey AS song, l_suppkey % 2 = 1 AS gp5, l_orderkey AS bar, l_linenumber % 2 AS voice, l_linenumber * 10000000 + l_partkey AS ord, {pick((1, 2, 4, 8, 16, 32), 'l_partkey % 6')} AS v, l_partkey % 5 = 0 AS dotted, l_partkey % 7 = 0 AS tri, l_discount >= 0.085 AS rest, l_partkey % 19 = 0 AS grace, 31 + l_partkey % 70 AS midi, l_tax >= 0.065 AS ghost FROM lineitem),
