@@ -237,7 +237,7 @@ def pb4_playback_clicks(spark, sf_dir):
 def pb5_events_between(spark, sf_dir):
     q = _playback(spark, sf_dir)
     windows = q.select("request_id", F.lit(5.0).alias("from_s"), F.lit(25.0).alias("to_s"), F.lit(True).alias("loop"))
-    return pb.events_between(pb.playback_hits(ad.events(spark, sf_dir), q), q, windows)
+    return pb.events_between(pb.playback_hits(ad.events(spark, sf_dir), q), q, windows).drop("event_idx").withColumn("time", F.round("time", 5))
 
 
 @query
