@@ -22,11 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import cut, map_batches, map_groups, mix64
+from tickwise.llm.common import cut, map_batches, map_groups, mix64, texts_of
 from tickwise.llm.components import connected_components
 
-SKETCH = 64
-_LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SKETCH, TOKENS = 64, 32
 _MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -39,7 +38,7 @@ def shingle_hashes(text: str, words: int, known: dict[bytes, int]) -> np.ndarray
     for i, w in enumerate(split):
         h = known.get(w)
         if h is None:
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             h = known[w] = xxhash.xxh3_64_intdigest(w)
         ids[i] = h
@@ -51,7 +50,7 @@ def shingle_hashes(text: str, words: int, known: dict[bytes, int]) -> np.ndarray
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH minwise values, 32 bits each."""
+    """SKETCH minwise values of 32 bits."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
     for begin in range(0, len(hashes), 8192):
         part = hashes[begin : begin + 8192]
@@ -59,22 +58,52 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
     return (mix64(least) >> np.uint64(32)).astype(np.uint32)
 
 
-def _shingled(docs: DataFrame, words: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.list_(pa.int32())), ("members", pa.binary())])
-
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n_shingles, set_hash, tokens, sketch) of every row: tokens are the values that paths choose from, sketch 16 bits of all."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("tokens", pa.binary()), ("sketch", pa.binary())])
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hashes = shingle_hashes(text or "", words, known)
-            if len(hashes):
-                rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), sketch_of(hashes).view(np.int32), hashes.tobytes()))
-            else:
-                rows.append((doc_id, 0, None, None, None))
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            hashes = shingle_hashes(text, words, known)
+            least = sketch_of(hashes)
+            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes()) if len(hashes) else (doc_id, 0, None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, sketch array<int>, members binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary")
+
+
+def _id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
+    """One-hash Bloom filter of the ids: 16 bits for each, 16 MB at most. It only spares work: an exact join follows."""
+    bits = 1 << 16
+    want = 16 * ids.count()
+    while bits < min(want, most_bits):
+        bits *= 2
+    at = F.xxhash64(F.lit(5), "id").bitwiseAND(bits - 1)
+    found = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(5, id) & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words, bits
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, members): the full shingle sets of the given documents, made from the texts once more."""
+    table, bits = _id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("id", pa.int64()), ("members", pa.binary())])
+    known: dict[bytes, int] = {}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at = batch.column(1).to_numpy() & (bits - 1)
+        hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
+        if not len(hit):
+            return None
+        part = batch.take(pa.array(hit))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t, words, known).tobytes() for t in texts_of(part)], type=pa.binary())], schema=schema)
+
+    wanted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", F.xxhash64(F.lit(5), "id").alias("h"), "text")
+    return map_batches(wanted, run, "id long, members binary").where("length(members) > 0")
 
 
 def _classes(near: np.ndarray) -> np.ndarray:
@@ -92,10 +121,12 @@ def _classes(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _star(ids: np.ndarray, near: np.ndarray) -> dict | None:
-    """One link from each row to the first of its class."""
-    label = _classes(near)
-    rows = np.flatnonzero(label != np.arange(len(label)))
+def _star(ids: np.ndarray, near: np.ndarray, first: np.ndarray) -> dict | None:
+    """One link from each row to the first of its class; rows flagged in `first` come before others."""
+    order = np.argsort(~first, kind="stable")
+    label = np.empty(len(ids), dtype=np.int64)
+    label[order] = order[_classes(near[np.ix_(order, order)])]
+    rows = np.flatnonzero(ids[label] != ids)
     return {"a": ids[rows], "b": ids[label[rows]]} if len(rows) else None
 
 
@@ -126,99 +157,110 @@ def _set_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return near
 
 
-def _blocked(members: DataFrame, payload: list[str], near_of, block: int) -> DataFrame:
-    """Links (a, b) that span the classes of each group of members(grp, n, id, payload).
+def _blocked(members: DataFrame, payload, near_of, block: int, parts: int) -> DataFrame:
+    """Links (a, b) that span the classes of each group of members(grp, n, id).
 
-    Groups of up to `block` members are compared whole. Larger ones go to n / block blocks by
-    hash, each with the group's anchors; then members outside the group's largest class so
-    far are sent to all blocks. Two members of different classes meet, for one of the two
-    at least is outside the largest.
+    payload(ids) gives the rows (id, ...) that near_of compares. Groups of up to `block` members are
+    compared whole. Larger ones go to n / block blocks by hash, each with the group's anchors; then
+    members outside the group's largest class so far are sent to all blocks. Two members of different
+    classes meet, for one of the two at least is outside the largest.
     """
-    payload_cols = [F.col(c) for c in payload]
 
     def link(batch: pa.RecordBatch) -> dict | None:
         if batch.num_rows < 2:
             return None
-        ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-        return _star(ids, near_of(batch))
+        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        got = _star(col["id"].to_numpy(zero_copy_only=False), near_of(batch), col["anchor"].to_numpy(zero_copy_only=False).astype(bool))
+        return got and got | {"grp": np.full(len(got["a"]), col["grp"][0].as_py(), dtype=np.int64)}
+
+    schema = pa.schema([("grp", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        return cut(map_groups(dealt.join(payload(dealt.select("id")), "id").coalesce(parts), ["grp", "part"], link, schema, "grp long, a long, b long", sort=["id"]))
 
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    home = members.withColumn("blocks", blocks).withColumn("part", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit(71), "id"), "blocks")).otherwise(0).cast("int"))
+    home = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(71), "id"), "blocks").cast("int"))
+    one = home.select("grp", "part", "id", F.lit(False).alias("anchor"))
     large = home.where("blocks > 1")
-    anchors = large.groupBy("grp").agg(*[F.min_by("id", F.xxhash64(F.lit(s), "id")).alias(f"k{s}") for s in range(4)]).select("grp", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("id"))
-    sent = large.join(anchors, ["grp", "id"]).withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)"))).select("grp", "part", "id", *payload_cols)
-    first = home.select("grp", "part", "id", *payload_cols).unionByName(sent)
-    links = cut(map_groups(first, ["grp", "part"], link, _LINK_SCHEMA, "a long, b long", sort=["id"]))
     if large.isEmpty():
-        return links
+        return compared(one).select("a", "b")
+    anchors = large.groupBy("grp").agg(F.max("blocks").alias("blocks"), *[F.min_by("id", F.xxhash64(F.lit(k), "id")).alias(f"k{k}") for k in range(4)]).select("grp", "blocks", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("id"))
+    links = compared(one.unionByName(anchors.select("grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "id", F.lit(True).alias("anchor"))))
 
-    # Second round, large groups only: whoever is not in the group's largest class meets all blocks.
-    label = connected_components(links)
-    marked = large.join(label, F.col("id") == F.col("node"), "left").withColumn("cls", F.coalesce("component", "id")).drop("node", "component")
+    # Second round, large groups only: whoever is not in the group's largest class meets all blocks. The first
+    # link of a member names its class; anchors come first, so the blocks of a large class agree on the name.
+    marked = large.join(links.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("cls")), ["grp", "id"], "left").withColumn("cls", F.coalesce("cls", "id"))
     sizes = marked.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("size", "cls")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    again = marked.join(largest, "grp").withColumn("part", F.explode(F.when(F.col("cls") == F.col("top"), F.array("part")).otherwise(F.expr("sequence(0, blocks - 1)"))))
-    more = cut(map_groups(again.select("grp", "part", "id", *payload_cols), ["grp", "part"], link, _LINK_SCHEMA, "a long, b long", sort=["id"]))
-    return links.unionByName(more)
+    again = marked.join(largest, "grp").select("grp", F.explode(F.when(F.col("cls") == F.col("top"), F.array("part")).otherwise(F.expr("sequence(0, blocks - 1)"))).alias("part"), "id", F.lit(False).alias("anchor"))
+    return links.unionByName(compared(cut(again))).select("a", "b")
 
 
-def _leaves(reps: DataFrame, trees: int, leaf: int, depth: int, branches: int) -> DataFrame:
-    """(grp, n, id): members of the nodes to compare, n members each, over all trees."""
-    value = lambda k: F.element_at("sketch", k)
-    level = reps.select("id", "sketch", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), value(t % SKETCH + 1)).alias("path")) for t in range(trees)])).alias("node")).select("id", "sketch", "node.path")
+def _leaves(reps: DataFrame, trees: int, leaf: int, depth: int, branches: int, parts: int) -> DataFrame:
+    """(grp, n, id): members of the nodes to compare, n members each, over all trees.
+
+    A tree's root branches by one token, its large nodes by `branches`, those below by one again, so that
+    a group of near copies, which no token divides, does not grow with the depth.
+    """
+    token = lambda at: F.substring(F.col("tokens"), at * 4 + 1, F.lit(4))
+    level = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t % TOKENS))) for t in range(trees)])).alias("path"))
     done = None
     for at in range(depth):
-        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        counted = cut(level.join(size, "path"))
+        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").coalesce(parts)
+        counted = cut(level.join(size, "path").coalesce(parts))
         last = at == depth - 1
-        here = counted if last else counted.where(F.col("n") <= leaf)
-        here = here.select(F.col("path").alias("grp"), "n", "id")
+        here = (counted if last else counted.where(F.col("n") <= leaf)).select(F.col("path").alias("grp"), "n", "id")
         done = here if done is None else done.unionByName(here)
         grown = counted.where(F.col("n") > leaf)
         if last or grown.isEmpty():
             return done
-        chosen = [F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(SKETCH // branches)) * branches + b + 1 for b in range(branches)]
-        level = grown.select("id", "sketch", F.explode(F.array(*[F.xxhash64("path", c, F.element_at("sketch", c.cast("int"))) for c in chosen])).alias("path"))
+        ways = branches if at == 0 else 1
+        chosen = [(F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(TOKENS // ways)) * ways + b).cast("int") for b in range(ways)]
+        level = grown.join(reps, "id").coalesce(parts).select("id", F.explode(F.array(*[F.xxhash64("path", c, token(c)) for c in chosen])).alias("path"))
     return done
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 6, leaf: int = 128, depth: int = 5, branches: int = 2, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 6, leaf: int = 128, depth: int = 4, branches: int = 2, block: int = 512) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each input row.
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
-    component_id is the smallest doc_id reachable by links. A pair exactly at 80 % shares a leaf in
-    one tree with probability above 0.7, so six trees miss fewer than one in a thousand of such
-    pairs, and more alike pairs far less; sketches further apart than 4.5 standard errors are not
-    checked on full sets. `leaf`, `block` and `depth` bound the work of one task, not the result.
+    component_id is the smallest doc_id reachable by links. A pair exactly at 80 % shares a leaf of
+    one tree with probability 0.77, and 0.61 where its nodes stay large to the last level, so six
+    trees miss fewer than four in a thousand of such pairs, and of more alike pairs far fewer; sketches
+    further apart than 4.5 standard errors are not checked on full sets. `leaf`, `block` and `depth` bound the work of one task, not the result.
 
     A null or blank text has no shingles: its row stays alone, kept, and component_id is its doc_id.
     A text with fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node.
     A row with null doc_id links with nothing, component_id null, kept true. Other columns are ignored.
     """
     similarity = percent / 100
-    sets = cut(_shingled(docs, words))
-    filled = sets.where("set_hash is not null and doc_id is not null")
-    reps = filled.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    unique = filled.join(reps, (filled.doc_id == reps.id) & (filled.set_hash == reps.set_hash)).drop(reps.set_hash).drop("set_hash").dropDuplicates(["id", "n_shingles"]).select("id", "n_shingles", "sketch", "members")
-    unique = cut(unique.select("id", "n_shingles", "sketch", "members"))
+    sets = cut(_sketched(docs, words))
+    keys = cut(sets.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id")))
+    # A partition for each 200,000 paths is enough between shuffles, however many the session's default deals.
+    n = keys.count()
+    parts = max(1, -(-n * trees // 200_000))
+    own = sets.select(F.col("doc_id").alias("id"), "set_hash", "tokens")
 
-    leaves = _leaves(unique.select("id", "sketch"), trees, leaf, depth, branches)
-    sketched = leaves.join(unique.select("id", "sketch", "n_shingles"), "id").select("grp", "n", "id", F.col("sketch"), "n_shingles")
+    def sketches(ids: DataFrame) -> DataFrame:
+        return sets.where("set_hash is not null").select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
 
     def by_sketch(batch: pa.RecordBatch) -> np.ndarray:
-        col = batch.column(batch.schema.get_field_index("sketch"))
+        rows = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
         sizes = batch.column(batch.schema.get_field_index("n_shingles")).to_numpy(zero_copy_only=False)
-        return _sketch_matrix(col.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, SKETCH), sizes, similarity)
+        return _sketch_matrix(np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, SKETCH), sizes, similarity)
+
+    leaves = _leaves(own.join(keys, ["id", "set_hash"]).select("id", "tokens"), trees, leaf, depth, branches, parts)
+    candidates = connected_components(_blocked(leaves, sketches, by_sketch, block, parts))
 
-    candidates = connected_components(_blocked(sketched, ["sketch", "n_shingles"], by_sketch, block).distinct())
+    def full_sets(ids: DataFrame) -> DataFrame:
+        return _sets_of(docs, ids, words)
 
     def by_set(batch: pa.RecordBatch) -> np.ndarray:
         return _set_matrix([np.frombuffer(x, dtype=np.uint64) for x in batch.column(batch.schema.get_field_index("members")).to_pylist()], percent)
 
     group_size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    full = candidates.join(group_size, "component").join(unique.select("id", "members"), F.col("node") == F.col("id")).select(F.col("component").alias("grp"), "n", "id", "members")
-    found = connected_components(_blocked(full, ["members"], by_set, block // 2))
+    grouped = cut(candidates.join(group_size, "component").coalesce(parts).select(F.col("component").alias("grp"), "n", F.col("node").alias("id")))
+    found = connected_components(_blocked(grouped, full_sets, by_set, block // 2, parts))
 
-    by_set_hash = reps.join(found, F.col("id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-    own = sets.select("doc_id", "n_shingles", "set_hash").join(by_set_hash, "set_hash", "left")
-    return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    by_set_hash = keys.join(found, F.col("id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "id").alias("component_id")).coalesce(parts)
+    result = sets.select("doc_id", "n_shingles", "set_hash").join(by_set_hash, "set_hash", "left")
+    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
