@@ -44,22 +44,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 def _ratios(grams: DataFrame) -> DataFrame:
     """grams(gram, a, r: counts in accepted and rejected) -> (gram, ratio): log p_accepted - log p_rejected."""
-    counts = {ORDER: grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))}
+    longest = cut(grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
+    # All further tables have fewer rows than this one: a partition for each half million of them is enough.
+    parts = max(1, -(-longest.count() // 500_000))
+    counts = {ORDER: longest.coalesce(parts)}
     for k in range(ORDER - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        counts[k] = counts[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")).coalesce(parts)
     lower = None
     for k in range(1, ORDER + 1):
         # A context's total and its number of different next characters, in each class.
         own = counts[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
-        context = own.groupBy("ctx").agg(*[f(c).alias(f"{p}{c}") for c in "ar" for p, f in (("n", F.sum), ("t", lambda c: F.sum((F.col(c) > 0).cast("long"))))])
-        own = own.join(context, "ctx")
+        context = own.groupBy("ctx").agg(*[f(c).alias(f"{p}{c}") for c in "ar" for p, f in (("n", F.sum), ("t", lambda c: F.sum((F.col(c) > 0).cast("long"))))]).coalesce(parts)
+        own = own.join(context, "ctx").coalesce(parts)
         if lower is None:
             own = own.withColumn("la", F.lit(1 / ALPHABET)).withColumn("lr", F.lit(1 / ALPHABET))
         else:
-            own = own.withColumn("short", F.expr("substring(gram, 2)")).join(lower, "short")
+            own = own.withColumn("short", F.expr("substring(gram, 2)")).join(lower, "short").coalesce(parts)
         # Never seen context: what the shorter one says.
         p = {c: F.when(F.col(f"n{c}") == 0, F.col(f"l{c}")).otherwise((F.col(c) + F.col(f"t{c}") * F.col(f"l{c}")) / (F.col(f"n{c}") + F.col(f"t{c}"))) for c in "ar"}
         lower = own.select(F.col("gram").alias("short"), p["a"].alias("la"), p["r"].alias("lr"))
+    lower = cut(lower)
     return lower.select(F.col("short").alias("gram"), (F.log("la") - F.log("lr")).alias("ratio"))
 
 
