@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickwise.llm.common import map_batches, mix64, texts_of, with_fields
 
-WORD_ROWS, SHAPE_ROWS, DIM, NONZERO = 8192, 256, 64, 2
+WORD_ROWS, SHAPE_ROWS, DIM = 8192, 256, 64
 ROWS = WORD_ROWS + SHAPE_ROWS
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _PIECE = 32_768  # tokens handled at once
@@ -39,28 +39,29 @@ def _shape(token: str) -> str:
 
 
 class _Tokens:
-    """Token -> (word row, shape row), remembered between documents."""
+    """Token -> word row and shape row, packed into one number and remembered between documents."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
+
+    def _learn(self, token: str) -> int:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        word, shape = (xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in (token, _shape(token)))
+        packed = self.known[token] = word % WORD_ROWS * SHAPE_ROWS + shape % SHAPE_ROWS + 1
+        return packed
 
     def rows(self, text: str) -> np.ndarray:
         """(tokens, 2) rows of a text."""
-        known, out = self.known, []
-        for token in _TOKEN.findall(text):
-            row = known.get(token)
-            if row is None:
-                if len(known) > 500_000:
-                    known.clear()
-                row = known[token] = (xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % WORD_ROWS, WORD_ROWS + xxhash.xxh32_intdigest(_shape(token).encode("utf-8", "surrogatepass")) % SHAPE_ROWS)
-            out.append(row)
-        return np.array(out, dtype=np.int64).reshape(-1, 2)
+        get, learn = self.known.get, self._learn
+        packed = np.array([get(token) or learn(token) for token in _TOKEN.findall(text)], dtype=np.int64) - 1
+        return np.stack([packed // SHAPE_ROWS, WORD_ROWS + packed % SHAPE_ROWS], axis=1)
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the NONZERO entries of each row's random index vector."""
-    h = mix64(np.arange(1, ROWS * NONZERO + 1, dtype=np.uint64)).reshape(ROWS, NONZERO)
-    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1).astype(np.int8)
+    """Position and sign of each row's random index vector; a token's is that of its word plus that of its shape."""
+    h = mix64(np.arange(1, ROWS + 1, dtype=np.uint64))
+    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
 def context_sums(docs: DataFrame) -> DataFrame:
@@ -78,22 +79,21 @@ def context_sums(docs: DataFrame) -> DataFrame:
             # A break row between documents keeps neighbours inside one text.
             one, two = flat[:-1], flat[1:]
             inside = (one[:, 0] >= 0) & (two[:, 0] >= 0)
-            for a, b in ((one[inside], two[inside]), (two[inside], one[inside])):
-                for target in (a[:, 0], a[:, 1]):
-                    for context in (b[:, 0], b[:, 1]):
-                        for k in range(NONZERO):
-                            at = target * DIM + place[context, k]
-                            s = sign[context, k] > 0
-                            total[:] += np.bincount(at[s], minlength=ROWS * DIM)
-                            total[:] -= np.bincount(at[~s], minlength=ROWS * DIM)
+            one, two = one[inside], two[inside]
+            for a, b in ((one, two), (two, one)):
+                for context in (b[:, 0], b[:, 1]):
+                    at, weight = place[context], sign[context]
+                    for target in (a[:, 0], a[:, 1]):
+                        # Sums of +1 and -1: whole numbers, exact in doubles.
+                        total[:] += np.bincount(target * DIM + at, weights=weight, minlength=ROWS * DIM).astype(np.int64)
 
         for batch in batches:
             for text in texts_of(batch):
                 rows = tokens.rows(text)
-                for begin in range(0, len(rows), 400_000):
-                    held += [rows[begin : begin + 400_000], np.full((1, 2), -1)]
+                for begin in range(0, len(rows), 200_000):
+                    held += [rows[begin : begin + 200_000], np.full((1, 2), -1)]
                     n += len(held[-2])
-                    if n >= 400_000:
+                    if n >= 200_000:
                         add()
                         held, n = [], 0
         if n:
