@@ -45,28 +45,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words: one text of many words, taken apart by the places of its tokens."""
+        for begin in range(0, len(words), 20_000):
+            part = [w.decode() for w in words[begin : begin + 20_000]]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4")
+            owner = np.searchsorted(starts, np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right") - 1
+            edges = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(words[begin : begin + 20_000], [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """u32 ids of each text, with the end id."""
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        split = [t.encode("utf-8").split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
         last = struct.pack("<I", end)
-        out = [b"".join([*map(known.__getitem__, words), last]) for words in split]
-        for i, text in enumerate(texts):
-            if any(a in text for a in self.added):
-                out[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype="<u4").tobytes()
+        out: list[bytes] = []
+        for begin in range(0, len(texts), 500):
+            part = texts[begin : begin + 500]
+            if len(self.known) > 400_000:
+                self.known.clear()
+            split = [t.encode("utf-8").split() for t in part]
+            known = self.known
+            new = [w for w in {w for words in split for w in words} if w not in known]
+            self._learn([w for w in new if not any(a in w for a in self.added)])
+            for text, words in zip(part, split, strict=True):
+                if any(a.decode() in text for a in self.added):
+                    out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype="<u4").tobytes())
+                else:
+                    out.append(b"".join([*map(known.__getitem__, words), last]))
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}  # of a worker process, kept from task to task
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class FrameWriter:
     """Appends documents to an open file; each frame closes at frame_ids ids or frame_docs documents."""
 
@@ -160,10 +182,8 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, end: int = 1, ro
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100_000)).first()[0] or [])) if files > 1 else []
     bounds = docs.sparkSession.sparkContext.broadcast(np.array(cuts, dtype=np.int64))
 
-    encoders: dict[str, Encoder] = {}
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoders.setdefault(tokenizer, None) or encoders.__setitem__(tokenizer, Encoder(tokenizer)) or encoders[tokenizer]
+        coder = encoder(tokenizer)
         keys = np.array([NULL_ID if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
         part = np.searchsorted(bounds.value, keys, side="right").astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(coder.encode(texts_of(batch), end), type=pa.binary())], names=["part", "doc_id", "ids"])
