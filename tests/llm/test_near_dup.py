@@ -1,7 +1,9 @@
+import json
 import random
+import uuid
 
 from tickwise.llm.components import connected_components
-from tickwise.llm.near_dup import near_duplicates
+from tickwise.llm.near_dup import _blocked, near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string, kept int"
 
@@ -63,6 +65,26 @@ def test_blocks_and_depth_do_not_change_the_result(spark):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 2, 80)
 
 
+def test_second_round_keeps_tasks_small_where_no_class_dominates(spark, tmp_path):
+    """All cross-class pairs meet once at least, in tasks of two blocks at most, and the pairs that link are found."""
+    n, block = 240, 16
+    folder = str(tmp_path)
+
+    def near_of(batch):
+        ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            json.dump(ids.tolist(), f)
+        return (ids[:, None] % (n // 2)) == (ids[None, :] % (n // 2))
+
+    members = spark.createDataFrame([(5, n, i) for i in range(n)], "grp long, n long, id long")
+    got = _blocked(members, lambda ids: members.select("id"), near_of, block, 4)
+    assert {tuple(sorted((r.a, r.b))) for r in got.collect()} == {(i, i + n // 2) for i in range(n // 2)}
+    seen = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+    assert max(map(len, seen)) <= 3 * block  # two blocks, uneven by the hash
+    met = {frozenset((a, b)) for ids in seen for a in ids for b in ids if a < b}
+    assert len(met) == n * (n - 1) // 2
+
+
 def test_nulls_empty_copies_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (6, "one two"), (None, "one two"), (None, None), (7, "x " * 30_000), (8, "x " * 30_000)]
     got = run(spark, rows, words=2)

@@ -5,8 +5,8 @@
 2. Independent trees branch the representatives by selected minwise tokens: a node that holds few
    documents is a leaf, a larger one branches again by coordinates that its own path chooses.
 3. Inside each leaf all sketches are compared. Nodes still large at the last level are dealt to
-   blocks: one round in each block and against common anchors, then only documents outside the
-   node's largest class travel to the other blocks.
+   blocks: one round in each block and against common anchors, then the documents outside the
+   node's largest class meet each other and that class by pairs of blocks.
 4. The classes so found are candidates. Inside each, the full sets are compared in the same two
    rounds, and only pairs that reach the similarity link.
 
@@ -161,9 +161,10 @@ def _blocked(members: DataFrame, payload, near_of, block: int, parts: int) -> Da
     """Links (a, b) that span the classes of each group of members(grp, n, id).
 
     payload(ids) gives the rows (id, ...) that near_of compares. Groups of up to `block` members are
-    compared whole. Larger ones go to n / block blocks by hash, each with the group's anchors; then
-    members outside the group's largest class so far are sent to all blocks. Two members of different
-    classes meet, for one of the two at least is outside the largest.
+    compared whole. Larger ones go to n / block blocks by hash, each with the group's anchors; then the
+    members of the group's largest class so far and those outside it are dealt to blocks apart, and each
+    block of outsiders meets every other block. Two members of different classes meet, for one of the
+    two at least is outside the largest; no task holds more than two blocks, whatever the classes are.
     """
 
     def link(batch: pa.RecordBatch) -> dict | None:
@@ -186,13 +187,26 @@ def _blocked(members: DataFrame, payload, near_of, block: int, parts: int) -> Da
     anchors = large.groupBy("grp").agg(F.max("blocks").alias("blocks"), *[F.min_by("id", F.xxhash64(F.lit(k), "id")).alias(f"k{k}") for k in range(4)]).select("grp", "blocks", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("id"))
     links = compared(one.unionByName(anchors.select("grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "id", F.lit(True).alias("anchor"))))
 
-    # Second round, large groups only: whoever is not in the group's largest class meets all blocks. The first
+    # Second round, large groups only: whoever is not in the group's largest class meets all others. The first
     # link of a member names its class; anchors come first, so the blocks of a large class agree on the name.
     marked = large.join(links.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("cls")), ["grp", "id"], "left").withColumn("cls", F.coalesce("cls", "id"))
     sizes = marked.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("size", "cls")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    again = marked.join(largest, "grp").select("grp", F.explode(F.when(F.col("cls") == F.col("top"), F.array("part")).otherwise(F.expr("sequence(0, blocks - 1)"))).alias("part"), "id", F.lit(False).alias("anchor"))
-    return links.unionByName(compared(cut(again))).select("a", "b")
+    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("size", "cls")).alias("top"), F.count(F.lit(1)).alias("classes"), F.max("size").alias("inside"), F.sum("size").alias("all")).where("classes > 1")
+    return links.unionByName(compared(cut(_by_pairs(marked.join(largest, "grp"), block)))).select("a", "b")
+
+
+def _by_pairs(marked: DataFrame, block: int) -> DataFrame:
+    """(grp, part, id, anchor) of marked(grp, id, cls, top, inside, all): a part is a pair of blocks, one of them at least of outsiders.
+
+    Blocks below `home` hold the class named top, the others the rest. The members of one block of
+    outsiders meet in each of its pairs.
+    """
+    home, blocks = F.ceil(F.col("inside") / block), F.ceil(F.col("inside") / block) + F.ceil((F.col("all") - F.col("inside")) / block)
+    dealt = marked.withColumn("home", home.cast("long")).withColumn("blocks", blocks.cast("long")).withColumn("inner", F.col("cls") == F.col("top"))
+    hashed = F.xxhash64(F.lit(72), "id")
+    own = dealt.withColumn("own", F.when(F.col("inner"), F.pmod(hashed, "home")).otherwise(F.col("home") + F.pmod(hashed, F.col("blocks") - F.col("home"))))
+    met = own.withColumn("other", F.explode(F.when(F.col("inner"), F.expr("sequence(home, blocks - 1)")).otherwise(F.expr("sequence(0L, blocks - 1)")))).where("own != other")
+    return met.select("grp", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), "id", F.lit(False).alias("anchor"))
 
 
 def _leaves(reps: DataFrame, trees: int, leaf: int, depth: int, branches: int, parts: int) -> DataFrame:
