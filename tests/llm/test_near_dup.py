@@ -85,6 +85,17 @@ def test_second_round_keeps_tasks_small_where_no_class_dominates(spark, tmp_path
     assert len(met) == n * (n - 1) // 2
 
 
+def test_deep_nodes_keep_pairs_at_the_threshold(spark):
+    """Pairs at exactly 80 % whose nodes branch to the last level (no leaf before it), with the default trees."""
+    rows = []
+    for pair in range(1500):
+        same = [f"s{pair}x{i}" for i in range(80)]
+        rows += [(2 * pair + side, " ".join(same + [f"o{pair}x{side}x{i}" for i in range(10)])) for side in (0, 1)]
+    got = run(spark, rows, words=1, leaf=1)
+    assert {r.component_id % 2 for r in got if r.kept and r.doc_id % 2 == 0} == {0}
+    assert sum(r.kept for r in got if r.doc_id % 2) <= 4  # 0.1 % would be 1.5
+
+
 def test_nulls_empty_copies_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (6, "one two"), (None, "one two"), (None, None), (7, "x " * 30_000), (8, "x " * 30_000)]
     got = run(spark, rows, words=2)
