@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -93,6 +94,22 @@ def test_guess_cost_orders_values():
     assert guess_cost("20190403") < 6 and guess_cost("qwerty") < 5
 
 
+def redacted(spark, texts):
+    return [r.text for r in redact_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_values_are_found_whole(spark):
+    key = "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#%+", k=400))
+    texts = ["password: Abc123$xK9!zzQ7# end", f"private_key: {key} end", "pwd: xkqjvzwpthgmbnrdlc end"]
+    assert redacted(spark, texts) == ["[SECRET] end", "private_key: [SECRET] end", "pwd: [SECRET] end"]
+    assert [k for k, *_ in scan(texts[0])] == ["assign", "value"]
+
+
+def test_cheap_long_values_and_plain_words_stay():
+    for value in ("z" * 3000, "understanding", "Verantwortung", "secretManager", "qwertyuiop"):
+        assert scan(f"passphrase: {value}") == []
+
+
 def test_redaction(spark):
     got = [r.text for r in redact_secrets(docs(spark, SECRET_TEXTS)).orderBy("doc_id").collect()]
     assert got[0] is None and got[1] == "" and got[2] == SECRET_TEXTS[2]

@@ -3,7 +3,8 @@
 The estimate is the cost, as log10 of guesses, of the cheapest segmentation of the value into words,
 dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its end
 positions. A value near a credential word whose cost reaches the threshold is a secret; one made of
-words, dates or walks is cheap to guess and stays.
+words, dates or walks is cheap to guess and stays. A value of letters only stays too where it reads as
+plain words: every two neighbours of each word are a pair that prose uses (PAIRS).
 """
 
 from __future__ import annotations
@@ -23,11 +24,20 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs that are long enough
 # Credential context of the method: a wider set of words, a separator or "is", and any run of visible characters.
-_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_ -]?key)?|(?:access|auth|bearer|refresh)?[_ -]?token|api[_ -]?key|private[_ -]?key|credentials?|pin)["'`]?(?:\x20{0,3}[:=]{1,2}>?\x20{0,3}|\x20is:?\x20)["'`]?([!-~]{6,256})""", re.ASCII | re.IGNORECASE)
+_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_ -]?key)?|(?:access|auth|bearer|refresh)?[_ -]?token|api[_ -]?key|private[_ -]?key|credentials?|pin)["'`]?(?:\x20{0,3}[:=]{1,2}>?\x20{0,3}|\x20is:?\x20)["'`]?([!-~]{6,})""", re.ASCII | re.IGNORECASE)
 _HINTS = re.compile(r"pass|pwd|secret|token|key|credential|pin", re.ASCII | re.IGNORECASE)
 
 # Frequent words of passwords, most frequent first; a caller may give its own.
 COMMON_WORDS = ("password", "pass", "admin", "welcome", "love", "secret", "monkey", "dragon", "master", "login", "user", "test", "root", "hello", "sunshine", "princess", "football", "baseball", "summer", "winter", "spring", "autumn", "shadow", "superman", "letmein", "changeme", "default", "guest", "example", "sample", "demo", "temp", "token", "key", "value", "your", "here", "none", "null", "true", "false", "string", "the", "and", "for", "you", "that", "with", "this", "from")
+# The letters that follow each letter in at least eight words of prose (English, French, German, Spanish).
+PAIRS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    "abcdefghijklmnopqrstuvwxyz abcdeijlmnoprstuy abcdefhiklmnoprstuvy abcdefghilmnoprstuvwxy abcdefghijklmnopqrstuvwxyz acdefgilmnoprstuy abcdeghilmnoprstuvwz "
+    "abcdeghiklmnoprstuvwyz abcdefghijklmnopqrstvwxz aeou adefgilnrstuwy abcdefgilmnoprstuvy abdefiklmnopstuy abcdefghiklmnopqrstuvwyz abcdefgijklmnopqrstuvwx "
+    "acdefhiklnoprstuwy u abcdefghiklmnoprstuvwyz abcdefghijklmnopqrstuvwy abcdefghiklmnoprstuvwxyz abcdefghilmnoprstuvwx aefimo acdefhilnorst acdefhilmoprsty "
+    "abcdefhilmnoprstwz aeiostu"
+).split(), strict=True))
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+")
+WINDOW = 256
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 _DATES = (
@@ -93,12 +103,33 @@ def guess_cost(value: str, words: tuple[str, ...] = COMMON_WORDS) -> float:
     return best[n]
 
 
+def value_cost(value: str, words: tuple[str, ...] = COMMON_WORDS) -> float:
+    """guess_cost(); of a value longer than WINDOW the greatest of its windows, which overlap by half."""
+    if len(value) <= WINDOW:
+        return guess_cost(value, words)
+    starts = [*range(0, len(value) - WINDOW, WINDOW // 2), len(value) - WINDOW]
+    return max(guess_cost(part, words) for part in {value[i : i + WINDOW] for i in starts})
+
+
+def is_plain(value: str) -> bool:
+    """Whether letters read as a word, or as words joined by capitals."""
+    return _PLAIN.fullmatch(value) is not None and all(b in PAIRS[a] for part in re.findall("[A-Z]?[a-z]+|[A-Z]+", value) for a, b in zip(part.lower(), part.lower()[1:]))
+
+
+def _inside(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether sorted spans together cover start to end."""
+    for s, e in spans:
+        if s <= start:
+            start = max(start, e)
+    return start >= end
+
+
 def scan(text: str, *, threshold: float = 10.0, words: tuple[str, ...] = COMMON_WORDS) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, cost) of the text's secrets by start, then kind; code points, end exclusive."""
     found: list[tuple[str, int, int, float | None]] = []
     hinted = _HINTS.search(text) is not None
     if hinted:
-        found += [("assign", m.start(), m.end(), guess_cost(m[2][:256], words)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [("assign", m.start(), m.end(), value_cost(m[2], words)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
@@ -107,11 +138,10 @@ def scan(text: str, *, threshold: float = 10.0, words: tuple[str, ...] = COMMON_
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`,;.!?)")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < 6 or any(s < end and start < e for s, e in taken):
+            if len(value) < 6 or _inside(taken, start, end) or is_plain(value):
                 continue
-            mixed = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
-            cost = guess_cost(value, words)
-            if mixed > 1 and re.search("[0-9]|[^a-zA-Z0-9]", value) and cost >= threshold:
+            cost = value_cost(value, words)
+            if cost >= threshold:
                 found.append(("value", start, end, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -123,8 +153,8 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 def find_secrets(docs: DataFrame, *, threshold: float = 10.0, words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
     """docs(text, ...) -> the same columns plus secrets array<struct<kind, start, end, cost>>.
 
-    Kinds: assign, access and hex by pattern, value by guess cost in credential context (a value that
-    touches a pattern's span adds nothing). cost is log10 of guesses, null for access and hex. A null
+    Kinds: assign, access and hex by pattern, value by guess cost in credential context, the whole run of
+    visible characters (a value inside the patterns' spans adds nothing; one that reaches beyond them overlaps). cost is log10 of guesses, null for access and hex. A null
     or empty text has an empty array. No shuffle; each row stands alone. An input column named
     secrets is replaced.
     """
