@@ -68,8 +68,9 @@ def _hit_words(keys: Column) -> Column:
 def inspect_bars(events: DataFrame, requests: DataFrame | None = None, most: int = 65) -> DataFrame:
     """AN4: facts of each bar, and its hits added and removed against the bar before.
 
-    requests(request_id, score_id, from_bar, to_bar) of at most `most` bars restrict the result and add
-    request_id and a missing flag: a bar asked for that the score lacks has missing true and nulls.
+    requests(request_id, score_id, from_bar, to_bar) restrict the result and add request_id, a missing
+    flag and problem: a bar asked for that the score lacks has missing true and nulls. A request of more
+    than `most` bars gets one row that says so, without a bar number.
     """
     bars = bar_rows(events)
     w = Window.partitionBy("score_id").orderBy("bar_number")
@@ -77,7 +78,9 @@ def inspect_bars(events: DataFrame, requests: DataFrame | None = None, most: int
     seen = bars.withColumn("before", before).select(*BAR, counting_of(F.col("ev")).alias("counting"), _small_label().alias("smallest_note"), F.size("hits").alias("n_hits"), (F.size("ev") - F.size("hits")).alias("n_rests"), "triplet_groups", _hit_words(F.array_except("keys", "before")).alias("added"), _hit_words(F.array_except("before", "keys")).alias("removed"))
     if requests is None:
         return seen
-    asked = requests.withColumns({"lo": F.least("from_bar", "to_bar"), "hi": F.greatest("from_bar", "to_bar")}).where(F.col("hi") - F.col("lo") < most).select("request_id", "score_id", F.explode(F.sequence("lo", "hi")).alias("bar_number"))
+    wide = F.col("hi") - F.col("lo") >= most
+    numbers = F.when(~wide, F.sequence("lo", "hi")).otherwise(F.array(F.lit(None).cast("int")))
+    asked = requests.withColumns({"lo": F.least("from_bar", "to_bar"), "hi": F.greatest("from_bar", "to_bar")}).select("request_id", "score_id", F.when(wide, f"ask about {most} bars at most").alias("problem"), F.explode(numbers).alias("bar_number"))
     return asked.join(seen.withColumn("missing", F.lit(False)), BAR, "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
 
 
@@ -106,15 +109,18 @@ def _near_pairs(reps: DataFrame, least: float, scope: list[str]) -> DataFrame:
 
     Tokens are ordered by rarity; two sets that alike share one of their first n - ceil(least n) + 1.
     """
-    token = reps.select(*scope, "id", F.explode("keys").alias("token"))
+    token = reps.select(*scope, "id", "keys", F.explode("keys").alias("token"))
     rarity = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = token.join(rarity, "token").groupBy(*scope, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    n = F.size("t")
-    prefix = ranked.select(*scope, "id", n.alias("n"), F.explode(F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(least - 1e-9)) + 1).cast("int"))["token"]).alias("token"))
-    a, b = prefix.select(*scope, "token", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select(*scope, "token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    found = a.join(b, [*scope, "token"]).where("a < b").where((F.col("na") >= F.col("nb") * (least - 1e-9)) & (F.col("nb") >= F.col("na") * (least - 1e-9))).select(*scope, "a", "b").distinct()
-    keyed = lambda s: reps.select(*scope, F.col("id").alias(s), F.col("keys").alias(f"k{s}"))
-    return found.join(keyed("a"), [*scope, "a"]).join(keyed("b"), [*scope, "b"]).select(*scope, "a", "b", jaccard(F.col("ka"), F.col("kb")).alias("raw"))
+    ranked = token.join(rarity, "token").groupBy(*scope, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.first("keys").alias("keys"))
+    n, floor = F.size("t"), F.lit(least - 1e-9)
+    prefix = ranked.select(*scope, "id", "keys", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), (n - F.ceil(n * floor) + 1).cast("int"))["token"]).alias("at", "token"))
+    a = prefix.select(*scope, "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("keys").alias("ka"))
+    # The other side of every size that may reach the similarity: a token that many sets share is divided by size.
+    b = prefix.withColumn("na", F.explode(F.sequence(F.ceil(F.col("n") * floor).cast("int"), F.col("n")))).select(*scope, "token", "na", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("keys").alias("kb"))
+    met = a.join(b, [*scope, "token", "na"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    # At the first token in common, what both have from there on must do for the overlap.
+    reach = met.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil(floor / (1 + floor) * (F.col("na") + F.col("nb"))))
+    return reach.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("ka"), F.col("kb")).alias("raw")).where(F.col("raw") >= floor).distinct()
 
 
 def near_repeats(events: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -295,12 +301,23 @@ def offline_answers(events: DataFrame, scores: DataFrame, requests: DataFrame) -
     plan = practice_plan(events, scores, asked.where("question = 'practice-plan'").select("request_id", "score_id", "from_bar", "to_bar")).groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "title", "bpm", "instruction"))), lambda s: F.concat(s["step"].cast("string"), F.lit(". "), s["title"], F.when(s["bpm"].isNotNull(), F.concat(F.lit(" at "), s["bpm"].cast("string"), F.lit(" BPM"))).otherwise(""), F.lit(": "), s["instruction"])), " ").alias("answer"))
     plan = plan.join(asked.select("request_id", F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")).alias("cited")), "request_id")
     whole = asked.select("request_id", "score_id", "question")
-    passages = complex_passages(complexity(events, scores)).groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "from_bar", "to_bar"))).alias("p"))
-    busy = passages.select("score_id", F.concat(F.lit("The busiest notation is in bars "), F.element_at("p", 1)["from_bar"].cast("string"), F.lit("-"), F.element_at("p", 1)["to_bar"].cast("string"), F.lit(" (notation score "), (-F.element_at("p", 1)["o"]).cast("string"), F.lit(" out of 100).")).alias("answer"), F.array_join(F.transform("p", lambda x: F.concat(x["from_bar"].cast("string"), F.lit("-"), x["to_bar"].cast("string"))), ",").alias("cited"))
+    ranked = complexity(events, scores)
+    passages = complex_passages(ranked).groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "from_bar", "to_bar"))).alias("p"))
+    top = F.element_at("p", 1)
+    # The reasons of the first passage's bars, the busiest bar's first; three of them.
+    why = ranked.join(passages, "score_id").where(F.col("bar_number").between(top["from_bar"], top["to_bar"]) & (F.col("reasons") != "")).groupBy("score_id").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "bar_number", "reasons"))), lambda r: F.split(r["reasons"], "; "))), 1, 3).alias("why"))
+    bars_of = lambda x: F.concat(F.lit("bars "), x["from_bar"].cast("string"), F.lit("-"), x["to_bar"].cast("string"))
+    passages = passages.join(why, "score_id", "left")
+    busy = passages.select("score_id", F.concat(F.lit("The busiest notation is in "), bars_of(top), F.lit(" (notation score "), (-top["o"]).cast("string"), F.lit(" out of 100): "), F.coalesce(_english(F.col("why")), F.lit("it has the most notes")), F.lit(". This is how busy the notes are, not how hard they feel.")).alias("answer"), F.array_join(F.transform("p", lambda x: F.concat(x["from_bar"].cast("string"), F.lit("-"), x["to_bar"].cast("string"))), ",").alias("cited"))
     exact = exact_repeats(events).select("score_id", F.substring_index("bars", ",", 1).cast("int").alias("at"), F.split("bars", ",").alias("bars"))
     groups = exact.groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bars"))), lambda g: F.concat(F.lit("Bars "), _english(g["bars"]), F.lit(" are exactly the same."))), " ").alias("answer"))
-    cited = bar_ranges(exact.select("score_id", F.explode(F.transform("bars", lambda b: b.cast("int"))).alias("bar_number")), ["score_id"]).groupBy("score_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("from_bar", "to_bar"))), 1, 10), lambda x: F.concat(x["from_bar"].cast("string"), F.lit("-"), x["to_bar"].cast("string"))), ",").alias("cited"))
-    summary = overview(events, scores).select("score_id", F.concat(F.lit("This score has "), F.col("total_bars").cast("string"), F.lit(" bars of 4/4 at "), F.col("tempo_bpm").cast("string"), F.lit(" BPM, about "), half_up(F.col("duration_seconds")).cast("string"), F.lit(" seconds long.")).alias("answer"), F.lit("").alias("cited"))
+    alike = near_repeats(events).withColumn("k", F.row_number().over(Window.partitionBy("score_id").orderBy(F.desc("similarity"), "bar_a", "bar_b"))).where("k <= 2")
+    near = alike.groupBy("score_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "bar_a", "bar_b", "similarity"))), lambda m: F.concat(F.lit("Bar "), m["bar_b"].cast("string"), F.lit(" is "), half_up(m["similarity"] * 100).cast("string"), F.lit("% the same as bar "), m["bar_a"].cast("string"), F.lit("."))), " ").alias("near"))
+    groups = groups.join(near, "score_id", "full").select("score_id", F.concat_ws(" ", "answer", "near").alias("answer"))
+    repeated = exact.select("score_id", F.explode(F.transform("bars", lambda b: b.cast("int"))).alias("bar_number")).unionByName(alike.select("score_id", F.explode(F.array("bar_a", "bar_b")).alias("bar_number"))).distinct()
+    cited = bar_ranges(repeated, ["score_id"]).groupBy("score_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("from_bar", "to_bar"))), 1, 10), lambda x: F.concat(x["from_bar"].cast("string"), F.lit("-"), x["to_bar"].cast("string"))), ",").alias("cited"))
+    drums = F.transform(F.slice(F.split("drums_used", ","), 1, 4), lambda d: F.translate(F.substring_index(d, ":", 1), "_", " "))
+    summary = overview(events, scores).join(passages.select("score_id", "p"), "score_id", "left").select("score_id", F.concat(F.lit("This score has "), F.col("total_bars").cast("string"), F.lit(" bars of 4/4 at "), F.col("tempo_bpm").cast("string"), F.lit(" BPM, about "), half_up(F.col("duration_seconds")).cast("string"), F.lit(" seconds long."), F.when(F.col("drums_used") != "", F.concat(F.lit(" It mostly uses "), _english(drums))).otherwise(F.lit(" It has no hits")), F.when(F.col("smallest_note").isNotNull(), F.concat(F.lit(", and the shortest note is a "), "smallest_note")).otherwise(""), F.lit("."), F.coalesce(F.concat(F.lit(" The busiest notation is in "), bars_of(top), F.lit(".")), F.lit(""))).alias("answer"), F.coalesce(F.concat(top["from_bar"].cast("string"), F.lit("-"), top["to_bar"].cast("string")), F.lit("")).alias("cited"))
     by_score = [("find-complex", busy), ("find-repeats", groups.join(cited, "score_id")), ("overview", summary)]
     scored = reduce(DataFrame.unionByName, [whole.where(F.col("question") == q).join(df, "score_id", "left").select("request_id", F.coalesce("answer", F.lit("No bars repeat in this part of the score.") if q == "find-repeats" else F.lit(None).cast("string")).alias("answer"), F.coalesce("cited", F.lit("")).alias("cited")) for q, df in by_score])
     found = said.unionByName(plan).unionByName(scored.where("answer is not null"))

@@ -144,7 +144,12 @@ def benchmark_summary(results: DataFrame, prices: tuple[float, float] | None = N
     """
     ok = F.col("error").isNull() & F.col("exact").isNotNull()
     s = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
-    counts = results.groupBy("set", "provider").agg(F.count(F.lit(1)).alias("bars"), F.count_if(ok).alias("answered"), F.count_if(ok & F.col("exact")).alias("n_exact"), *[s(c).alias(c) for c in ("onsets_truth", "onsets_predicted", "onsets_matched", "hits_truth", "hits_predicted", "hits_matched", "durations_compared", "durations_matched", "input_tokens", "output_tokens")], *[F.expr(f"percentile_disc({p}) within group (order by case when error is null and exact is not null then ms end)").alias(f"p{int(p * 100)}_ms") for p in (0.5, 0.95)])
+    counts = results.groupBy("set", "provider").agg(F.count(F.lit(1)).alias("bars"), F.count_if(ok).alias("answered"), F.count_if(ok & F.col("exact")).alias("n_exact"), *[s(c).alias(c) for c in ("onsets_truth", "onsets_predicted", "onsets_matched", "hits_truth", "hits_predicted", "hits_matched", "durations_compared", "durations_matched", "input_tokens", "output_tokens")])
+    # Nearest rank by counts of equal values, so that no group's values are gathered.
+    w = Window.partitionBy("set", "provider")
+    placed = results.where(ok & F.col("ms").isNotNull()).groupBy("set", "provider", "ms").agg(F.count(F.lit(1)).alias("c")).withColumns({"upto": F.sum("c").over(w.orderBy("ms")), "n": F.sum("c").over(w)})
+    ranks = placed.groupBy("set", "provider").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(p)), F.col("ms"))).alias(f"p{int(p * 100)}_ms") for p in (0.5, 0.95)])
+    counts = counts.join(ranks, ["set", "provider"], "left")
     f1 = lambda k: F.coalesce(half_up(F.try_divide(2000.0 * F.col(f"{k}_matched"), F.col(f"{k}_truth") + F.col(f"{k}_predicted"))) / 10.0, F.lit(0.0))
     cost = F.lit(None).cast("double") if prices is None else half_up((F.col("input_tokens") * prices[0] + F.col("output_tokens") * prices[1]) / 1e6 * 10_000) / 10_000.0
     return counts.select("set", "provider", "bars", "answered", (F.col("bars") - F.col("answered")).alias("errors"), tenth_percent(F.col("bars") - F.col("answered"), F.col("bars")).alias("error_rate"), tenth_percent(F.col("n_exact"), F.col("bars")).alias("exact_bars"), f1("onsets").alias("onset_f1"), f1("hits").alias("drum_hit_f1"), tenth_percent(F.col("durations_matched"), F.col("durations_compared")).alias("duration_accuracy"), "p50_ms", "p95_ms", "input_tokens", "output_tokens", cost.alias("cost_usd"))

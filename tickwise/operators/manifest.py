@@ -30,13 +30,18 @@ def normalise_title(name: Column, bands: tuple[str, ...] = BANDS, aliases: dict[
 def link_by_title(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """MF2: docs(doc, title) -> the group of groups(title) with that title, else the only one that starts with it or the other way; null otherwise.
 
-    The prefix join is kept to titles that share their first character; an empty title matches
-    every group, so it links only where there is one group in all.
+    The longer title of a pair lists its beginnings and the other meets them as a whole, so that both joins
+    are by equal values. An empty title matches every group, so it links only where there is one in all.
     """
+    beginnings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
     known = groups.select(F.col("title").alias("found")).where("found <> ''").distinct()
     exact = docs.join(known, docs.title == F.col("found"), "left")
-    open_ = exact.where("found is null and title <> ''").drop("found").withColumn("c", F.substring("title", 1, 1))
-    near = open_.join(known.withColumn("c", F.substring("found", 1, 1)), "c").where(F.col("found").startswith(F.col("title")) | F.col("title").startswith(F.col("found"))).groupBy("doc", "title").agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("near"))
+    open_ = exact.where("found is null and title <> ''").select("doc", "title")
+    titles = open_.select("title").distinct()
+    shorter = titles.withColumn("found", beginnings("title")).join(known, "found")
+    longer = known.withColumn("title", beginnings("found")).join(titles, "title").select("title", "found")
+    by_title = shorter.select("title", "found").unionByName(longer).distinct().groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("near"))
+    near = open_.distinct().join(by_title, "title")
     only = known.agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("one")).first()
     lone = F.when((F.col("title") == "") & F.lit(only.n == 1), F.lit(only.one))
     return exact.join(near, ["doc", "title"], "left").select("doc", "title", F.coalesce("found", F.when(F.col("n") == 1, F.col("near")), lone).alias("group"), F.when(F.col("found").isNotNull(), "exact").when((F.col("n") == 1) | lone.isNotNull(), "prefix").otherwise("none").alias("how"))

@@ -117,12 +117,12 @@ def playback_clicks(requests: DataFrame, beats: int = 4) -> DataFrame:
     return lead.unionByName(main).select("request_id", ticks.cast("long").alias("ticks"), (ticks * F.col("tick_s")).alias("time"), (F.col("beat") % beats == 0).alias("accent"), "count_in")
 
 
-def events_between(hits: DataFrame, requests: DataFrame, windows: DataFrame, most_loops: int = 10_000) -> DataFrame:
+def events_between(hits: DataFrame, requests: DataFrame, windows: DataFrame) -> DataFrame:
     """PB5: windows(request_id, from_s, to_s, loop) -> hits in [from_s, to_s) with the pass they belong to; loops are bounded by the window's length."""
     q = _asked(requests).select("request_id", ((F.col("to_bar") - F.col("from_bar") + 1) * BAR_TICKS * F.col("tick_s")).alias("loop_s"))
     rows = hits.join(windows.join(q, "request_id"), "request_id")
     first = F.greatest(F.lit(0), F.ceil((F.col("from_s") - F.col("time")) / F.col("loop_s")) - 1)
-    last = F.least(F.ceil((F.col("to_s") - F.col("time")) / F.col("loop_s")) + 1, first + most_loops)
+    last = F.ceil((F.col("to_s") - F.col("time")) / F.col("loop_s")) + 1
     passes = F.when(F.col("loop"), F.sequence(first, F.greatest(first, last))).otherwise(F.array(F.lit(0).cast("long")))
     return rows.withColumn("pass", F.explode(passes)).withColumn("time", F.col("time") + F.col("pass") * F.col("loop_s")).where((F.col("time") >= F.col("from_s")) & (F.col("time") < F.col("to_s"))).select("request_id", "time", "drum", "bar_number", "event_idx", "pass")
 

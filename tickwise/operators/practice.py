@@ -131,15 +131,26 @@ def export_student(t: dict[str, DataFrame], student_id) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("table"), F.to_json(F.struct("*")).alias("row")) for n, df in own.items()])
 
 
+def _quoted(text: Column) -> Column:
+    """Text as a pattern that matches it literally."""
+    return F.regexp_replace(text, r"([^A-Za-z0-9\s])", r"\\$1")
+
+
 def pseudonymise(facts: DataFrame, students: DataFrame, assignments: DataFrame) -> DataFrame:
-    """PR11: facts without names: titles become assignment n, scores become score A, the student's name becomes the student."""
-    titles = list_assignments(assignments).where("status = 'assigned'").withColumn("k", F.row_number().over(Window.partitionBy("student_id").orderBy("place"))).select("student_id", F.concat(F.lit('"'), "title", F.lit('"')).alias("old"), F.concat(F.lit("assignment "), F.col("k").cast("string")).alias("new"))
-    named = facts.withColumns({"old": F.regexp_extract("text", '("[^"]*")', 1), "score": F.regexp_extract("text", r"^Score (\S+) ", 1)})
+    """PR11: facts without names: titles become assignment n, scores become score A, the student's name, in any case, becomes the student.
+
+    Open assignments of one title are one: the number of the last of them, as they are listed. A fact's
+    title is what stands between its first quotation mark and the words after the last one.
+    """
+    listed = list_assignments(assignments).where("status = 'assigned'").withColumn("k", F.row_number().over(Window.partitionBy("student_id").orderBy("place")))
+    titles = listed.groupBy("student_id", F.col("title").alias("old")).agg(F.concat(F.lit("assignment "), F.max("k").cast("string")).alias("new"))
+    named = facts.withColumns({"old": F.regexp_extract("text", '^Open assignment "(.*)" [^"]*$', 1), "tail": F.regexp_extract("text", '^Open assignment ".*"( [^"]*)$', 1), "score": F.regexp_extract("text", r"^Score (\S+) ", 1)})
     rank = F.dense_rank().over(Window.partitionBy("student_id").orderBy("score"))
     scores = named.where("score <> ''").select("student_id", "score").distinct().withColumn("letter", F.char(65 + (rank - 1) % 26))
     rows = named.join(titles, ["student_id", "old"], "left").join(scores, ["student_id", "score"], "left").join(students.select("student_id", "display_name"), "student_id")
-    text = F.when(F.col("new").isNotNull(), F.replace("text", F.col("old"), F.col("new"))).when(F.col("letter").isNotNull(), F.concat(F.lit("score "), "letter", F.substring(F.col("text"), F.length("score") + 7, F.length("text")))).otherwise(F.col("text"))
-    return rows.select("student_id", "n", "fact_id", F.replace(text, F.col("display_name"), F.lit("the student")).alias("text"), "value")
+    text = F.when(F.col("new").isNotNull(), F.concat(F.lit("Open assignment "), "new", "tail")).when(F.col("letter").isNotNull(), F.concat(F.lit("score "), "letter", F.substring(F.col("text"), F.length("score") + 7, F.length("text")))).otherwise(F.col("text"))
+    clean = F.when(F.trim("display_name") == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit("(?iu)"), _quoted(F.trim("display_name"))), F.lit("the student")))
+    return rows.select("student_id", "n", "fact_id", F.coalesce(clean, text).alias("text"), "value")
 
 
 def offline_summary(t: dict[str, DataFrame], since: datetime | None = None) -> DataFrame:

@@ -5,14 +5,10 @@ Word edges are written as explicit ASCII guards, for Java's \\b takes accented l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -61,19 +57,19 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
-def unsupported_claims(text: Column) -> Column:
-    """TX3: sentences that claim what a score does not record, and do not say so."""
-    return F.filter(sentences(text), lambda s: s.rlike(UNSUPPORTED) & ~s.rlike(UNAVAILABLE))
+def unsupported_claims(text: Column, told: Column | None = None) -> Column:
+    """TX3: sentences (told, if they are at hand) that claim what a score does not record, and do not say so."""
+    return F.filter(sentences(text) if told is None else told, lambda s: s.rlike(UNSUPPORTED) & ~s.rlike(UNAVAILABLE))
 
 
-def ungrounded_drums(text: Column, seen: Column) -> Column:
+def ungrounded_drums(text: Column, seen: Column, told: Column | None = None) -> Column:
     """TX4: sentences that name a drum missing from seen array<string>, or an instrument no score has; negated ones are exempt."""
 
     def bad(s: Column) -> Column:
         named = [s.rlike(p) & ~F.arrays_overlap(seen, F.array(*[F.lit(d) for d in drums])) for p, drums in DRUM_WORDS]
         return ~s.rlike(NEGATED) & (s.rlike(NOT_IN_SCORES) | reduce(Column.__or__, named))
 
-    return F.filter(sentences(text), bad)
+    return F.filter(sentences(text) if told is None else told, bad)
 
 
 def safety_flags(text: Column, abstained: Column) -> Column:
@@ -92,9 +88,10 @@ def bar_mentions(text: Column) -> Column:
     parts = F.concat(lists, F.regexp_extract_all(text, F.lit(_BARE), F.lit(1)))
 
     def spread(part: Column) -> Column:
-        ends = F.transform(F.regexp_extract_all(part, F.lit(r"(\d{1,9})"), F.lit(1)), lambda d: d.cast("int"))
+        # A number stands as it is written; one beyond a long is the largest long.
+        ends = F.transform(F.regexp_extract_all(part, F.lit(r"(\d+)"), F.lit(1)), lambda d: F.coalesce(d.try_cast("long"), F.lit((1 << 63) - 1)))
         lo, hi = F.array_min(ends), F.array_max(ends)
-        return F.when(F.size(ends) == 0, F.array().cast("array<int>")).otherwise(F.sequence(lo, F.least(hi, lo + 1999)))
+        return F.when(F.size(ends) == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(lo, F.when(hi - lo > 1999, lo + 1999).otherwise(hi)))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, spread))))
 
@@ -233,8 +230,9 @@ def check_answers(answers: DataFrame, exercises: DataFrame | None = None) -> Dat
 
     With actions and exercises, TX13's problems are among them.
     """
-    text = F.coalesce("answer", F.lit(""))
-    bars = bar_mentions(text)
+    # The bars that a text names and its sentences serve several checks: columns, so that they are found once.
+    answers = answers.withColumn("_text", F.coalesce("answer", F.lit(""))).withColumns({"_bars": bar_mentions(F.col("_text")), "_told": sentences(F.col("_text"))})
+    text, bars, told = F.col("_text"), F.col("_bars"), F.col("_told")
     outside = F.exists(bars, lambda n: ~n.between(F.col("first_bar"), F.col("last_bar")))
     uncited = F.exists(bars, lambda n: ~F.exists("references", lambda r: n.between(r["from_bar"], r["to_bar"])))
     flags = safety_flags(F.array_join(F.concat(F.array(text), F.coalesce("caveats", F.array().cast("array<string>"))), "\n"), F.col("abstained"))
@@ -244,12 +242,12 @@ def check_answers(answers: DataFrame, exercises: DataFrame | None = None) -> Dat
         F.when(~F.forall("references", lambda r: (r["from_bar"] >= F.col("first_bar")) & (r["to_bar"] <= F.col("last_bar")) & (r["from_bar"] <= r["to_bar"])), "reference is not a range of the score"),
         F.when(has_hidden(text) | F.exists(F.coalesce("caveats", F.array().cast("array<string>")), has_hidden), "hidden characters"),
         F.when(text.rlike(JARGON), "internal words"),
-        F.when(F.size(unsupported_claims(text)) > 0, "claims what the score does not record"),
+        F.when(F.size(unsupported_claims(text, told)) > 0, "claims what the score does not record"),
         F.when(flags["unsafe"], "unsafe"), F.when(flags["leak"], "talks about its instructions"),
         F.when(~F.col("abstained") & ~text.rlike(ON_TOPIC), "off topic"),
         F.when(F.col("abstained") & outside, "names bars outside the score"),
         F.when(~F.col("abstained") & uncited, "names bars that are not cited"),
-        F.when(F.size(ungrounded_drums(text, F.col("seen_drums"))) > 0, "names drums that were not looked up"),
+        F.when(F.size(ungrounded_drums(text, F.col("seen_drums"), told)) > 0, "names drums that were not looked up"),
     ))
     found = answers.select("answer_id", F.explode(problems).alias("problem"))
     return found if exercises is None else found.unionByName(validate_actions(answers, exercises).select("answer_id", F.concat(F.lit("action "), (F.col("idx") + 1).cast("string"), F.lit(": "), "problem").alias("problem")))
@@ -285,24 +283,3 @@ def check_summaries(drafts: DataFrame, facts: DataFrame, students: DataFrame) ->
     whole = d.select(F.col("draft_id").cast("string").alias("text_id"), F.col("student_id"), F.array_join(F.concat(F.array(F.coalesce("summary", F.lit(""))), F.coalesce("caveats", none)), " ").alias("text"))
     wrong = ungrounded_numbers(item_texts, item_facts).unionByName(ungrounded_numbers(whole, facts)).select(F.substring_index("text_id", "|", 1).cast(drafts.schema["draft_id"].dataType).alias("draft_id"), F.lit("a number is no cited fact's value").alias("problem"))
     return first.unionByName(unknown).unionByName(wrong).distinct()
-
-
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def bar_mentions_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """TX6 by Arrow batches, for texts so long that nested array functions are slow; same result as bar_mentions()."""
-    import re
-
-    after = re.compile(rf"{_L}bars?\s+({_NUMBERS})", re.I | re.A)
-    bare = re.compile(_BARE.removeprefix("(?i)"), re.I | re.A)
-
-    def numbers(text: str | None) -> list[int]:
-        found: set[int] = set()
-        parts = [p for m in after.finditer(text or "") for p in re.split(r"\s*(?:,|and|&|or)\s*", m[1], flags=re.I)]
-        for part in [*parts, *(m[1] for m in bare.finditer(text or ""))]:
-            ends = [int(x) for x in re.findall(r"\d{1,9}", part)]
-            if ends:
-                found.update(range(min(ends), min(max(ends), min(ends) + 1999) + 1))
-        return sorted(found)
-
-    for batch in texts:
-        yield batch.map(numbers)

@@ -150,7 +150,13 @@ def ev17_segmentation(spark, sf_dir):
 
 @query
 def pr1_validate_practice(spark, sf_dir):
-    return pr.validate_practice(ad.practice(spark, sf_dir))
+    t = ad.practice(spark, sf_dir)
+    n = F.col("session_id")
+    students = t["students"].withColumns({"level": F.when(F.col("student_id") % 17 == 0, "expert").otherwise(F.col("level")), "display_name": F.when(F.col("student_id") % 19 == 0, "").otherwise(F.col("display_name")), "cloud_help": F.col("student_id") % 3 == 0})
+    sessions = t["sessions"].withColumns({"from_bar": F.when(n % 23 == 0, F.col("to_bar") + 1).otherwise(F.col("from_bar")), "target_bpm": F.when(n % 29 == 0, 401).otherwise(F.col("target_bpm")), "self_rating": F.when(n % 31 == 0, 6).otherwise(F.col("self_rating")), "minutes": F.when(n % 37 == 0, -1.0).otherwise(F.col("minutes"))})
+    attempts = t["attempts"].withColumn("bpm", F.when((F.col("bpm") == 60) & (n % 5 == 0), 0).otherwise(F.col("bpm")))
+    assignments = t["assignments"].withColumns({"status": F.when(F.col("assignment_id") % 41 == 0, "late").otherwise(F.col("status")), "title": F.when(F.col("assignment_id") % 43 == 0, F.repeat(F.lit("x"), 201)).otherwise(F.col("title"))})
+    return pr.validate_practice(t | {"students": students, "sessions": sessions, "attempts": attempts, "assignments": assignments}).groupBy("table", "id", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -214,7 +220,9 @@ def _playback(spark, sf_dir):
 @query
 def pb1_validate_predictions(spark, sf_dir):
     _, p = ad.truth_and_predictions(spark, sf_dir)
-    return pb.validate_predictions(p.withColumn("idx", F.col("position")))
+    n = F.col("item_id")
+    bad = p.withColumns({"idx": F.col("position"), "position": F.when((n % 7 == 0) & (F.col("position") % 5 == 0), F.col("position") - 40).otherwise(F.col("position")), "duration": F.when(n % 11 == 0, "sixty_fourth").otherwise(F.col("duration")), "drums": F.when(n % 13 == 0, F.array(F.lit("gong"))).when(n % 17 == 0, F.array().cast("array<string>")).otherwise(F.col("drums"))})
+    return pb.validate_predictions(bad)
 
 
 @query
@@ -260,12 +268,6 @@ def _catalogue(spark, sf_dir):
     return p.select(F.concat(F.lit("ex"), F.lpad(n.cast("string"), 9, "0")).alias("id"), ad.pick(("exercise", "fill"), n % 2).alias("kind"), F.col("p_name").alias("title"), ad.pick(("beginner", "intermediate", "advanced"), n % 3).alias("level"), F.array(ad.pick(("rock", "jazz", "funk"), n % 3)).alias("styles"), ad.pick(("8th", "16th", "triplet 8th"), n % 3).alias("subdivision"), F.array(F.lit("hands"), ad.pick(("foot", "hands"), n % 2)).alias("limbs"), F.array_distinct(F.array(ad.pick(goals, n % 5), ad.pick(goals, n % 3))).alias("goals"), (50 + n % 40).cast("int").alias("tempo_min"), (80 + n % 60).cast("int").alias("tempo_target"), (100 + n % 90).cast("int").alias("tempo_max"), F.col("p_type").alias("description"))
 
 
-def _catalogue_page(spark, sf_dir):
-    """What a teacher would shelve: the catalogue's bronze or gold pieces of one brand."""
-    p = ad.table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("ex"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("id"))
-    return _catalogue(spark, sf_dir).join(p, "id", "left_semi")
-
-
 @query
 def ex1_search_exercises(spark, sf_dir):
     n = F.col("c_custkey")
@@ -282,7 +284,7 @@ def ex3_passage_facts(spark, sf_dir):
 @query
 def ex4_exercises_for_passage(spark, sf_dir):
     e, q = ad.events(spark, sf_dir), ad.requests(spark, sf_dir)
-    return ex.exercises_for_passage(ex.passage_facts(an.inspect_bars(e, q), e, q), _catalogue_page(spark, sf_dir))
+    return ex.exercises_for_passage(ex.passage_facts(an.inspect_bars(e, q), e, q), _catalogue(spark, sf_dir))
 
 
 @query
@@ -290,7 +292,7 @@ def ex5_recommend_fills(spark, sf_dir):
     s = ad.scores(spark, sf_dir)
     n = F.col("score_id")
     asked = s.select(n.alias("request_id"), "tempo_bpm", ad.pick(("8th", "16th"), n % 2).alias("subdivision"), ad.pick(("beginner", "intermediate", "advanced"), n % 3).alias("level"), ad.pick(("rock", "jazz"), n % 2).alias("style"))
-    return ex.recommend_fills(asked, _catalogue_page(spark, sf_dir))
+    return ex.recommend_fills(asked, _catalogue(spark, sf_dir))
 
 
 @query

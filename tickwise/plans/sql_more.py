@@ -122,8 +122,8 @@ say("mf1_normalise_title", f"t AS (SELECT p_partkey AS doc, {pick(('Rush ', 'AC_
 
 
 _GOALS = ("triplets", "syncopation", "kick independence", "tom movement", "reading rests")
-CATALOGUE = f"""ca AS (SELECT p_partkey AS n, p_size, 'ex' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, {pick(("exercise", "fill"), 'p_partkey % 2')} AS kind, p_partkey % 3 AS level, {pick(("rock", "jazz", "funk"), 'p_partkey % 3')} AS style, {pick(_GOALS, 'p_partkey % 5')} AS g1, {pick(_GOALS, 'p_partkey % 3')} AS g2, CASE WHEN p_partkey % 3 = 1 THEN 3 ELSE 2 END AS depth, 50 + p_partkey % 40 AS lo, 80 + p_partkey % 60 AS target, 100 + p_partkey % 90 AS hi FROM part)"""
+CATALOGUE = f"""ca AS (SELECT p_partkey AS n, 'ex' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, {pick(("exercise", "fill"), 'p_partkey % 2')} AS kind, p_partkey % 3 AS level, {pick(("rock", "jazz", "funk"), 'p_partkey % 3')} AS style, {pick(_GOALS, 'p_partkey % 5')} AS g1, {pick(_GOALS, 'p_partkey % 3')} AS g2, CASE WHEN p_partkey % 3 = 1 THEN 3 ELSE 2 END AS depth, 50 + p_partkey % 40 AS lo, 80 + p_partkey % 60 AS target, 100 + p_partkey % 90 AS hi FROM part)"""
 say("ex1_search_exercises", CATALOGUE, f""", q AS (SELECT n_nationkey AS n, {pick(("triplets", "syncopation", "tom movement"), 'n_nationkey % 3')} AS goal FROM nation), r AS (SELECT q.n AS query_id, id, 10 * (1 + (q.n % 2 = 0)::INT + (q.n % 3 = 0)::INT + (q.n % 4 = 0)::INT + (q.n % 5 = 0)::INT) AS score FROM q JOIN ca ON (q.n % 2 <> 0 OR ca.level = q.n % 3) AND (q.n % 3 <> 0 OR kind = 'fill') AND (q.n % 4 <> 0 OR hi <= 120) AND (q.n % 5 <> 0 OR style = 'rock') AND goal IN (g1, g2)) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r""")
-say("ex5_recommend_fills", EVENTS + "," + CATALOGUE, """, r AS (SELECT score_id AS request_id, id, CASE WHEN style = CASE score_id % 2 WHEN 0 THEN 'rock' ELSE 'jazz' END THEN 100 ELSE 0 END + greatest(0, 50 - abs(target - tempo_bpm)) AS score FROM sc JOIN ca ON kind = 'fill' AND p_size = 1 AND level <= score_id % 3 AND level >= score_id % 3 - 1 AND tempo_bpm BETWEEN lo AND hi AND depth <= 2 + score_id % 2), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM r) SELECT * FROM k WHERE rank <= 3""")
+say("ex5_recommend_fills", EVENTS + "," + CATALOGUE, """, r AS (SELECT score_id AS request_id, id, CASE WHEN style = CASE score_id % 2 WHEN 0 THEN 'rock' ELSE 'jazz' END THEN 100 ELSE 0 END + greatest(0, 50 - abs(target - tempo_bpm)) AS score FROM sc JOIN ca ON kind = 'fill' AND level <= score_id % 3 AND level >= score_id % 3 - 1 AND tempo_bpm BETWEEN lo AND hi AND depth <= 2 + score_id % 2), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM r) SELECT * FROM k WHERE rank <= 3""")
 say("pr3_orphans", PRACTICE, """, s AS (SELECT c_custkey AS student_id FROM customer WHERE c_custkey % 3 <> 2), q AS (SELECT * FROM ss WHERE self_rating IS NOT NULL), u AS (SELECT 'sessions' AS t FROM q ANTI JOIN s USING (student_id) UNION ALL SELECT 'assignments' FROM gg ANTI JOIN s USING (student_id) UNION ALL SELECT 'resets' FROM rr ANTI JOIN s USING (student_id) UNION ALL SELECT 'attempts' FROM aa ANTI JOIN q USING (session_id)) SELECT t AS "table", count(*) AS n FROM u GROUP BY 1""")
 say("pb5_events_between", EVENTS, """, q AS (SELECT score_id, from_bar, to_bar, 60.0::DOUBLE / (tempo_bpm * 48) AS s, ((to_bar - from_bar + 1) * 192) * (60.0::DOUBLE / (tempo_bpm * 48)) AS loop_s FROM rq JOIN sc USING (score_id)), h AS (SELECT score_id AS request_id, bar_number, onset, drum, (192 + (bar_number - from_bar) * 192 + onset) * s AS t, loop_s FROM ht JOIN q USING (score_id) WHERE bar_number BETWEEN from_bar AND to_bar), x AS (SELECT *, unnest(range(0, 30)) AS pass FROM h) SELECT request_id, round(t + pass * loop_s, 5) AS time, drum, bar_number, pass FROM x WHERE t + pass * loop_s >= 5.0 AND t + pass * loop_s < 25.0""")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +50,25 @@ def read_scores(spark: SparkSession, path: str, version: int = 1) -> tuple[DataF
     return rows.where(ok).select("path", "s.*").withColumn("schema_version", F.lit(version)), rows.where(~ok).select("path", why.alias("problem"))
 
 
-def hash_files(spark: SparkSession, path: str, most_bytes: int = 256 * 1024 * 1024) -> DataFrame:
-    """IO4: path, length and SHA-256 of each file; the hash of a file above most_bytes is null, its content is not read."""
+def hash_files(spark: SparkSession, path: str, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """IO4: path, length and SHA-256 of each file. Files up to most_bytes are hashed as one value, larger ones as a stream of 1 MB pieces."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    return small.unionByName(files.where(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256")))
+
+    def streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = []
+            for name in batch.column(0).to_pylist():
+                fs, inner = pafs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with fs.open_input_stream(inner) as source:
+                    while piece := source.read(1 << 20):
+                        digest.update(piece)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, type=pa.string())], names=["path", "length", "sha256"])
+
+    large = files.where(F.col("length") > most_bytes).select("path", "length")
+    return small.unionByName(large.mapInArrow(streamed, "path string, length long, sha256 string"))
 
 
 _TIMES = ("started_at", "ended_at", "at", "created_at", "completed_at", "reset_at")
