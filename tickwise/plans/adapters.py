@@ -30,6 +30,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.select(F.floor(F.col("k") / 50).alias("score_id"), (F.col("k") % 50 + 1).cast("int").alias("bar_number"), F.col("step").alias("event_idx"), onset.alias("onset_ticks"), F.col("len").alias("duration_ticks"), F.when(F.col("n") == 16, "16").otherwise("8").alias("written_duration"), F.lit(False).alias("dotted"), (F.col("n") == 12).alias("triplet"), drums.alias("drums"), (F.size(drums) == 0).alias("is_rest"))
 
 
+def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as nested documents of fifty bars; bars without an order have no notes."""
+    note = F.struct(F.concat_ws("-", F.lit("e"), "score_id", "bar_number", "event_idx").alias("event_id"), F.col("written_duration").alias("duration"), "dotted", "triplet", "drums")
+    per_bar = events(spark, sf_dir).withColumn("note", note).groupBy("score_id", "bar_number").agg(F.array_sort(F.collect_list(F.struct("event_idx", "note")))["note"].alias("notes"))
+    nested = per_bar.groupBy("score_id").agg(F.map_from_entries(F.collect_list(F.struct("bar_number", "notes"))).alias("by_number"))
+    notes = lambda n: F.coalesce(F.try_element_at("by_number", n), F.array().cast(per_bar.schema["notes"].dataType))
+    bar = lambda n: F.struct(F.concat_ws("-", F.lit("b"), "score_id", n).alias("bar_id"), F.struct(F.lit("manual").alias("source"), (n % 7 != 0).alias("reviewed")).alias("provenance"), notes(n).alias("notes"))
+    return nested.select("score_id", (F.col("score_id") % 5).cast("int").alias("revision"), F.concat(F.lit("Song "), F.col("score_id").cast("string")).alias("title"), (F.col("score_id") % 150 + 60).cast("int").alias("tempo_bpm"), F.struct(F.lit(4).alias("beats"), F.lit(4).alias("beat_unit")).alias("meter"), F.transform(F.sequence(F.lit(1), F.lit(50)), bar).alias("bars"))
+
+
+def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a fault in most of them, by the score's number: each kind of rule is broken somewhere."""
+    d = score_documents(spark, sf_dir)
+    n = F.col("score_id")
+    note = lambda x: F.struct(F.when((n % 11 == 3) & x["event_id"].endswith("-0"), F.lit("bad id!")).otherwise(x["event_id"]).alias("event_id"), F.when((n % 11 == 4) & x["event_id"].endswith("-1"), F.lit("64")).otherwise(x["duration"]).alias("duration"), ((n % 11 == 5) & x["triplet"]).alias("dotted"), (x["triplet"] & ~((n % 11 == 6) & x["event_id"].endswith("-2"))).alias("triplet"), F.when((n % 11 == 7) & x["event_id"].endswith("-0"), F.array(F.lit("kick"), F.lit("kick"), F.lit("gong"))).otherwise(x["drums"]).alias("drums"))
+    bar = lambda b: F.struct(F.when((n % 11 == 8), F.lit("b-same")).otherwise(b["bar_id"]).alias("bar_id"), F.struct(F.when(n % 11 == 9, F.lit("guess")).otherwise(b["provenance"]["source"]).alias("source"), F.when(n % 11 != 9, b["provenance"]["reviewed"]).alias("reviewed")).alias("provenance"), F.transform(b["notes"], note).alias("notes"))
+    meter = F.struct(F.when(n % 11 == 10, 3).otherwise(4).alias("beats"), F.when(n % 13 == 1, 3).otherwise(4).alias("beat_unit"))
+    return d.select(F.when(n % 13 != 2, n.cast("string")).alias("score_id"), F.when(n % 13 == 3, -1).otherwise(F.col("revision")).alias("revision"), F.when(n % 13 == 4, F.repeat("title", 50)).otherwise(F.col("title")).alias("title"), F.when(n % 13 == 5, 301).otherwise(F.col("tempo_bpm")).alias("tempo_bpm"), meter.alias("meter"), F.transform("bars", bar).alias("bars"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
     return k.select(F.floor(F.col("k") / 50).alias("score_id"), (F.col("k") % 50 + 1).cast("int").alias("bar_number"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("bar_id"), (F.col("k") % 7 != 0).alias("reviewed"), (F.col("k") % 3).cast("int").alias("warning_count"))

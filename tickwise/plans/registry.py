@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickwise.operators import analytics as an
 from tickwise.operators import scores as sc
 from tickwise.plans import adapters as ad
-from tickwise.plans import registry_more, sql_more
+from tickwise.plans import registry_checks, registry_more, sql_more
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,18 @@ def _of_events(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: fn(ad.events(spark, sf_dir))
 
 
-_of_events("sc2_score_events", lambda e: e.drop("dotted").withColumn("drums", F.array_join("drums", "+")))
+
+
+@query
+def sc2_score_events(spark, sf_dir):
+    return sc.score_events(ad.score_documents(spark, sf_dir)).drop("dotted", "bar_id", "event_id").withColumn("drums", F.array_join("drums", "+"))
+
+
+@query
+def sc5_validate_scores(spark, sf_dir):
+    return sc.validate_scores(ad.faulty_documents(spark, sf_dir))
+
+
 _of_events("sc3_bar_fill", sc.bar_fill)
 _of_events("sc4_triplet_groups", lambda e: sc.bar_rows(e).select("score_id", "bar_number", "triplet_groups"))
 _of_events("sc6_validate_events", lambda e: sc.validate_events(e).drop("event_idx"))
@@ -46,7 +57,7 @@ _of_events("an4_inspect_bars", an.inspect_bars)
 _of_events("an6_exact_repeats", an.exact_repeats)
 _of_events("an7_near_repeats", an.near_repeats)
 _of_events("an8_corpus_patterns", an.corpus_patterns)
-_of_events("an8_corpus_near_patterns", lambda e: an.corpus_near_patterns(e, threshold=0.95))
+_of_events("an8_corpus_near_patterns", lambda e: an.corpus_near_patterns(e))
 _of_events("an9_fill_candidates", lambda e: an.fill_candidates(e).drop("reasons"))
 
 
@@ -124,8 +135,8 @@ def an17_offline_answers(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | registry_more.QUERIES
+    return QUERIES | registry_more.QUERIES | registry_checks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in sql_more.SQL.items() if k in queries()}
+    return {k: v for k, v in (sql_more.SQL | registry_checks.SQL).items() if k in queries()}
