@@ -155,10 +155,14 @@ def note(position, duration, *drums):
     return {"position": position, "duration": duration, "drums": list(drums)}
 
 
-@pytest.mark.parametrize(
-    ("notes", "written", "codes"),
-    [
-        ([], ["w"], []),
+def bars_of(spark, cases):
+    """item -> its bar, for lists of predicted notes."""
+    rows = [(i, n["position"], n["duration"], n["drums"]) for i, notes in enumerate(cases) for n in notes]
+    return {r.item_id: r for r in pb.bars_from_predictions(spark.createDataFrame(rows, "item_id int, position int, duration string, drums array<string>")).collect()}
+
+
+def test_bars_from_predictions(spark):
+    cases = [
         ([note(0, "quarter", "kick"), note(16, "half", "snare")], ["q kick", "q", "h snare"], []),
         ([note(0, "half", "kick"), note(8, "quarter", "snare")], ["q kick", "q snare", "h"], ["shortened"]),
         ([note(24, "half", "crash")], ["h", "q", "q crash"], ["shortened"]),
@@ -167,13 +171,12 @@ def note(position, duration, *drums):
         ([note(8, "triplet_sixteenth", "snare"), note(9, "triplet_sixteenth", "snare"), note(11, "triplet_sixteenth", "snare")], ["q", "16t snare", "16t snare", "16t snare", "h", "8"], []),
         ([note(0, "triplet_eighth", "kick"), note(1, "triplet_eighth", "snare"), note(2, "sixteenth", HH)], ["8t kick snare", f"8t {HH}", "8t", "h", "q"], ["merged_into_chord", "merged_into_triplet"]),
         ([note(0, "dotted_quarter", "kick"), note(13, "triplet_eighth", "snare")], ["q. kick", "32", "8 snare", "q", "8", "16", "32"], ["triplet_unplaced"]),
-    ],
-)
-def test_bar_from_prediction(notes, written, codes):
-    bar, warnings = pb.fill_bar(notes)
-    text = [" ".join([x["duration"] + "." * x["dotted"] + "t" * x["triplet"], *x["drums"]]) for x in bar]
-    # Rests are filled longest first; the goldens list them in the order of the bar.
-    assert sorted(text) == sorted(written) and [w["code"] for w in warnings] == codes
+    ]
+    got = bars_of(spark, [notes for notes, _, _ in cases])
+    for i, (_, written, codes) in enumerate(cases):
+        text = [" ".join([x["duration"] + "." * x["dotted"] + "t" * x["triplet"], *x["drums"]]) for x in got[i].notes]
+        # Rests are filled longest first; the goldens list them in the order of the bar.
+        assert sorted(text) == sorted(written) and [w["code"] for w in got[i].warnings] == codes, (text, got[i].warnings)
 
 
 def test_every_bar_is_full(spark):
@@ -181,8 +184,8 @@ def test_every_bar_is_full(spark):
 
     from tickwise.functions.notation import DURATION_TICKS, MODEL_SHAPES
 
-    for a, b, d, e in itertools.product((0, 3, 7, 13), (14, 20, 31), MODEL_SHAPES, ("eighth", "triplet_eighth", "whole")):
-        bar, _ = pb.fill_bar([note(a, d, "kick"), note(b, e, "snare")])
+    pairs = [[note(a, d, "kick"), note(b, e, "snare")] for a, b, d, e in itertools.product((0, 3, 7, 13), (14, 20, 31), MODEL_SHAPES, ("eighth", "triplet_eighth", "whole"))]
+    for bar in (r.notes for r in bars_of(spark, pairs).values()):
         assert sum(DURATION_TICKS[x["duration"]] * (3 if x["dotted"] else 2) // (3 if x["triplet"] else 2) for x in bar) == 192 or sum(DURATION_TICKS[x["duration"]] * (1.5 if x["dotted"] else 2 / 3 if x["triplet"] else 1) for x in bar) == pytest.approx(192)
     rows = spark.createDataFrame([("i", 0, 32, "eighth", ["kick"]), ("i", 1, 4, "quintuplet", ["cowbell"]), ("i", 2, 4, "eighth", [])], "item_id string, idx int, position int, duration string, drums array<string>")
     assert {r.problem for r in pb.validate_predictions(rows).collect()} == {"position is off the grid", "position is out of order", "unknown duration", "unknown drum", "no drums"}

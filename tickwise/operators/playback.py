@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwise.functions.notation import BAR_TICKS, DRUMS, DURATION_TICKS, GM_NOTES, MODEL_SHAPES, SLOT_TICKS, SLOTS, TICKS_PER_BEAT, lookup, strings
@@ -26,73 +25,66 @@ def validate_predictions(notes: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 # Plain note lengths, longest first: (ticks, written duration, dotted); a dotted 32nd is not written.
 _PLAIN = sorted(((t * (3 if dot else 2) // 2, d, dot) for d, t in DURATION_TICKS.items() for dot in (False, True) if not (dot and d == "32")), reverse=True)
-
-
-def _rests(ticks: int) -> list[dict]:
-    out = []
-    for name, length in sorted(DURATION_TICKS.items(), key=lambda x: -x[1]):
-        while ticks >= length:
-            out.append({"duration": name, "dotted": False, "triplet": False, "drums": []})
-            ticks -= length
-    if ticks:
-        raise ValueError(f"a gap of {ticks} ticks cannot be written")
-    return out
-
-
-def fill_bar(notes: list[dict]) -> tuple[list[dict], list[dict]]:
-    """PB2: one bar of at most 32 predicted notes, in order -> (written notes of 192 ticks, warnings).
-
-    A duration is kept where it ends before the next note, else shortened; gaps become rests; a triplet
-    note takes the whole group of its beat with it, unless that beat has begun under the note before.
-    """
-    out: list[dict] = []
-    warnings: list[dict] = []
-    at = i = 0
-    while i < len(notes):
-        note = notes[i]
-        onset, (written, dotted, triplet) = note["position"] * SLOT_TICKS, MODEL_SHAPES[note["duration"]]
-        span = 2 * DURATION_TICKS[written]
-        start = onset // span * span
-        if triplet and start < at:
-            warnings.append({"code": "triplet_unplaced", "position": note["position"]})
-        elif triplet:
-            slots: list[list[str]] = [[], [], []]
-            while i < len(notes) and notes[i]["position"] * SLOT_TICKS < start + span:
-                n = notes[i]
-                place = min(2, int((n["position"] * SLOT_TICKS - start) * 3 / span + 0.5))
-                if not MODEL_SHAPES[n["duration"]][2]:
-                    warnings.append({"code": "merged_into_triplet", "position": n["position"]})
-                elif slots[place]:
-                    warnings.append({"code": "merged_into_chord", "position": n["position"]})
-                slots[place] = list(dict.fromkeys([*slots[place], *n["drums"]]))
-                i += 1
-            out += [*_rests(start - at), *({"duration": written, "dotted": False, "triplet": True, "drums": s} for s in slots)]
-            at = start + span
-            continue
-        full = DURATION_TICKS[written] * (3 if dotted else 2) // 2
-        room = (notes[i + 1]["position"] * SLOT_TICKS if i + 1 < len(notes) else BAR_TICKS) - onset
-        if full > room:
-            warnings.append({"code": "shortened", "position": note["position"]})
-        ticks, name, dot = next(p for p in _PLAIN if p[0] <= min(full, room))
-        out += [*_rests(onset - at), {"duration": name, "dotted": dot, "triplet": False, "drums": list(dict.fromkeys(note["drums"]))}]
-        at = onset + ticks
-        i += 1
-    return out + _rests(BAR_TICKS - at), warnings
-
-
-_BARS = "item_id {}, notes array<struct<duration string, dotted boolean, triplet boolean, drums array<string>>>, warnings array<struct<code string, position int>>"
+_NOTE = "struct<duration:string,dotted:boolean,triplet:boolean,drums:array<string>>"
+_WARNING = "struct<code:string,position:int>"
+# A bar while it is written: ticks so far, notes, warnings, and the open triplet group (span 0: none) with its three places.
+_OPEN = f"struct<at:int,notes:array<{_NOTE}>,warnings:array<{_WARNING}>,start:int,span:int,written:string,p0:array<string>,p1:array<string>,p2:array<string>>"
+
+
+def _note(duration: Column, dotted: Column, triplet: bool, drums: Column) -> Column:
+    return F.struct(duration.alias("duration"), dotted.alias("dotted"), F.lit(triplet).alias("triplet"), drums.alias("drums"))
+
+
+def _rests(ticks: Column) -> Column:
+    """A gap as rests, longest first: each length is half of the one before, so that a gap is its binary digits."""
+    each = [F.when(F.floor(ticks / length) % 2 == 1, _note(F.lit(name), F.lit(False), False, F.array().cast("array<string>"))) for name, length in sorted(DURATION_TICKS.items(), key=lambda x: -x[1])]
+    return F.array_compact(F.array(*each))
+
+
+def _closed(bar: Column) -> Column:
+    """The notes of an open bar, with those of its triplet group."""
+    group = F.array(*[_note(bar["written"], F.lit(False), True, bar[f"p{k}"]) for k in range(3)])
+    return F.when(bar["span"] > 0, F.concat(bar["notes"], group)).otherwise(bar["notes"])
+
+
+def _write(bar: Column, e: Column) -> Column:
+    """One predicted note more: into the open group, as the first of a group, or as a plain note."""
+    inside = (bar["span"] > 0) & (e["onset"] < bar["start"] + bar["span"])
+    own = (F.floor(e["onset"] / e["span"]) * e["span"]).cast("int")
+    opens = ~inside & e["triplet"] & (own >= bar["at"])
+    start, span = F.when(inside, bar["start"]).otherwise(own), F.when(inside, bar["span"]).otherwise(e["span"])
+    place = F.least(F.lit(2), F.floor((e["onset"] - start) * 3 / span + 0.5))
+    held = [F.when(inside, bar[f"p{k}"]).otherwise(F.array().cast("array<string>")) for k in range(3)]
+    taken = F.size(F.get(F.array(*held), place.cast("int"))) > 0
+    places = [F.when((inside | opens) & (place == k), F.array_distinct(F.concat(held[k], e["drums"]))).otherwise(held[k]).alias(f"p{k}") for k in range(3)]
+    room = F.least(e["full"], e["next"] - e["onset"])
+    plain = reduce(lambda found, x: F.when(room >= x[0], F.struct(F.lit(x[0]).alias("ticks"), F.lit(x[1]).alias("written"), F.lit(x[2]).alias("dotted"))).otherwise(found), reversed(_PLAIN), F.lit(None).cast("struct<ticks:int,written:string,dotted:boolean>"))
+    written = F.concat(_closed(bar), _rests(e["onset"] - bar["at"]), F.array(_note(plain["written"], plain["dotted"], False, F.array_distinct(e["drums"]))))
+    notes = F.when(inside, bar["notes"]).when(opens, F.concat(_closed(bar), _rests(own - bar["at"]))).otherwise(written)
+    at = F.when(inside, bar["at"]).when(opens, own + e["span"]).otherwise(e["onset"] + plain["ticks"])
+    alone = ~inside & ~opens
+    codes = F.array_compact(F.array(F.when(alone & e["triplet"], "triplet_unplaced"), F.when(~alone & ~e["triplet"], "merged_into_triplet").when(~alone & taken, "merged_into_chord"), F.when(alone & (e["full"] > e["next"] - e["onset"]), "shortened")))
+    warnings = F.concat(bar["warnings"], F.transform(codes, lambda c: F.struct(c.alias("code"), e["position"].alias("position"))))
+    group = F.when(inside, bar["written"]).otherwise(e["written"])
+    return F.struct(at.cast("int").alias("at"), notes.alias("notes"), warnings.alias("warnings"), start.cast("int").alias("start"), F.when(inside | opens, span).otherwise(0).cast("int").alias("span"), group.alias("written"), *places).cast(_OPEN)
 
 
 def bars_from_predictions(notes: DataFrame) -> DataFrame:
-    """PB2: notes that pass validate_predictions -> item_id, notes, warnings. The order inside a bar decides, so a bar is one row to Python."""
-    nested = notes.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("position", "duration", "drums"))).alias("notes"))
+    """PB2: notes that pass validate_predictions -> item_id, notes of 192 ticks in all, warnings.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [fill_bar([{**n, "drums": list(n["drums"])} for n in row]) for row in frame.notes]
-            yield pd.DataFrame({"item_id": frame.item_id, "notes": [d[0] for d in done], "warnings": [d[1] for d in done]})
-
-    return nested.mapInPandas(run, _BARS.format(nested.schema["item_id"].dataType.simpleString()))
+    A fold over each bar's notes. A duration is kept where it ends before the next note, else shortened; gaps
+    become rests; a triplet note opens the group of its beat, which takes what else falls into it, or
+    is written as a plain one where that beat has begun under the note before.
+    """
+    shape = lambda i, default: lookup(F.col("duration"), {name: x[i] for name, x in MODEL_SHAPES.items()}, default)
+    ticks = lookup(shape(0, F.lit(None).cast("string")), DURATION_TICKS)
+    shaped = notes.withColumns({"written": shape(0, F.lit(None).cast("string")), "triplet": shape(2, F.lit(False)), "span": (ticks * 2).cast("int"), "full": F.floor(ticks * F.when(shape(1, F.lit(False)), 3).otherwise(2) / 2).cast("int"), "onset": (F.col("position") * SLOT_TICKS).cast("int"), "position": F.col("position").cast("int")})
+    nested = shaped.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("position", "onset", "written", "triplet", "span", "full", "drums"))).alias("n"))
+    followed = F.transform("n", lambda e, i: F.struct(*[e[c].alias(c) for c in ("position", "onset", "written", "triplet", "span", "full", "drums")], F.coalesce(F.get(F.col("n"), i + 1)["onset"], F.lit(BAR_TICKS)).alias("next")))
+    none = F.array().cast("array<string>")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NOTE}>").alias("notes"), F.array().cast(f"array<{_WARNING}>").alias("warnings"), F.lit(0).alias("start"), F.lit(0).alias("span"), F.lit("").alias("written"), none.alias("p0"), none.alias("p1"), none.alias("p2")).cast(_OPEN)
+    done = nested.select("item_id", F.aggregate(followed, empty, _write).alias("b"))
+    return done.select("item_id", F.concat(_closed(F.col("b")), _rests(F.lit(BAR_TICKS) - F.col("b.at"))).alias("notes"), F.col("b.warnings").alias("warnings"))
 
 
 def _asked(requests: DataFrame) -> DataFrame:

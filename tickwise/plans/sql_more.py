@@ -127,3 +127,29 @@ say("ex1_search_exercises", CATALOGUE, f""", q AS (SELECT n_nationkey AS n, {pic
 say("ex5_recommend_fills", EVENTS + "," + CATALOGUE, """, r AS (SELECT score_id AS request_id, id, CASE WHEN style = CASE score_id % 2 WHEN 0 THEN 'rock' ELSE 'jazz' END THEN 100 ELSE 0 END + greatest(0, 50 - abs(target - tempo_bpm)) AS score FROM sc JOIN ca ON kind = 'fill' AND level <= score_id % 3 AND level >= score_id % 3 - 1 AND tempo_bpm BETWEEN lo AND hi AND depth <= 2 + score_id % 2), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM r) SELECT * FROM k WHERE rank <= 3""")
 say("pr3_orphans", PRACTICE, """, s AS (SELECT c_custkey AS student_id FROM customer WHERE c_custkey % 3 <> 2), q AS (SELECT * FROM ss WHERE self_rating IS NOT NULL), u AS (SELECT 'sessions' AS t FROM q ANTI JOIN s USING (student_id) UNION ALL SELECT 'assignments' FROM gg ANTI JOIN s USING (student_id) UNION ALL SELECT 'resets' FROM rr ANTI JOIN s USING (student_id) UNION ALL SELECT 'attempts' FROM aa ANTI JOIN q USING (session_id)) SELECT t AS "table", count(*) AS n FROM u GROUP BY 1""")
 say("pb5_events_between", EVENTS, """, q AS (SELECT score_id, from_bar, to_bar, 60.0::DOUBLE / (tempo_bpm * 48) AS s, ((to_bar - from_bar + 1) * 192) * (60.0::DOUBLE / (tempo_bpm * 48)) AS loop_s FROM rq JOIN sc USING (score_id)), h AS (SELECT score_id AS request_id, bar_number, onset, drum, (192 + (bar_number - from_bar) * 192 + onset) * s AS t, loop_s FROM ht JOIN q USING (score_id) WHERE bar_number BETWEEN from_bar AND to_bar), x AS (SELECT *, unnest(range(0, 30)) AS pass FROM h) SELECT request_id, round(t + pass * loop_s, 5) AS time, drum, bar_number, pass FROM x WHERE t + pass * loop_s >= 5.0 AND t + pass * loop_s < 25.0""")
+
+# Titles of documents and of groups; a group links where it has the title, or is the only one that begins with it or the other way.
+say("mf2_link_by_title", f"t0 AS (SELECT p_partkey AS doc, {pick(('Rush ', 'AC_DC-', '', 'The Eagles '), 'p_partkey % 4')} || p_name || {pick((' Drum Tab', '-05-30-2024', ' by Rush', ' songsterr full', ' Jan. 3, 2021'), 'p_partkey % 5')} AS name FROM part), t AS (SELECT doc, {_title('name')} AS title FROM t0)", """, k AS (SELECT DISTINCT CASE WHEN doc % 2 = 0 THEN array_to_string(string_split(title, ' ')[1:2], ' ') ELSE title END AS found FROM t), g AS (SELECT found FROM k WHERE found <> ''), n AS (SELECT doc, count(*) AS n, min(found) AS near FROM t JOIN g ON starts_with(found, title) OR starts_with(title, found) WHERE title <> '' GROUP BY 1)
+SELECT t.doc, t.title, coalesce(g.found, CASE WHEN n.n = 1 THEN near END) AS "group", CASE WHEN g.found IS NOT NULL THEN 'exact' WHEN n.n = 1 THEN 'prefix' ELSE 'none' END AS how FROM t LEFT JOIN g ON g.found = t.title LEFT JOIN n ON n.doc = t.doc""")
+say("pb1_validate_predictions", NOTES, f""", q AS (SELECT item_id, position AS idx, CASE WHEN item_id % 7 = 0 AND position % 5 = 0 THEN position - 40 ELSE position END AS position, item_id % 11 = 0 AS odd, CASE WHEN item_id % 13 = 0 THEN 1 WHEN item_id % 17 = 0 THEN 0 ELSE len(drums) END AS n_drums FROM pr), b AS (SELECT *, lag(position) OVER (PARTITION BY item_id ORDER BY idx) AS before FROM q)
+SELECT item_id, idx, unnest(list_filter([CASE WHEN position NOT BETWEEN 0 AND 31 THEN 'position is off the grid' END, CASE WHEN position <= before THEN 'position is out of order' END, CASE WHEN odd THEN 'unknown duration' END, CASE WHEN n_drums < 1 THEN 'no drums' END, CASE WHEN item_id % 13 = 0 THEN 'unknown drum' END], lambda x : x IS NOT NULL)) AS problem FROM b""")
+say("pr1_validate_practice", PRACTICE, """, u AS (
+ SELECT 'students' AS t, c_custkey AS id, unnest(list_filter([CASE WHEN c_custkey % 17 = 0 THEN 'level is unknown' END, CASE WHEN c_custkey % 19 = 0 OR length(c_name) > 120 THEN 'name is empty or too long' END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'cloud help needs a guardian''s consent' END], lambda x : x IS NOT NULL)) AS problem FROM customer
+ UNION ALL SELECT 'sessions', session_id, unnest(list_filter([CASE WHEN session_id % 23 = 0 THEN 'bar range is not ordered' END, CASE WHEN session_id % 29 = 0 THEN 'target tempo is not 1-400' END, CASE WHEN session_id % 31 = 0 THEN 'rating is not 1-5' END, CASE WHEN session_id % 37 = 0 THEN 'minutes are negative' END], lambda x : x IS NOT NULL)) FROM ss
+ UNION ALL SELECT 'attempts', session_id, 'tempo is not 1-400' FROM aa WHERE bpm = 60 AND session_id % 5 = 0
+ UNION ALL SELECT 'assignments', assignment_id, unnest(list_filter([CASE WHEN assignment_id % 41 = 0 THEN 'status is unknown' END, CASE WHEN assignment_id % 43 = 0 THEN 'title is empty or too long' END], lambda x : x IS NOT NULL)) FROM gg)
+SELECT t AS "table", CAST(id AS VARCHAR) AS id, problem, count(*) AS n FROM u GROUP BY ALL""")
+PASSAGE = EVENTS + """,
+pe AS (SELECT score_id, bar_number, n, bool_or(is_rest) AS rests, bool_or(len(list_intersect(drums, ['kick', 'hi_hat_pedal'])) > 0 AND len([x FOR x IN drums IF x NOT IN ('kick', 'hi_hat_pedal')]) > 0) AS foot, bool_or(len(list_intersect(drums, ['tom_hi', 'tom_mid', 'floor_tom_1', 'floor_tom_2'])) > 0) AS toms, count(*) FILTER (NOT is_rest AND onset_ticks % 48 NOT IN (0, 24)) AS off FROM ev GROUP BY ALL),
+pa AS (SELECT q.request_id, p.*, CASE n WHEN 16 THEN '16th' WHEN 12 THEN 'triplet 8th' ELSE '8th' END AS small, CASE n WHEN 16 THEN 3 ELSE 2 END AS depth FROM rq q JOIN pe p ON p.score_id = q.score_id AND p.bar_number BETWEEN q.from_bar AND q.to_bar),
+pf AS (SELECT request_id, arg_max(small, {'d': depth, 'b': -bar_number}) AS finest FROM pa GROUP BY 1),
+pg AS (SELECT request_id, finest, bar_number, unnest(list_filter([CASE WHEN small = finest THEN 'subdivision' END, CASE WHEN n = 12 THEN 'triplets' END, CASE WHEN rests THEN 'reading rests' END, CASE WHEN foot THEN 'kick independence' END, CASE WHEN off >= 2 THEN 'syncopation' END, CASE WHEN toms THEN 'tom movement' END], lambda x : x IS NOT NULL)) AS goal FROM pa JOIN pf USING (request_id))"""
+say("ex3_passage_facts", PASSAGE, "SELECT request_id, goal, string_agg(CAST(bar_number AS VARCHAR), ',' ORDER BY bar_number) AS bars, CASE WHEN goal = 'subdivision' THEN any_value(finest) END AS detail FROM pg GROUP BY request_id, goal")
+# A fold over the queries of a passage, in their order: the larger of the score so far and the query's, plus 3 for each goal in common.
+say("ex4_exercises_for_passage", PASSAGE + "," + CATALOGUE, """, rg AS (SELECT request_id, max(finest) AS sub, list_sort(list(DISTINCT goal) FILTER (goal <> 'subdivision')) AS goals FROM pg GROUP BY 1),
+cc AS (SELECT id, CASE n % 3 WHEN 0 THEN '8th' WHEN 1 THEN '16th' ELSE 'triplet 8th' END AS sub, list_distinct([g1, g2]) AS has FROM ca),
+co AS (SELECT DISTINCT sub, goals FROM rg),
+hi AS (SELECT co.sub, co.goals, id, len(list_intersect(coalesce(co.goals, []), has)) AS k, has FROM co JOIN cc USING (sub)),
+fo AS (SELECT sub, goals, id, CASE WHEN k = 0 THEN 10 ELSE greatest(10 + 3 * k, 20) + 3 * k + 3 * k * (k - 1) END AS score FROM hi),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sub, goals ORDER BY score DESC, id) AS rank FROM fo)
+SELECT request_id, id, CAST(score AS INT) AS score, rank FROM rg JOIN rk ON rg.sub = rk.sub AND rg.goals IS NOT DISTINCT FROM rk.goals WHERE rank <= 3""")
