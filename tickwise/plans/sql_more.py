@@ -153,3 +153,21 @@ hi AS (SELECT co.sub, co.goals, id, len(list_intersect(coalesce(co.goals, []), h
 fo AS (SELECT sub, goals, id, CASE WHEN k = 0 THEN 10 ELSE greatest(10 + 3 * k, 20) + 3 * k + 3 * k * (k - 1) END AS score FROM hi),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sub, goals ORDER BY score DESC, id) AS rank FROM fo)
 SELECT request_id, id, CAST(score AS INT) AS score, rank FROM rg JOIN rk ON rg.sub = rk.sub AND rg.goals IS NOT DISTINCT FROM rk.goals WHERE rank <= 3""")
+say("st5_results", USAGE, """, r AS (SELECT key AS item_id, ts AS "at", request_id % 2 = 0 AS exact, request_id, row_number() OVER (PARTITION BY key ORDER BY ts, request_id % 2 = 0, request_id) AS n FROM us WHERE NOT error) SELECT item_id, "at", exact, request_id FROM r WHERE n = 1""")
+say("ev1_decode_logits", "e AS (SELECT vec_id, embedding[1:24] AS d, embedding[25:64] AS u FROM embeddings)", f""", k AS (SELECT *, len(d) = 24 AND len(u) = 40 AND len(list_filter(d || u, lambda x : x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM e)
+SELECT vec_id AS item_id, CASE WHEN ok THEN CAST(to_json(list_filter([{{'position': i, 'duration': ({list(DURATIONS)})[list_position(u[i * 10 + 1:i * 10 + 10], list_max(u[i * 10 + 1:i * 10 + 10]))], 'drums': [({list(DRUMS[:6])})[j] FOR j IN range(1, 7) IF d[i * 6 + j] > 0]}} FOR i IN range(4)], lambda n : len(n.drums) > 0)) AS VARCHAR) END AS notes FROM k""")
+# Progress facts: the bodies of three other twins as tables, then their rows in order.
+_BODY = {k: SQL[k].removeprefix(f"WITH {PRACTICE.strip()}").lstrip() for k in ("pr4_session_summary", "pr4_ranges", "pr7_difficulty")}
+_NESTED = {k: f"(WITH {v[1:]})" if v.startswith(",") else f"({v})" for k, v in _BODY.items()}
+FACTS = PRACTICE + f""",
+pe AS {_NESTED["pr4_session_summary"]}, ra AS {_NESTED["pr4_ranges"]}, dd AS {_NESTED["pr7_difficulty"]},
+oa AS (SELECT a.*, p.place, row_number() OVER (PARTITION BY a.student_id ORDER BY p.place) AS k FROM (SELECT o_orderkey AS assignment_id, o_custkey AS student_id, 'Piece ' || o_orderkey AS title, CAST(o_custkey % 3 * 4 + 1 AS INT) AS lo, CAST(o_custkey % 3 * 4 + 4 AS INT) AS hi, CAST(60 + o_custkey % 100 AS INT) AS bpm FROM orders WHERE o_orderstatus <> 'F') a JOIN (SELECT assignment_id, row_number() OVER (PARTITION BY student_id ORDER BY due_date NULLS LAST, created_at, assignment_id) AS place FROM gg) p USING (assignment_id)),
+rx AS (SELECT ra.*, nullif(dd.difficulty, -1) AS difficulty, CAST(score_id AS VARCHAR) || '/' || lpad(CAST(from_bar AS VARCHAR), 6, '0') || '/' || lpad(CAST(to_bar AS VARCHAR), 6, '0') AS key, chr(CAST(64 + dense_rank() OVER (PARTITION BY student_id ORDER BY CAST(score_id AS VARCHAR)) AS INT)) AS letter FROM ra LEFT JOIN dd USING (student_id, score_id, from_bar, to_bar)),
+fa AS (SELECT student_id, 1 AS part, '' AS o1, unnest([0, 1, 2, 3]) AS o2, unnest(['Sessions practised', 'Attempts recorded', 'Minutes practised', 'Assignments completed']) AS text, NULL AS safe, unnest([CAST(sessions AS DOUBLE), attempts, minutes, completed_assignments]) AS value FROM pe
+ UNION ALL SELECT student_id, 2, lpad(CAST(place AS VARCHAR), 9, '0'), o2, 'Open assignment "' || title || '" ' || tail, 'Open assignment assignment ' || k || ' ' || tail, value FROM (SELECT *, unnest([0, 1, 2]) AS o2, unnest(['starts at bar', 'ends at bar', 'target BPM']) AS tail, unnest([CAST(lo AS DOUBLE), hi, bpm]) AS value FROM oa)
+ UNION ALL SELECT student_id, 3, key, o2, 'Score ' || score_id || ' ' || tail, 'score ' || letter || ' ' || tail, value FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS o2, unnest(['range starts at bar', 'range ends at bar', 'range attempts', 'best clean BPM', 'difficulty']) AS tail, unnest([CAST(from_bar AS DOUBLE), to_bar, attempts, nullif(best_clean_bpm, 0), difficulty]) AS value FROM rx) WHERE value IS NOT NULL),
+fn AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY part, o1, o2) AS n FROM fa)"""
+say("pr9_progress_facts", FACTS, "SELECT student_id, n, 'f' || n AS fact_id, text, value FROM fn")
+say("pr11_pseudonymise", FACTS, "SELECT student_id, n, 'f' || n AS fact_id, coalesce(safe, text) AS text, value FROM fn")
+say("pr12_offline_summary", FACTS, """, li AS (SELECT student_id, string_agg('Score ' || score_id || ', bars ' || from_bar || '-' || to_bar || ': ' || CASE WHEN best_clean_bpm > 0 THEN best_clean_bpm || ' BPM best clean tempo' ELSE 'no clean BPM recorded' END || ' across ' || attempts || ' attempts.', ' ' ORDER BY score_id, from_bar, to_bar) AS lines FROM ra GROUP BY 1)
+SELECT c_custkey AS student_id, concat_ws(' ', c_name || ' practised ' || CAST(minutes AS BIGINT) || ' minutes across ' || sessions || ' sessions and made ' || attempts || ' attempts. ' || completed_assignments || ' assignments were completed.', lines) AS summary FROM customer JOIN pe ON pe.student_id = c_custkey LEFT JOIN li ON li.student_id = c_custkey""")

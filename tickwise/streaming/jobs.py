@@ -110,4 +110,4 @@ def stream_results(results: DataFrame, watermark: str = "1 day") -> DataFrame:
     if results.isStreaming:
         return scored.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["item_id"])
     cols = [c for c in scored.columns if c != "item_id"]
-    return scored.groupBy("item_id").agg(F.min_by(F.struct(*cols), F.struct("at")).alias("r")).select("item_id", "r.*")
+    return scored.groupBy("item_id").agg(F.min_by(F.struct(*cols), F.struct("at", *[c for c in cols if c != "at"])).alias("r")).select("item_id", "r.*")
