@@ -77,19 +77,24 @@ def exercises_for_passage(facts: DataFrame, catalogue: DataFrame, top: int = 3)
     score so far and the query's, plus the bonus.
     """
     order = {"triplets": 1, "reading rests": 2, "kick independence": 3, "syncopation": 4, "tom movement": 5}
-    per = facts.groupBy("request_id").agg(F.max("detail").alias("subdivision"), F.array_sort(F.collect_set(F.when(F.col("goal") != "subdivision", F.col("goal")))).alias("goals"))
-    per = per.withColumn("combination", F.concat_ws("/", "subdivision", F.array_join("goals", "/")))
-    # Requests of one finest note and the same goals have one result: some hundred combinations, however many requests.
-    each = per.select("combination", "subdivision", "goals").distinct()
+    named = F.when(F.col("goal").isin(*order), F.col("goal"))
+    per = facts.groupBy("request_id").agg(F.max("detail").alias("subdivision"), F.array_sort(F.collect_set(named)).alias("goals"))
+    combination = F.concat_ws("/", "subdivision", F.array_join("goals", "/"))
+    # What a passage asks is one of a few hundred combinations, so each is answered once, without the passages.
+    sets = facts.sparkSession.range(1 << len(order)).select(F.array_sort(F.array_compact(F.array(*[F.when(F.col("id").bitwiseAND(1 << i) > 0, g) for i, g in enumerate(order)]))).alias("goals"))
+    each = sets.select("goals", F.explode(F.array(*map(F.lit, DEPTH))).alias("subdivision")).withColumn("combination", combination)
+    # Items of one subdivision and the same goals score alike here, so of each such shelf only the first ones can be among the best.
+    shelf = F.row_number().over(Window.partitionBy("subdivision", F.array_sort(F.array_distinct("goals"))).orderBy("id"))
+    front = catalogue.where(F.col("subdivision").isin(*DEPTH)).withColumn("place", shelf).where(F.col("place") <= top).drop("place")
     asked = each.select("combination", "subdivision", F.explode(F.array_union(F.array(F.lit("")), "goals")).alias("goal"))
     none = F.lit(None)
     queries = asked.select(F.struct("combination", lookup(F.col("goal"), order, F.lit(0)).alias("at")).alias("query_id"), "subdivision", F.when(F.col("goal") != "", F.array("goal")).alias("goals"), none.cast("string").alias("level"), none.cast("string").alias("kind"), none.cast("int").alias("max_tempo"), none.cast("array<string>").alias("styles"), none.cast("array<string>").alias("limbs"), none.cast("string").alias("text"))
-    found = search_exercises(queries, catalogue).select("query_id.combination", "query_id.at", "id", "score")
-    shared = found.join(each.select("combination", "goals"), "combination").join(catalogue.select("id", F.col("goals").alias("has")), "id").withColumn("bonus", 3 * F.size(F.array_intersect("goals", "has")))
+    found = search_exercises(queries, front).select("query_id.combination", "query_id.at", "id", "score")
+    shared = found.join(each.select("combination", "goals"), "combination").join(front.select("id", F.col("goals").alias("has")), "id").withColumn("bonus", 3 * F.size(F.array_intersect("goals", "has")))
     folded = shared.groupBy("combination", "id").agg(F.array_sort(F.collect_list(F.struct("at", "score", "bonus"))).alias("q")).select("combination", "id", F.aggregate("q", F.lit(0), lambda s, x: (F.greatest(s, x["score"]) + x["bonus"]).cast("int")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("combination").orderBy(F.desc("score"), "id"))
     best = folded.withColumn("rank", rank).where(F.col("rank") <= top)
-    return per.select("request_id", "combination").join(best, "combination").select("request_id", "id", "score", "rank")
+    return per.select("request_id", combination.alias("combination")).join(best, "combination").select("request_id", "id", "score", "rank")
 
 
 def recommend_fills(requests: DataFrame, catalogue: DataFrame, top: int = 3) -> DataFrame:

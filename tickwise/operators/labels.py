@@ -72,7 +72,9 @@ def build_bar_labels(raw: DataFrame, bars: DataFrame) -> DataFrame:
 
     simile: no events, or only rests of whole notes.
     """
-    merged = merge_voices(with_onsets(with_beat_length(select_drum_track(raw))))
+    # Dealt by bar once: windows by voice and onset and both groupings keep that, and the bars' table meets it.
+    dealt = select_drum_track(raw).repartition("song", "bar")
+    merged = merge_voices(with_onsets(with_beat_length(dealt)))
     beat = F.struct("onset", beat_position(F.col("onset")).alias("beat"), duration_name(F.col("note_value"), F.col("dotted"), F.coalesce("tuplet_num", F.lit(1)), F.coalesce("tuplet_den", F.lit(1))).alias("duration"), F.when(F.col("is_rest"), F.array().cast("array<string>")).otherwise(map_drums(F.col("pitches"))).alias("drums"), F.col("is_rest").alias("rest"), F.col("flam").alias("flam"))
     built = merged.groupBy("song", "bar").agg(F.array_sort(F.collect_list(beat)).alias("beats"), F.bool_and(F.col("is_rest") & (F.col("note_value") == 1)).alias("simile"))
     tidy = F.transform(F.coalesce("beats", F.array().cast(built.schema["beats"].dataType)), lambda b: F.struct(b["beat"].alias("beat"), b["duration"].alias("duration"), b["drums"].alias("drums"), b["rest"].alias("rest"), b["flam"].alias("flam")))
