@@ -11,10 +11,13 @@ A null document id is stored as the smallest i64 and sorts first.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,52 +36,80 @@ _SEEK = struct.Struct("<III")
 _FOOTER = struct.Struct("<IBI")
 
 
+# The pre-tokenizer's pieces of lower-cased text whose characters beyond ASCII are Latin letters below U+0180 (not U+0130,
+# which lower-cases to a letter and a mark); fixed by the tokenizer's file. _OTHER finds a text with further characters.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+_OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc6-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
+
+
 class Encoder:
-    """The tokenizers library, word by word and remembered.
+    """The tokenizers library, piece by piece and remembered.
 
     Its pre-tokenizer never joins what ASCII white space divides, so the ids of a text are those of its
-    words in a row. A text that spells an added token is encoded whole.
+    words in a row; those of a Latin word are those of its runs of letters, digits and signs. The library
+    encodes each new piece, many in one text. A text that spells an added token is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.most = most
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words: one text of many words, taken apart by the places of its tokens."""
-        for begin in range(0, len(words), 20_000):
-            part = [w.decode() for w in words[begin : begin + 20_000]]
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new pieces: one text of many, taken apart by the places of its tokens."""
+        size = np.dtype(self.dtype).itemsize
+        for begin in range(0, len(new), 20_000):
+            part = [w.decode() for w in new[begin : begin + 20_000]]
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
             owner = np.searchsorted(starts, np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right") - 1
-            edges = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(words[begin : begin + 20_000], [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
+            edges = (np.searchsorted(owner, np.arange(len(part) + 1)) * size).tolist()
+            raw = np.array(got.ids, dtype=self.dtype).tobytes()
+            self.known.update(zip(new[begin : begin + 20_000], [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
+
+    def _pieces(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        if text.isascii() and text.isprintable() or not _OTHER.search(raw):
+            return _PIECES.findall(raw.lower())
+        return [p for w in raw.split() for p in ([w] if _OTHER.search(w) else _PIECES.findall(w.lower()))]
+
+    def _known(self, texts: list[str]) -> Iterator[tuple[list[bytes] | None, str]]:
+        """The pieces of each text, all of them learnt (None for a text to be encoded whole), and the text."""
+        for begin in range(0, len(texts), 1000):
+            part = texts[begin : begin + 1000]
+            split = [None if any(a in text for a in self.added) else self._pieces(text) for text in part]
+            new: set[bytes] = set()
+            for pieces in split:
+                new.update(set(pieces or ()).difference(self.known))
+            if len(self.known) + len(new) > self.most and self.known:
+                # Pieces that these texts repeat stay; the others were mostly met once.
+                often = {p for p, n in Counter(chain.from_iterable(p for p in split if p)).items() if n > 1}
+                self.known = {p: ids for p, ids in self.known.items() if p in often}
+                new = {p for pieces in split for p in pieces or () if p not in self.known}
+            self._learn(list(new))
+            yield from zip(split, part, strict=True)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """u32 ids of each text, with the end id."""
-        last = struct.pack("<I", end)
-        out: list[bytes] = []
-        for begin in range(0, len(texts), 500):
-            part = texts[begin : begin + 500]
-            if len(self.known) > 400_000:
-                self.known.clear()
-            split = [t.encode("utf-8").split() for t in part]
-            known = self.known
-            new = [w for w in {w for words in split for w in words} if w not in known]
-            self._learn([w for w in new if not any(a in w for a in self.added)])
-            for text, words in zip(part, split, strict=True):
-                if any(a.decode() in text for a in self.added):
-                    out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype="<u4").tobytes())
-                else:
-                    out.append(b"".join([*map(known.__getitem__, words), last]))
+        """Ids of each text (dtype), with the end id."""
+        last = np.array([end], dtype=self.dtype).tobytes()
+        out = []
+        for pieces, text in self._known(texts):
+            if pieces is None:
+                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype=self.dtype).tobytes())
+            else:
+                out.append(b"".join([*map(self.known.__getitem__, pieces), last]))
         return out
 
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has, without an end id."""
+        size = np.dtype(self.dtype).itemsize
+        return [len(self.tokenizer.encode(text, add_special_tokens=False).ids) if pieces is None else sum(map(len, map(self.known.__getitem__, pieces))) // size for pieces, text in self._known(texts)]
+
 
 _ENCODERS: dict[str, Encoder] = {}  # of a worker process, kept from task to task
 
@@ -101,10 +132,10 @@ class FrameWriter:
         self.seek: list[bytes] = []
         self.index: list[bytes] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
-        self.docs.append(ids)
-        self.held += len(ids) // 4
+        self.docs.append(ids.astype("<u4").tobytes())
+        self.held += len(ids)
         if self.held >= self.frame_ids or len(self.ids) >= self.frame_docs:
             self._flush()
 
@@ -167,26 +198,73 @@ class FrameReader:
             at, before = at + 4 * m, before + m
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, end: int = 1, rows_per_file: int = 20_000, max_files: int = 10_000) -> DataFrame:
+def _layout(docs: DataFrame, file_bytes: int, max_files: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(cuts, first, many, files): ids from cuts[i - 1] up to below cuts[i] go to the `many[i]` files from first[i] on.
+
+    Fine cuts by quantiles of doc_id are merged to files of about file_bytes of text. A doc_id that
+    spans quantiles has a range of its own, and as many files as its bytes need.
+    """
+    sized = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    target = max(file_bytes, -(-total // max_files))
+    fine = 8 * -(-total // target)
+    if total <= target:
+        return np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), 1
+    marks = sized.agg(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], 100_000)).first()[0]
+    hot = {x for x, y in zip(marks, marks[1:], strict=False) if x == y}
+    cuts = np.array(sorted({*marks, *(x + 1 for x in hot)}), dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        for batch in batches:
+            np.add.at(held, np.searchsorted(shared.value, batch.column(0).to_numpy(), side="right"), batch.column(1).to_numpy())
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["range", "size"])
+
+    sizes = np.zeros(len(cuts) + 1, dtype=np.int64)  # 8 * max_files + 1 at most, and as many more of hot ids
+    for at, size in sized.mapInArrow(sums, "range int, size long").groupBy("range").agg(F.sum("size")).collect():
+        sizes[at] = size
+    first, many = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    files = held = 0
+    for i, size in enumerate(sizes):
+        alone = 0 < i < len(sizes) - 1 and cuts[i] == cuts[i - 1] + 1 and int(cuts[i - 1]) in hot
+        if held and (alone or held + size > target):
+            files, held = files + 1, 0
+        first[i] = files
+        held += size
+        if alone:
+            many[i] = max(1, -(-size // target))
+            files, held = files + many[i], 0
+    return cuts, first, many, int(files + (1 if held else 0)) or 1
+
+
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, end: int = 1, file_bytes: int = 32 << 20, max_files: int = 20_000) -> DataFrame:
     """Write docs(doc_id, text) under the folder root (a path or URI that all executors share), in ascending doc_id order.
 
     Returns the manifest, one row for each file: part, path, n_docs, n_ids, start (ids in all files
-    before it). Bounds between files are approximate quantiles of doc_id, so files are of like size
-    whatever the ids are; each is written by one task as a stream under a name of its own attempt and
+    before it). Files hold about file_bytes of text whatever the ids are (more only where that would be
+    over max_files files); each is written by one task as a stream under a name of its own attempt and
     then moved, so that a task that runs again leaves the same file. Null texts are empty (the end id
-    alone); rows that repeat a doc_id stay as often as they occur; no rows give no files.
+    alone); rows that repeat a doc_id stay as often as they occur, over several files where they are
+    many; no rows give no files. Other columns are ignored.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    files = max(1, min(max_files, -(-n // rows_per_file)))
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100_000)).first()[0] or [])) if files > 1 else []
-    bounds = docs.sparkSession.sparkContext.broadcast(np.array(cuts, dtype=np.int64))
+    local = docs.sparkSession.sparkContext.master.startswith("local")
+    if "://" not in root and not root.startswith(("file:", "/")) and not local:
+        raise ValueError(f"not a folder that executors share: {root}")
+    cuts, first, many, files = _layout(docs, file_bytes, max_files)
+    bounds = docs.sparkSession.sparkContext.broadcast((cuts, first, many))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(tokenizer)
-        keys = np.array([NULL_ID if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
-        part = np.searchsorted(bounds.value, keys, side="right").astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(coder.encode(texts_of(batch), end), type=pa.binary())], names=["part", "doc_id", "ids"])
+        edges, begin, spread = bounds.value
+        keys = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(edges, keys, side="right")
+        ids = coder.encode(texts_of(batch), end)
+        part = begin[at]
+        for i in np.flatnonzero(spread[at] > 1):
+            part[i] += zlib.crc32(ids[i]) % spread[at[i]]
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys), pa.array(ids, type=pa.binary())], names=["part", "doc_id", "ids"])
 
     coded = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id long, ids binary")
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -212,13 +290,13 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, end: int = 1, ro
                     part, temporary = p, f"{folder}/_{p:06d}-{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(temporary)
                     writer = FrameWriter(sink)
-                writer.add(doc_id, coded_ids)
+                writer.add(doc_id, np.frombuffer(coded_ids, encoder(tokenizer).dtype))
         if writer is not None:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = coded.repartition(files, "part") if files > 1 else coded.coalesce(1)
+    dealt = coded.repartitionById(files, "part")
     manifest = cut(dealt.sortWithinPartitions("part", "doc_id", "ids").mapInArrow(write, "part int, path string, n_docs long, n_ids long"))
     # One row for each file, max_files at most.
     return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
