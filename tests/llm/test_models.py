@@ -6,12 +6,13 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickwise.llm import entry
-from tickwise.llm.langid import language_ids
-from tickwise.llm.quality import fit_network, quality_scores
+from tickwise.llm.langid import counts_of, fit_languages, language_ids
+from tickwise.llm.quality import DIM, ROWS, _index_vectors, _Tokens, context_sums, fit_network, pool, quality_scores
 from tickwise.llm.sql import URL_RULES, url_sql
-from tickwise.llm.toxicity import fit_sparse, swaps_of, toxicity_scores
+from tickwise.llm.toxicity import Pairs, fit_sparse, objective, swaps_of, toxicity_scores
 from tickwise.llm.url_filter import judge_urls
 
 ODD = [None, "", "   ", "!!!", "ß" * 60_000]
@@ -76,8 +77,10 @@ def test_swapped_terms_lower_the_weight_of_group_names():
         rows.append(np.array(sorted([0 if (i % 10 < 8) == bool(toxic) else 1, 2 if toxic and i % 4 == 1 else 3])))
         y.append(toxic)
     names = list(vocabulary)
-    pairs = [(r, np.array(sorted(vocabulary[w] for w in s))) for r in rows for s in swaps_of({names[i] for i in r})]
-    plain, bias = fit_sparse(rows, np.array(y, float), [], 6)
+    found = [(i, pair) for i, r in enumerate(rows) for pair in swaps_of({names[k] for k in r}, (("women", "men", "girls", "boys"),))]
+    number = lambda words: [vocabulary[w] for w in words]
+    pairs = Pairs([i for i, _ in found], ([(number(p[0]), number(p[1])) for _, p in found], [(number(p[2]), number(p[3])) for _, p in found]))
+    plain, bias = fit_sparse(rows, np.array(y, float), Pairs([], ([], [])), 6)
     fair, fair_bias = fit_sparse(rows, np.array(y, float), pairs, 6)
     assert abs(fair[0] - fair[1]) < 0.3 * abs(plain[0] - plain[1])
     assert fair[2] > 1
@@ -86,6 +89,90 @@ def test_swapped_terms_lower_the_weight_of_group_names():
     assert spread(fair, fair_bias) < 0.5 * spread(plain, bias)
 
 
+def test_swaps_by_hand():
+    terms = (("a", "b", "c"), ("x", "y"))
+    assert swaps_of({"a", "k"}, terms) == [(set(), set(), {"a"}, {"b"}), (set(), set(), {"a"}, {"c"})]
+    assert swaps_of({"a", "y"}, terms) == [(set(), set(), {"a", "y"}, {"b", "x"}), (set(), set(), {"a"}, {"c"})]
+    for at in range(12):  # no term: two different ones of a row are put in
+        (pair,) = swaps_of({"k"}, terms, at)
+        (one,), (other,) = pair[1], pair[3]
+        assert pair[0] == pair[2] == set() and one != other and any(one in row and other in row for row in terms)
+
+
+def test_counterfactual_loss_and_gradient_by_brute_force():
+    """The loss from word sets as they stand, and its slope by differences."""
+    rng = np.random.default_rng(5)
+    rows = [np.array(sorted(rng.choice(9, size=rng.integers(0, 6), replace=False)), dtype=np.int64) for _ in range(14)]
+    y = rng.integers(0, 2, 14).astype(float)
+    changes = [(int(rng.integers(14)), [], [int(rng.integers(9))], [], [int(rng.integers(9))]) for _ in range(6)]
+    changes += [(i, [], [], [int(rows[i][0])], [8]) for i in range(14) if len(rows[i])]
+    pairs = Pairs([c[0] for c in changes], ([(c[1], c[2]) for c in changes], [(c[3], c[4]) for c in changes]))
+    w, b = rng.normal(size=9), 0.3
+    score = lambda words: 1 / (1 + np.exp(-(b + sum(w[k] for k in words))))
+
+    def brute():
+        loss = -np.mean([np.log(score(r) if t else 1 - score(r)) for r, t in zip(rows, y, strict=True)])
+        sides = []
+        for i, *change in changes:
+            for taken, put in (change[:2], change[2:]):
+                words = list(rows[i])
+                for k in taken:
+                    words.remove(k)
+                sides.append(score(words + put))
+        return loss + 10 * np.mean([(s - t) ** 2 for s, t in zip(sides[::2], sides[1::2], strict=True)])
+
+    x = (np.concatenate(rows), np.repeat(np.arange(14), [len(r) for r in rows]))
+    loss, gw, gb = objective(w, b, x, y, pairs, 10.0)
+    assert abs(loss - brute()) < 1e-12
+    for k in range(9):
+        w[k] += 1e-6
+        up = brute()
+        w[k] -= 2e-6
+        assert abs((up - brute()) / 2e-6 - gw[k]) < 1e-6
+        w[k] += 1e-6
+    b += 1e-6
+    up = brute()
+    b -= 2e-6
+    assert abs((up - brute()) / 2e-6 - gb) < 1e-6
+
+
+def test_context_sums_and_pooling_by_brute_force(spark):
+    """Random-indexing sums and pooled vectors, token by token."""
+    texts = ["One two, two THREE!", "", None, "a_b 12 one", "two two two"]
+    place, sign = _index_vectors()
+    tokens = _Tokens()
+    want = np.zeros((ROWS, DIM))
+    for text in texts:
+        rows = tokens.rows(text or "").tolist()
+        for i, own in enumerate(rows):
+            for near in rows[max(0, i - 1) : i] + rows[i + 1 : i + 2]:
+                for context in near:
+                    for target in own:
+                        want[target, place[context]] += sign[context]
+    got = np.zeros((ROWS, DIM))
+    for row, sums in context_sums(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        got[row] = sums
+    assert (got == want).all() and got.any()
+    table = np.random.default_rng(0).normal(size=(ROWS, DIM))
+    pooled = pool([tokens.rows(t or "") for t in texts], table)
+    for text, vector in zip(texts, pooled, strict=True):
+        vectors = [table[a] + table[b] for a, b in tokens.rows(text or "").tolist()]
+        n = max(1, len(vectors))
+        parts = [sum(vectors, np.zeros(DIM)), sum((v * v for v in vectors), np.zeros(DIM)), sum((v * u for v, u in zip(vectors, vectors[1:], strict=False)), np.zeros(DIM))]
+        assert np.allclose(vector, np.concatenate(parts) / n)
+
+
+def test_repeated_ids_are_learned_once(spark):
+    """Rows that repeat a doc_id give one learning row in each model, and every row is scored."""
+    rows = [(i, f"good words number {i}" if i % 2 else f"bad junk !!! {i}") for i in range(60)] + [(1, "bad junk !!!")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    for scores in (quality_scores, toxicity_scores):
+        assert scores(docs, labelled).count() == len(rows)
+    learned = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    assert language_ids(docs, learned, per_language=10, clusters=2).count() == len(rows)
+
+
 LANGUAGES = {
     "en": "the house is by the river and they walk there with the small dog every day before it is dark",
     "de": "das haus steht am fluss und sie gehen dort mit dem kleinen hund jeden tag bevor es dunkel wird",
@@ -110,6 +197,27 @@ def test_language_ids(spark):
     assert language_ids(docs.limit(0), learned).collect() == []
 
 
+def test_letters_are_of_category_l_only():
+    assert all(counts_of(t) is None for t in ("²", "½ ①", "Ⅷ", "12 ²_", "٣", ""))
+    assert all(counts_of(t) is not None for t in ("a²", "ª", "ʰ", "ß", "中", "Ⅷa"))
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    """Vectors, cosines and the nearest centroid of a fitted model, from their definitions."""
+    learned = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(LANGUAGES.items())], "doc_id long, text string, lang string")
+    model = fit_languages(learned, clusters=2)
+    texts = ["the house", "das kleine haus", "la nuit", "zz"]
+    df = {}
+    for t in LANGUAGES.values():
+        for k in np.flatnonzero(counts_of(t)):
+            df[k] = df.get(k, 0) + 1
+    for text, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        counts = counts_of(text)
+        v = np.array([(1 + np.log(c)) * (np.log(4 / (1 + df.get(k, 0))) + 1) if c else 0 for k, c in enumerate(counts)])
+        cosines = [v @ c / (np.linalg.norm(v) * np.linalg.norm(c)) for c in model.centres]
+        assert abs(score - max(0, max(cosines))) < 1e-5 and lang == model.languages[int(np.argmax(cosines))]
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://A.EXAMPLE.ORG", "https://example.org/es/x?y=1", "http://www.example.org/en/12#t", "http://example.org/en/2", "http://fakeexample.org/es/1", "http://x.com/fr/1", "http://x.com/de/1", "http://x.net/en/good",
     "http://com/fr/", "http://b.com:80/de/9", "x://y.org?q=/", "http://x.com/fr", "http://Ü.example.org/ES/", "http://x.net/" + "a" * 5000, "http://x.net/en/good", "a://b://c.org/z",
@@ -180,7 +288,34 @@ def test_queries_run_on_a_small_table_and_the_pipeline_equals_its_stages(spark,
                 if label[a] < label[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
                     label[b] = label[a]
     assert ids == {d for d in label if label[d] == d} - {700}
-    assert 701 in ids and sum(r.n_tokens for r in got if r.doc_id == 701) == len("the house [SECRET] and the green river".split())
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    count = lambda t: len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(t, add_special_tokens=False).ids)
+    assert 701 in ids and sum(r.n_tokens for r in got if r.doc_id == 701) == count("the house [SECRET] and the green river")
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows; then no rows at all."""
+    import corpus_pipeline
+
+    rows = [(i, t, None, None, None) for i, t in enumerate([None, "", " ", "one word", "w " * 40_000])] + [(None, "without id", "en", "s", 10)] * 2 + [(3, "one word", "en", "s", 8)] * 3
+    labels = spark.createDataFrame([(3, 1, None), (None, 0, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(None, "x"), (2, None), (3, "")], "item_id long, text string")
+    for some in (rows, []):
+        folder = str(tmp_path / str(len(some)))
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        sizes = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            sizes[name] = out.count()
+            if name != "packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+        # Repeats of a document are one; rows without an id stand for themselves, equal ones once.
+        assert sizes == ({"quality": 10, "near_dedup": 6, "decontamination": 10, "secrets": 10, "packing": sizes["packing"]} if some else dict.fromkeys(sizes, 0))
+        assert corpus_pipeline.run(spark, folder).where("n_tokens > 0").count() == sizes["packing"] - 3 - 3 - 1 if some else True
 
 
 def test_folds_follow_the_crc(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,24 +17,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests), a new local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tickwise-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
+    """Cut the lineage: write df as a table of the shared folder and read it, so that a lost executor costs no recomputation.
+
+    Unlike a checkpoint, whose frame keeps the estimates of its plan (those of a chain of joins multiply
+    until planning takes minutes), a table has the size of its files. The folder belongs to the job, as
+    that of checkpoints does; whoever clears spark.checkpoint.dir removes it.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, cut, with a broadcast hint only if it has no more rows than given (of a few numbers each); a larger one is shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_text_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (keys, text) for each key, however often it repeats: the text of least hash."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"))
+
+
 def bucket_of(key: str, buckets: int) -> Column:
     """crc32 of the key as text, mod buckets: the fold of a row."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % buckets

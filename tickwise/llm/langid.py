@@ -9,16 +9,19 @@ language, and a cosine below what nearly all learning texts reach is reported as
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import map_batches, texts_of, with_fields
+from tickwise.llm.common import checked_broadcast, map_batches, one_text_each, texts_of, with_fields
 
 DIM = 4096
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# What \w takes for a letter but is a number: "²", "½", "Ⅷ".
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 UNKNOWN = "und"
 
 
@@ -92,13 +95,22 @@ class Centroids:
 
 
 def fit_languages(rows: DataFrame, *, per_language: int = 1000, clusters: int = 4, reject_share: float = 0.005) -> Centroids:
-    """rows(doc_id, text, lang): document frequencies over all of them; centroids of at most per_language texts of each, by a hash of doc_id."""
-    rows = rows.where("lang is not null")
+    """rows(doc_id, text, lang): document frequencies over all of them; centroids of at most per_language texts of each, by a hash of doc_id.
+
+    Of rows that repeat a doc_id one text counts for the centroids; rows with null doc_id or lang are not learned from.
+    """
+    rows = rows.where("lang is not null and doc_id is not null")
     idf = _document_frequency(rows)
     shared = rows.sparkSession.sparkContext.broadcast(idf)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).select("doc_id", "lang")
-    sample = rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    # The per_language smallest hashes of each language: ids below twice the share that holds so many are ranked, no others.
+    ids = rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
+    share = F.lit(2.0 * per_language) / F.greatest(F.col("n"), F.lit(1))
+    least = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    bounds = checked_broadcast(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).select("lang", least.alias("most")))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    near = ids.join(bounds, "lang").where("h <= most").select("doc_id", "lang", "h").distinct()
+    picked = checked_broadcast(near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).select("doc_id", "lang"))
+    sample = one_text_each(rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]), ["doc_id", "lang"])
 
     def to_vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [counts_of(t) for t in texts_of(batch)]
@@ -109,7 +121,7 @@ def fit_languages(rows: DataFrame, *, per_language: int = 1000, clusters: int =
     def cluster(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["doc_id"]).head(per_language)
+        pdf = pdf.sort_values(["doc_id"])
         x = np.frombuffer(b"".join(pdf.vector), dtype=np.float32).reshape(-1, DIM)
         centres = _cluster(x, clusters)
         best = (x @ centres.T).max(axis=1)
@@ -123,7 +135,8 @@ def fit_languages(rows: DataFrame, *, per_language: int = 1000, clusters: int =
 def language_ids(docs: DataFrame, learn_from: DataFrame, *, per_language: int = 1000, clusters: int = 4) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns, without clashes, plus lang_pred string, score double, rejected boolean.
 
-    learn_from(doc_id, text, lang) are the learning rows; null lang is ignored. lang_pred is the
+    learn_from(doc_id, text, lang) are the learning rows; null lang or doc_id is ignored, and of rows that
+    repeat a doc_id one text makes centroids. lang_pred is the
     language of the nearest centroid, `und` where the text is null or has no letter or nothing was
     learned; score is the cosine (0 for `und`); rejected says that the cosine is below that of nearly
     all learning texts of that language. Every input row gives one row; ties go to the language that

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import map_batches, mix64, texts_of, with_fields
+from tickwise.llm.common import map_batches, mix64, one_text_each, texts_of, with_fields
 
 WORD_ROWS, SHAPE_ROWS, DIM = 8192, 256, 64
 ROWS = WORD_ROWS + SHAPE_ROWS
@@ -218,7 +218,8 @@ def _pooled(docs: DataFrame, table: np.ndarray, keep: list[str], ddl: str) -> Da
 def fit_quality(docs: DataFrame, labelled: DataFrame, table: np.ndarray, max_train: int = 20_000) -> Network:
     """labelled(doc_id, label 0/1): at most max_train of them, chosen by a hash of doc_id, are joined to their texts."""
     sample = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # One text for each sampled id, however often rows repeat it: no more than max_train rows reach the driver.
+    rows = one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"])
     got = _pooled(rows, table, ["doc_id", "label"], "doc_id long, label double, pooled array<float>").toArrow().sort_by([("doc_id", "ascending")])
     x = got.column("pooled").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, 3 * DIM).astype(np.float64)
     y = (got.column("label").to_numpy() >= 0.5).astype(np.float64)
@@ -230,7 +231,8 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, *, threshold: float = 0
 
     score is the calibrated probability of label 1, from the text alone; predicted is 1 where it
     reaches the threshold. A null or empty text pools to zeros and gets the score of that vector.
-    Labels that are null are ignored, several for one doc_id are averaged; with no usable labels
+    Labels that are null are ignored, several for one doc_id are averaged, and of rows that repeat a
+    doc_id one text is learned from; with no usable labels
     (or one class only) the score is the smoothed share of label 1. Every input row gives one row;
     input columns named score or predicted are replaced.
     """
