@@ -67,3 +67,15 @@ def test_recall_at_the_threshold():
     ka, kb = keys_of(a, group, 10), keys_of(b, group, 10)
     found = (ka[:, :, :, None] == kb[:, :, None, :]).any(axis=(1, 2, 3))
     assert found.mean() > 0.99
+
+
+def test_repeated_ids(spark):
+    """A vec_id of two vectors joins both sides; many repeats and many vectors of one id cost no more than other rows."""
+    rng = np.random.default_rng(7)
+    u, v = rng.normal(size=64), rng.normal(size=64)
+    near = lambda x: (x + 0.01 * rng.normal(size=64)).tolist()
+    rows = [(5, u.tolist(), 1, "x"), (5, v.tolist(), 1, "x"), (3, near(u), 1, "x"), (9, near(v), 1, "x"), (2, near(u), 0, "x")]
+    assert sorted(collected(embedding_duplicates(spark.createDataFrame(rows, SCHEMA)))) == [(2, 0, 2, True), (3, 1, 3, True), (5, 1, 3, False), (9, 1, 3, False)]
+    many = [(7, rng.normal(size=64).tolist(), 1, "x") for _ in range(400)] + [(8, u.tolist(), 1, "x")] * 3000
+    got = embedding_duplicates(spark.createDataFrame(many, SCHEMA)).collect()
+    assert {(r.vec_id, r.component_id) for r in got} == {(7, 7), (8, 8)} and {r.n_links for r in got if r.vec_id == 8} == {2999}

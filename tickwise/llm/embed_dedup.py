@@ -102,11 +102,14 @@ def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.93, tables: in
     kept says that it is the row's own. At a cosine of 0.93 in 64 dimensions ten tables find over
     99 % of pairs, and more of nearer ones. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths; such rows are kept,
-    with 0 links. Equal rows are links of each other. A row with null vec_id may link, but its
+    with 0 links. Equal rows are links of each other; rows that repeat a vec_id with other vectors have
+    links of their own and one component. A row with null vec_id may link, but its
     component_id is that of its copies or, alone, null. Other columns are ignored.
     """
     rows = cut(_units(vectors))
-    reps = rows.where("unit is not null and vec_id is not null").groupBy("same").agg(F.min("vec_id").alias("id"), F.first("grp").alias("grp"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"))
+    usable = rows.where("unit is not null and vec_id is not null")
+    # One representative for each distinct vector of a label; inside, its number is the node, so that a vec_id of many vectors is many nodes.
+    reps = cut(usable.groupBy("same").agg(F.min("vec_id").alias("vec"), F.first("grp").alias("grp"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies")).withColumn("id", F.monotonically_increasing_id()))
 
     def to_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = batch.column(2).to_pylist()
@@ -118,14 +121,15 @@ def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.93, tables: in
             x = np.frombuffer(b"".join(units[i] for i in at), dtype=np.float64).reshape(len(at), -1)
             keys[at] = keys_of(x, groups[at], tables).reshape(len(at), -1)
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), batch.column(3)], names=["id", "keys", "unit", "copies"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, batch.column(2), batch.column(3)], names=["id", "grp", "keys", "unit", "copies"])
 
-    hashed = cut(map_batches(reps.select("id", "grp", "unit", "copies"), to_keys, "id long, keys array<long>, unit binary, copies long"))
-    members = hashed.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    homes = members.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").cast("int"))
-    dealt = homes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id")
-    full = dealt.join(hashed, "id")
+    hashed = cut(map_batches(reps.select("id", "grp", "unit", "copies"), to_keys, "id long, grp long, keys array<long>, unit binary, copies long"))
+    # A bucket is of one label (and length) by its second key, not by the mixed hash alone.
+    members = hashed.select("id", "grp", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = members.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    homes = members.join(shared, ["key", "grp"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").cast("int"))
+    dealt = homes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "grp", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id")
+    full = cut(dealt).join(hashed.drop("grp"), "id")
 
     def link(batch: pa.RecordBatch) -> dict | None:
         if batch.num_rows < 2:
@@ -155,9 +159,15 @@ def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.93, tables: in
         return {"id": ids[rows_], "links": links[rows_], "root": ids[_classes(near)[rows_]]} if len(rows_) else None
 
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-    found = cut(map_groups(full, ["key", "one", "two"], link, schema, "id long, links long, root long", sort=["id"]))
-    components = connected_components(found.select("id", "root").distinct(), "id", "root")
+    found = cut(map_groups(full, ["key", "grp", "one", "two"], link, schema, "id long, links long, root long", sort=["id"]))
+    named = reps.select("id", "vec")
+    edges = found.select("id", "root").distinct().join(named.withColumnRenamed("vec", "a"), "id").join(named.select(F.col("id").alias("root"), F.col("vec").alias("b")), "root").select("a", "b")
+    # A vec_id of several vectors joins what each of them links to.
+    several = usable.groupBy("vec_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("vec_id")
+    if not several.isEmpty():
+        edges = edges.unionByName(usable.join(several, "vec_id", "left_semi").select("vec_id", "same").distinct().join(reps.select("same", "vec"), "same").select(F.col("vec_id").alias("a"), F.col("vec").alias("b")))
+    components = connected_components(edges)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    by_rep = reps.select("same", "id", "copies").join(links, "id", "left").join(components, F.col("id") == F.col("node"), "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    by_rep = reps.select("same", "id", "vec", "copies").join(links, "id", "left").join(components, F.col("vec") == F.col("node"), "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
     own = rows.select("vec_id", "same").join(by_rep, "same", "left")
     return own.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
