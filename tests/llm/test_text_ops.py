@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickwise.llm import token_store
 from tickwise.llm.decontam import decontaminate, hit_words, mark_contamination
-from tickwise.llm.packing import optimal_buckets, pack
+from tickwise.llm.packing import count_tokens, optimal_buckets, pack
 from tickwise.llm.secrets import find_secrets, guess_cost, redact_secrets, scan
 
 SCHEMA = "doc_id long, text string, secrets string"
@@ -153,6 +153,10 @@ def test_decontamination(spark):
     cut = {r.doc_id: r.text for r in decontaminate(docs(spark, BENCH_DOCS), bench, remove="spans").collect()}
     assert cut[2] == " and more" and cut[3] == "a  b " and cut[4] == BENCH_DOCS[4] and cut[0] is None
     assert decontaminate(docs(spark, BENCH_DOCS), bench.limit(0)).count() == len(BENCH_DOCS)
+    named = docs(spark, BENCH_DOCS).withColumns({"hits": F.lit("own"), "n_words": F.col("doc_id")})
+    for remove in ("documents", "spans"):
+        got = decontaminate(named.unionByName(named), bench, remove=remove)
+        assert got.columns == named.columns and got.where("hits = 'own' and n_words = doc_id").count() == got.count() == 2 * decontaminate(named, bench, remove=remove).count()
 
 
 def test_optimal_buckets_equal_brute_force():
@@ -168,9 +172,13 @@ def test_optimal_buckets_equal_brute_force():
     assert optimal_buckets({}, 4) == [] and optimal_buckets({5: 2}, 4) == [5]
 
 
+def words_in_text():
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
+
+
 def test_packing_is_whole(spark):
     texts = [None, "", *[" ".join(["w"] * n) for n in [1, 2, 3, 3, 9, 10, 11, 25, 40, 5, 5, 5]]]
-    rows = pack(docs(spark, texts), max_len=10, buckets=3, budget=20, share=2).collect()
+    rows = pack(docs(spark, texts), tokens=words_in_text(), max_len=10, buckets=3, budget=20, share=2).collect()
     per_doc = {}
     for r in rows:
         per_doc[r.doc_id] = per_doc.get(r.doc_id, 0) + r.n_tokens
@@ -185,8 +193,29 @@ def test_packing_is_whole(spark):
         assert len(members) * members[0].bucket_len <= 20 and sorted(r.slot for r in members) == list(range(len(members)))
     assert [r.batch for r in rows if not r.n_tokens] == [None, None]
     with pytest.raises(ValueError):
-        pack(docs(spark, texts), max_len=10, budget=5)
-    assert pack(docs(spark, [])).collect() == []
+        pack(docs(spark, texts), tokens=words_in_text(), max_len=10, budget=5)
+    with pytest.raises(ValueError):
+        pack(docs(spark, texts))
+    assert pack(docs(spark, []), tokens=words_in_text()).collect() == []
+
+
+def test_packing_of_repeats_spreads_over_shares(spark):
+    """Many rows of one doc_id and of none: all packed, each slot once, in shares of bounded size."""
+    rows = spark.createDataFrame([(7, "a b c", 1)] * 300 + [(None, "d e f", 2)] * 100, "doc_id long, text string, slot long")
+    got = pack(rows, tokens=words_in_text(), max_len=10, buckets=2, budget=30, share=20).collect()
+    assert sum(r.doc_id == 7 for r in got) == 300 and sum(r.doc_id is None for r in got) == 100
+    assert sorted((r.batch, r.slot) for r in got) == [(b, s) for b in range(40) for s in range(10)]
+
+
+def test_token_counts_equal_the_library(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "It's 12 o'clock. Déjà «vu», <|endoftext|> done", "x" * 5000, "a b " * 3000]
+    reference = Tokenizer.from_file(path)
+    assert [r.t for r in count_tokens(docs(spark, texts), path).orderBy("doc_id").collect()] == [len(reference.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert sum(r.n_tokens for r in pack(docs(spark, texts), tokenizer=path).collect()) == sum(len(reference.encode(t or "", add_special_tokens=False).ids) for t in texts)
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -195,10 +224,11 @@ def test_token_files_round_trip(spark, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", "It's 12 o'clock\u00a0é e\u0301 <|endoftext|> done", "a\x1cb\tc\n", *[f"number {i} of many " * (i % 7) for i in range(60)], "long " * 30_000]
-    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "again")]
+    texts += ["L'École, d'été: «déjà», don't (x), 's're 3,5 ½ İ,", "DON'T'S l'", "a\u0338=\u0338,", "x" * 300 + "," + "é" * 200]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "again")] + [(90, f"the same id {i} " * 9) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    manifest = token_store.write_tokens(df, str(tmp_path / "store"), path, rows_per_file=10)
-    assert manifest.count() > 3
+    manifest = token_store.write_tokens(df, str(tmp_path / "store"), path, file_bytes=4000)
+    assert manifest.count() > 15 and manifest.agg({"n_docs": "max"}).first()[0] < 120
     got = token_store.read_tokens(manifest, str(tmp_path / "store"), with_ids=True).orderBy("start").collect()
     reference = Tokenizer.from_file(path)
     want = sorted((-1 if d is None else d, [*reference.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows)
@@ -218,7 +248,7 @@ def test_token_file_reads_only_frames_asked_for_and_checks_them(tmp_path):
     sink = io.BytesIO()
     writer = token_store.FrameWriter(sink, frame_docs=2)
     for i in range(5):
-        writer.add(i, np.arange(i, dtype="<u4").tobytes())
+        writer.add(i, np.arange(i, dtype="<u2"))
     writer.close()
     raw = bytearray(sink.getvalue())
 

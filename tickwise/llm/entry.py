@@ -51,7 +51,9 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
