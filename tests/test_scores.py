@@ -219,3 +219,25 @@ def test_retrieval(spark, song):
     want = spark.createDataFrame([("f", 100, "16th", "intermediate", "rock"), ("g", 200, "16th", "beginner", "rock")], "request_id string, tempo_bpm int, subdivision string, level string, style string")
     assert [(r.request_id, r.id, r.score) for r in ex.recommend_fills(want, items).collect()] == [("f", "c", 150)]
     assert {r.problem for r in ex.validate_fills(events.where("bar_number = 8 and event_idx < 4")).collect()} == {"a fill must be exactly one bar"}
+
+
+def test_corpus_near_patterns_by_brute_force(spark):
+    """Random bars of two scores: every pair of patterns is compared."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for bar in range(60):
+        for i in range(8):
+            drums = sorted({d for d in ("kick", "snare", HH, "crash") if rng.random() < (0.9 if d == HH else 0.25)})
+            rows.append((f"s{bar % 2}", bar // 2 + 1, i, i * 24, 24, "8", False, False, drums, not drums))
+    events = spark.createDataFrame(rows, "score_id string, bar_number int, event_idx int, onset_ticks int, duration_ticks int, written_duration string, dotted boolean, triplet boolean, drums array<string>, is_rest boolean")
+    sets = {r.pattern: set(r["keys"]) for r in an._patterns(events).select("pattern", "keys").distinct().collect()}
+    alike = lambda a, b: int(100 * len(a & b) / len(a | b) + 0.5) / 100
+    want = {}
+    for p, a in sets.items():
+        near = [(-alike(a, b), q) for q, b in sets.items() if q != p and alike(a, b) >= 0.6]
+        if near:
+            want[p] = (len(near), min(near)[1], -min(near)[0])
+    got = {r.pattern: (r.n_near, r.nearest, r.similarity) for r in an.corpus_near_patterns(events, threshold=0.6).collect()}
+    assert got == want and len(want) > 20

@@ -137,10 +137,14 @@ def corpus_patterns(events: DataFrame) -> DataFrame:
 
 
 def corpus_near_patterns(events: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """AN8: pairs of different patterns of the corpus whose rounded similarity reaches the threshold."""
+    """AN8: for each pattern of the corpus with near ones (rounded similarity of the threshold or more): how many, the most similar, and how alike.
+
+    One row a pattern: the pairs themselves grow with the square of the patterns that share a groove.
+    """
     reps = _patterns(events).groupBy("pattern").agg(F.first("keys").alias("keys")).withColumnRenamed("pattern", "id")
     near = _near_pairs(reps, threshold - 0.005, []).withColumn("similarity", round2(F.col("raw")))
-    return near.where(F.col("similarity") >= threshold).select(F.col("a").alias("pattern_a"), F.col("b").alias("pattern_b"), "similarity")
+    both = near.where(F.col("similarity") >= threshold).select(F.explode(F.array(F.struct(F.col("a").alias("pattern"), F.col("b").alias("other")), F.struct(F.col("b").alias("pattern"), F.col("a").alias("other")))).alias("p"), "similarity").select("p.*", "similarity")
+    return both.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_near"), F.min_by("other", F.struct(-F.col("similarity"), "other")).alias("nearest"), F.max("similarity").alias("similarity"))
 
 
 def fill_candidates(events: DataFrame, threshold: float = 0.5) -> DataFrame:
