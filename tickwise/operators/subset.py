@@ -115,7 +115,7 @@ def encode_dense(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(SLOTS * len(DRUMS) - 1)), lambda i: F.array_contains(cells, i.cast("long")).cast("float")).alias("drums"), F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0))).alias("durations"))
 
 
-def positive_weights(sparse: DataFrame, bars: int) -> DataFrame:
+def positive_weights(sparse: DataFrame, bars: int | Column) -> DataFrame:
     """TS12: weight of each (slot, drum) cell: bars without over bars with the hit, each at least 1, at most 50."""
     spark = sparse.sparkSession
     grid = spark.range(SLOTS * len(DRUMS)).select((F.col("id") / len(DRUMS)).cast("int").alias("slot"), (F.col("id") % len(DRUMS)).cast("int").alias("drum_idx"))

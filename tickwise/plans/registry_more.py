@@ -78,7 +78,7 @@ def ts11_dense_targets(spark, sf_dir):
 @query
 def ts12_positive_weights(spark, sf_dir):
     usable = _usable(spark, sf_dir)
-    w = ts.positive_weights(ts.encode_sparse(usable, ["song", "bar"]), usable.count())
+    w = ts.positive_weights(ts.encode_sparse(usable, ["song", "bar"]), usable.agg(F.count(F.lit(1))).scalar())
     return w.withColumn("weight", F.round("weight", 9))
 
 
