@@ -109,8 +109,8 @@ def context_sums(docs: DataFrame) -> DataFrame:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """ROWS x DIM table, centred and of unit length; its size is fixed by the parameters above."""
     table = np.zeros((ROWS, DIM))
-    for row, sums in context_sums(docs).collect():
-        table[row] = sums
+    got = context_sums(docs).toArrow()
+    table[got.column("row").to_numpy()] = got.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     used = table.any(axis=1)
     if used.any():
@@ -175,9 +175,10 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40
         p = (y.sum() + 1) / (len(y) + 2)
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))))
     left = np.arange(len(y)) % 5 == 4
-    tx, ty = x[~left], y[~left]
+    tx, ty = x[~left].astype(np.float64), y[~left]
     net = Network(tx.mean(axis=0), tx.std(axis=0) + 1e-6, rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), float(np.log((ty.mean() + 1e-3) / (1 - ty.mean() + 1e-3))))
-    tx = (tx - net.mean) / net.scale
+    tx -= net.mean
+    tx /= net.scale
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -196,7 +197,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 params[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
-    z = net.logit(x[left])
+    z = net.logit(x[left].astype(np.float64))
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 141))
     net.temperature = float(grid[np.argmin([_loss(z / t, y[left]) for t in grid])])
     return net
@@ -221,9 +222,15 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, table: np.ndarray, max_tra
     # One text for each sampled id, however often rows repeat it: no more than max_train rows reach the driver.
     rows = one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"])
     got = _pooled(rows, table, ["doc_id", "label"], "doc_id long, label double, pooled array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    x = got.column("pooled").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, 3 * DIM).astype(np.float64)
-    y = (got.column("label").to_numpy() >= 0.5).astype(np.float64)
-    return fit_network(x[np.random.default_rng(3).permutation(len(y))] if len(y) else x, y[np.random.default_rng(3).permutation(len(y))] if len(y) else y)
+    order = np.random.default_rng(3).permutation(got.num_rows)
+    x = got.column("pooled").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, 3 * DIM)[order]
+    y = (got.column("label").to_numpy() >= 0.5).astype(np.float64)[order]
+    del got
+    net = fit_network(x, y)
+    # The driver keeps neither the sample nor its buffers.
+    del x
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, *, threshold: float = 0.3, max_train: int = 20_000) -> DataFrame:
