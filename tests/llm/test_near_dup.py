@@ -3,7 +3,7 @@ import random
 import uuid
 
 from tickwise.llm.components import connected_components
-from tickwise.llm.near_dup import _blocked, near_duplicates
+from tickwise.llm.near_dup import _blocked, near_duplicates, shingle_hashes, sketch_of
 
 SCHEMA = "doc_id long, text string, component_id string, kept int"
 
@@ -54,30 +54,41 @@ def test_equals_brute_force(spark):
 
 
 def test_blocks_and_depth_do_not_change_the_result(spark):
-    """A leaf and a block of a few documents force deep trees, blocks, anchors and the second round."""
+    """A leaf and a block of a few documents force deep trees, blocks, anchors and the rounds after them."""
     base = " ".join(f"a{i}" for i in range(40))
     rows = list(enumerate(texts(60, seed=9)))
     for i in range(40):
         words = base.split()
         words[i] = "b"
         rows.append((1000 + i, " ".join(words)))
-    got = run(spark, rows, words=2, leaf=4, block=8, trees=8)
+    got = run(spark, rows, words=2, leaf=4, block=8, set_block=8, trees=8, depth=4)
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 2, 80)
 
 
-def test_second_round_keeps_tasks_small_where_no_class_dominates(spark, tmp_path):
-    """All cross-class pairs meet once at least, in tasks of two blocks at most, and the pairs that link are found."""
-    n, block = 240, 16
-    folder = str(tmp_path)
+def pair_groups(n):
+    """Row i and row i + n / 2 link, no others."""
 
     def near_of(batch):
         ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
-            json.dump(ids.tolist(), f)
         return (ids[:, None] % (n // 2)) == (ids[None, :] % (n // 2))
 
-    members = spark.createDataFrame([(5, n, i) for i in range(n)], "grp long, n long, id long")
-    got = _blocked(members, lambda ids: members.select("id"), near_of, block, 4)
+    return near_of
+
+
+def recording(near_of, folder):
+    def seen(batch):
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            json.dump(batch.column(batch.schema.get_field_index("id")).to_pylist(), f)
+        return near_of(batch)
+
+    return seen
+
+
+def test_pairs_of_blocks_meet_all_and_keep_tasks_small(spark, tmp_path):
+    """Without levels, all cross-class pairs meet once at least, in tasks of two blocks at most."""
+    n, block = 240, 16
+    members = spark.createDataFrame([(5, n / block, i, 1 / block) for i in range(n)], "grp long, fill double, id long, w double")
+    got = _blocked(members, lambda dealt: dealt, recording(pair_groups(n), str(tmp_path)), 4)
     assert {tuple(sorted((r.a, r.b))) for r in got.collect()} == {(i, i + n // 2) for i in range(n // 2)}
     seen = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
     assert max(map(len, seen)) <= 3 * block  # two blocks, uneven by the hash
@@ -85,6 +96,57 @@ def test_second_round_keeps_tasks_small_where_no_class_dominates(spark, tmp_path
     assert len(met) == n * (n - 1) // 2
 
 
+def template_group(n, shared=60, own=30, seed=3):
+    """n texts of one template, below 80 % of each other, and each even one with a partner above it."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        mine = [f"o{i}x{j}" for j in range(own)] if i % 2 == 0 or not rows else list(mine)
+        if i % 2:
+            mine[rng.randrange(own)] = f"p{i}"
+        rows.append((i, " ".join([f"t{j}" for j in range(shared)] + mine)))
+    return rows
+
+
+def test_rows_stay_in_proportion_where_most_of_a_group_is_unlinked(spark, tmp_path):
+    """Members dealt for 16 and for 64 blocks: four times as many and some levels, not sixteen; every link is found."""
+    dealt = {}
+    for n in (256, 1024):
+        rows = template_group(n)
+        reps = spark.createDataFrame([(i, sketch_of(shingle_hashes(t, 1, {})).astype("uint16").tobytes()) for i, t in rows], "id long, sketch binary")
+        members = spark.createDataFrame([(5, n / 16, i, 1 / 16) for i in range(n)], "grp long, fill double, id long, w double")
+        folder = tmp_path / str(n)
+        folder.mkdir()
+
+        def near_of(batch):
+            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+            return (ids[:, None] // 2) == (ids[None, :] // 2)
+
+        got = {tuple(sorted((r.a, r.b))) for r in _blocked(members, lambda x: x, recording(near_of, str(folder)), 4, reps=reps, levels=12).collect()}
+        assert got == {(i, i + 1) for i in range(0, n, 2)}
+        seen = [json.loads(f.read_text()) for f in folder.iterdir()]
+        assert max(map(len, seen)) <= 4 * 16  # two blocks, uneven by the hash
+        dealt[n] = sum(map(len, seen))
+    assert dealt[1024] <= 8 * dealt[256] and dealt[1024] <= 20 * 1024, dealt  # levels grow with the logarithm
+
+
+def test_large_groups_below_the_similarity(spark):
+    """A template group of unlinked members and partners above 80 %, through all stages with small blocks."""
+    rows = template_group(240)
+    got = {r.doc_id: r.component_id for r in run(spark, rows, words=1, leaf=8, block=16, set_block=16, depth=3)}
+    assert got == {i: i - i % 2 for i in range(240)}
+
+
+def test_many_repeats_of_rows_and_of_ids(spark):
+    """10,000 repeats of one row, and one doc_id with many texts, cost no more than other rows."""
+    same = [(7, "one two three four five six seven eight")] * 10_000
+    several = [(9, f"text number {i} of the same id alpha beta gamma{i} delta{i}") for i in range(300)]
+    other = [(3, "text number 5 of the same id alpha beta gamma5 delta5"), (12, "quite another text in this place")]
+    got = run(spark, same + several + other, words=2)
+    assert len(got) == len(same) + len(several) + len(other)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(7, 7, True), (9, 3, False), (3, 3, True), (12, 12, True)}
+
+
 def test_deep_nodes_keep_pairs_at_the_threshold(spark):
     """Pairs at exactly 80 % whose nodes branch to the last level (no leaf before it), with the default trees."""
     rows = []
@@ -115,3 +177,10 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 10: 8, 20: 20, 21: 20} | {100 + i: 100 for i in range(31)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_with_hubs(spark):
+    """Nodes of many links meet them by broadcast; the result is the same."""
+    links = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(150, 400)] + [(1000 + i, 1001 + i) for i in range(9)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), hub=20).collect()}
+    assert got == {i: 0 for i in [*range(400), 500]} | {1000 + i: 1000 for i in range(10)}

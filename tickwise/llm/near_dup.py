@@ -4,11 +4,13 @@
    the whole set and a sketch of minwise values. Equal sets collapse to one representative.
 2. Independent trees branch the representatives by selected minwise tokens: a node that holds few
    documents is a leaf, a larger one branches again by coordinates that its own path chooses.
-3. Inside each leaf all sketches are compared. Nodes still large at the last level are dealt to
-   blocks: one round in each block and against common anchors, then the documents outside the
-   node's largest class meet each other and that class by pairs of blocks.
-4. The classes so found are candidates. Inside each, the full sets are compared in the same two
-   rounds, and only pairs that reach the similarity link.
+   A quick pass of two shallow trees comes first; in the other trees a node whose members it has
+   all put into one class already is left out, so that large groups of near copies do not grow.
+3. Inside each leaf all sketches are compared. Large nodes are dealt to blocks, each with common
+   anchors; members outside the node's largest class then meet all others by pairs of blocks.
+4. The classes so found are candidates. Inside each, the full sets are compared in the same way,
+   and only pairs that reach the similarity link. Where most of a large group stays unlinked, it
+   branches again by the tokens that no more than half of it shares.
 
 Nothing emits pairs: blocks return one row per document that has a link, so a group of n copies
 costs rows in proportion to n.
@@ -16,13 +18,15 @@ costs rows in proportion to n.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import cut, map_batches, map_groups, mix64, texts_of
+from tickwise.llm.common import checked_broadcast, cut, map_batches, map_groups, mix64, texts_of
 from tickwise.llm.components import connected_components
 
 SKETCH, TOKENS = 64, 32
@@ -75,23 +79,23 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """One-hash Bloom filter of the ids: 16 bits for each, 16 MB at most. It only spares work: an exact join follows."""
+    """One-hash Bloom filter of ids(doc): 16 bits for each, 16 MB at most. It only spares work: an exact join follows."""
     bits = 1 << 16
     want = 16 * ids.count()
     while bits < min(want, most_bits):
         bits *= 2
-    at = F.xxhash64(F.lit(5), "id").bitwiseAND(bits - 1)
-    found = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(5, id) & 63 as int))")).alias("bits")).toArrow()
+    at = F.xxhash64(F.lit(5), "doc").bitwiseAND(bits - 1)
+    found = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(5, doc) & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, dtype=np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words, bits
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, members): the full shingle sets of the given documents, made from the texts once more."""
+    """(id, members): the full shingle sets of ids(id, doc, set_hash), made from the texts once more."""
     table, bits = _id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("id", pa.int64()), ("members", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("set_hash", pa.binary()), ("members", pa.binary())])
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -100,10 +104,13 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         if not len(hit):
             return None
         part = batch.take(pa.array(hit))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t, words, known).tobytes() for t in texts_of(part)], type=pa.binary())], schema=schema)
+        found = [shingle_hashes(t, words, known).tobytes() for t in texts_of(part)]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], type=pa.binary()), pa.array(found, type=pa.binary())], schema=schema)
 
-    wanted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", F.xxhash64(F.lit(5), "id").alias("h"), "text")
-    return map_batches(wanted, run, "id long, members binary").where("length(members) > 0")
+    asked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text").select("doc", F.xxhash64(F.lit(5), "doc").alias("h"), "text")
+    made = map_batches(asked, run, "doc long, set_hash binary, members binary").where("length(members) > 0")
+    # Rows that repeat a document and its text give one set.
+    return cut(made.dropDuplicates(["doc", "set_hash"]).join(ids, ["doc", "set_hash"]).select("id", "members"))
 
 
 def _classes(near: np.ndarray) -> np.ndarray:
@@ -157,15 +164,8 @@ def _set_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return near
 
 
-def _blocked(members: DataFrame, payload, near_of, block: int, parts: int) -> DataFrame:
-    """Links (a, b) that span the classes of each group of members(grp, n, id).
-
-    payload(ids) gives the rows (id, ...) that near_of compares. Groups of up to `block` members are
-    compared whole. Larger ones go to n / block blocks by hash, each with the group's anchors; then the
-    members of the group's largest class so far and those outside it are dealt to blocks apart, and each
-    block of outsiders meets every other block. Two members of different classes meet, for one of the
-    two at least is outside the largest; no task holds more than two blocks, whatever the classes are.
-    """
+def _compared(dealt: DataFrame, payload, near_of, parts: int | None) -> DataFrame:
+    """Links (grp, a, b) inside each (grp, part) of dealt(grp, part, id, anchor); payload() has the rows (id, ...) that near_of compares."""
 
     def link(batch: pa.RecordBatch) -> dict | None:
         if batch.num_rows < 2:
@@ -175,107 +175,197 @@ def _blocked(members: DataFrame, payload, near_of, block: int, parts: int) -> Da
         return got and got | {"grp": np.full(len(got["a"]), col["grp"][0].as_py(), dtype=np.int64)}
 
     schema = pa.schema([("grp", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    rows = payload(dealt)
+    return cut(map_groups(rows if parts is None else rows.coalesce(parts), ["grp", "part"], link, schema, "grp long, a long, b long", sort=["id"]))
 
-    def compared(dealt: DataFrame) -> DataFrame:
-        return cut(map_groups(dealt.join(payload(dealt.select("id")), "id").coalesce(parts), ["grp", "part"], link, schema, "grp long, a long, b long", sort=["id"]))
 
-    home = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(71), "id"), "blocks").cast("int"))
+def _in_blocks(members: DataFrame, rank: Column) -> DataFrame:
+    """(grp, part, id, anchor) of members(grp, fill, id): a block for each unit of fill, by hash, each with the group's anchors (least rank first)."""
+    home = members.withColumn("blocks", F.ceil("fill").cast("long")).withColumn("part", F.pmod(F.xxhash64(F.lit(71), "id"), F.greatest("blocks", F.lit(1).cast("long"))))
     one = home.select("grp", "part", "id", F.lit(False).alias("anchor"))
-    large = home.where("blocks > 1")
-    if large.isEmpty():
-        return compared(one).select("a", "b")
-    anchors = large.groupBy("grp").agg(F.max("blocks").alias("blocks"), *[F.min_by("id", F.xxhash64(F.lit(k), "id")).alias(f"k{k}") for k in range(4)]).select("grp", "blocks", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("id"))
-    links = compared(one.unionByName(anchors.select("grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "id", F.lit(True).alias("anchor"))))
+    side = F.pmod(F.xxhash64(F.lit(73), "id"), F.lit(4))
+    anchors = home.where("blocks > 1").groupBy("grp").agg(F.max("blocks").alias("blocks"), *[F.min_by("id", F.when(side == k, F.struct(rank, F.xxhash64(F.lit(k), "id")))).alias(f"k{k}") for k in range(4)])
+    anchors = anchors.select("grp", "blocks", F.explode(F.expr("filter(array(k0, k1, k2, k3), x -> x is not null)")).alias("id"))
+    return one.unionByName(anchors.select("grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("part"), "id", F.lit(True).alias("anchor")))
 
-    # Second round, large groups only: whoever is not in the group's largest class meets all others. The first
-    # link of a member names its class; anchors come first, so the blocks of a large class agree on the name.
-    marked = large.join(links.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("cls")), ["grp", "id"], "left").withColumn("cls", F.coalesce("cls", "id"))
-    sizes = marked.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("size", "cls")).alias("top"), F.count(F.lit(1)).alias("classes"), F.max("size").alias("inside"), F.sum("size").alias("all")).where("classes > 1")
-    return links.unionByName(compared(cut(_by_pairs(marked.join(largest, "grp"), block)))).select("a", "b")
 
-
-def _by_pairs(marked: DataFrame, block: int) -> DataFrame:
-    """(grp, part, id, anchor) of marked(grp, id, cls, top, inside, all): a part is a pair of blocks, one of them at least of outsiders.
+def _by_pairs(marked: DataFrame) -> DataFrame:
+    """(grp, part, id, anchor) of marked(grp, id, cls, top, inside, whole): a part is a pair of blocks, one of them at least of outsiders.
 
     Blocks below `home` hold the class named top, the others the rest. The members of one block of
     outsiders meet in each of its pairs.
     """
-    home, blocks = F.ceil(F.col("inside") / block), F.ceil(F.col("inside") / block) + F.ceil((F.col("all") - F.col("inside")) / block)
-    dealt = marked.withColumn("home", home.cast("long")).withColumn("blocks", blocks.cast("long")).withColumn("inner", F.col("cls") == F.col("top"))
+    home = F.greatest(F.ceil("inside"), F.lit(1))
+    dealt = marked.withColumn("home", home.cast("long")).withColumn("blocks", (home + F.greatest(F.ceil(F.col("whole") - F.col("inside")), F.lit(1))).cast("long")).withColumn("inner", F.col("cls") == F.col("top"))
     hashed = F.xxhash64(F.lit(72), "id")
     own = dealt.withColumn("own", F.when(F.col("inner"), F.pmod(hashed, "home")).otherwise(F.col("home") + F.pmod(hashed, F.col("blocks") - F.col("home"))))
     met = own.withColumn("other", F.explode(F.when(F.col("inner"), F.expr("sequence(home, blocks - 1)")).otherwise(F.expr("sequence(0L, blocks - 1)")))).where("own != other")
     return met.select("grp", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), "id", F.lit(False).alias("anchor"))
 
 
-def _leaves(reps: DataFrame, trees: int, leaf: int, depth: int, branches: int, parts: int) -> DataFrame:
-    """(grp, n, id): members of the nodes to compare, n members each, over all trees.
+# Where a member costs only a few rows by pairs: few blocks of outsiders, or few blocks at all.
+FEW_OUTSIDERS = "ceil(whole - inside) <= 2"
+FEW = f"{FEW_OUTSIDERS} or ceil(whole) <= 6"
+
+
+def _by_class(members: DataFrame, few: str) -> DataFrame:
+    """(grp, top, inside, whole, few) of members(grp, w, cls), groups of several classes only: the largest class, its fill and the group's."""
+    sizes = members.groupBy("grp", "cls").agg(F.sum("w").alias("size"))
+    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("size", "cls")).alias("top"), F.count(F.lit(1)).alias("classes"), F.max("size").alias("inside"), F.sum("size").alias("whole")).where("classes > 1")
+    return checked_broadcast(largest.withColumn("few", F.expr(few)))
 
-    A tree's root branches by one token, its large nodes by `branches`, those below by one again, so that
-    a group of near copies, which no token divides, does not grow with the depth.
+
+def _blocked(members: DataFrame, payload, near_of, parts: int | None, *, more: DataFrame | None = None, reps: DataFrame | None = None, levels: int = 0, exhaustive: bool = True) -> DataFrame:
+    """Links (a, b) that span the classes of each group of members(grp, fill, id, w); w is a member's share of a block, fill the sum of a group's.
+
+    Groups that fill no more than one block are compared whole. Larger ones go to blocks by hash, each with
+    the group's anchors. Their members outside the largest class so far, if few, then meet each other and that class
+    by pairs of blocks: two members of different classes meet for certain, no task holds more than two
+    blocks, and rows stay in proportion to members. If many, the group branches (`_children`), up to
+    `levels` times, and only what still has many outsiders then is met by pairs all the same.
+    `more` are rows dealt already, compared along with the first round.
+    """
+    links = None
+    for at in range(levels + 1):
+        dealt = _in_blocks(members, F.lit(0))
+        found = _compared(dealt if more is None else dealt.unionByName(more), payload, near_of, parts)
+        links, more = found if links is None else links.unionByName(found), None
+        large = members.where("fill > 1")
+        if not exhaustive or large.isEmpty():
+            break
+        # The first link of a member names its class; anchors come first, so the blocks of a large class agree on the name.
+        first = found.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("cls"))
+        marked = cut(large.select("grp", "id", "w").join(first, ["grp", "id"], "left").withColumn("cls", F.coalesce("cls", "id")))
+        rest = marked.join(_by_class(marked, FEW), "grp")
+        many = None if at == levels else cut(rest.where("not few").select("grp", "id", "w", "cls"))
+        more = _by_pairs(rest if many is None else rest.where("few"))
+        if many is None or many.isEmpty():
+            links = links.unionByName(_compared(more, payload, near_of, parts))
+            break
+        members, core = _children(many, reps)
+        more = more.unionByName(_in_blocks(core, F.col("rank")).withColumn("grp", F.xxhash64("grp", F.lit("core"))))
+    return links.select("a", "b")
+
+
+def _children(many: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Smaller groups of many(grp, id, w, cls), and the groups once more with ranks by nearness to their core.
+
+    Members that share a value of the sketch which no more than half of the group has form a child.
+    Two sets that link share such values, or both are near what most of the group shares: then the
+    members nearest to that core, as anchors, link with both. A child of one class, or of the same
+    members as another, is left out. Of children larger than a block, those of two places of the sketch
+    are followed, that cover most: no more rows than two for each member, in children half the size.
+    """
+    value = [F.xxhash64("grp", F.lit(i), F.substring(F.col("sketch"), i * 2 + 1, F.lit(2))) for i in range(SKETCH)]
+    paths = many.join(reps.select("id", "sketch"), "id").select("grp", "id", "w", "cls", F.posexplode(F.array(*value)).alias("pos", "path"))
+    totals = checked_broadcast(many.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.sum("w").alias("total_fill")))
+    size = cut(paths.groupBy("grp", "pos", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("fill"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("sig")).where("n > 1").join(totals, "grp"))
+    child = size.where("2 * n <= total and lo <> hi")
+    cover = child.where("fill > 1").groupBy("grp", "pos").agg(F.sum("n").alias("cover")).withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("cover"), "pos"))).where("k <= 2").select("grp", "pos")
+    followed = child.where("fill <= 1").unionByName(child.where("fill > 1").join(cover, ["grp", "pos"], "left_semi").select(*child.columns))
+    child = followed.groupBy("n", "sig", F.when(F.col("fill") > 1, F.col("path")).alias("own")).agg(F.min("path").alias("path"), F.max("fill").alias("fill"))
+    members = cut(paths.join(child.select("path", "fill"), "path").select(F.col("path").alias("grp"), "fill", "id", "w"))
+    common = paths.join(checked_broadcast(size.where("2 * n > total").select("path")), "path").groupBy("grp", "id").agg((-F.count(F.lit(1))).alias("rank"))
+    core = cut(many.select("grp", "id", "w").join(common, ["grp", "id"], "left").join(totals, "grp").select("grp", F.col("total_fill").alias("fill"), "id", "w", F.coalesce("rank", F.lit(0)).alias("rank")))
+    return members, core
+
+
+def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, block: int, split: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Over all trees, of reps(id, cls, tokens): nodes to compare as (grp, fill, id, w), and nodes of few outsiders as `_by_pairs` takes them.
+
+    A root branches by two tokens, each node below by one, and one in four of them by a second one: a pair
+    at 80 % then keeps its expected number of common nodes from level to level, while less alike documents
+    part. Nodes of one class are left out. With `split`, large nodes of few outsiders stop branching.
     """
     token = lambda at: F.substring(F.col("tokens"), at * 4 + 1, F.lit(4))
-    level = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t % TOKENS))) for t in range(trees)])).alias("path"))
-    done = None
+    share = F.lit(1.0 / block)
+    level = reps.select("id", "cls", F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t % TOKENS))) for t in trees])).alias("path"))
+    done, pairs = [], []
     for at in range(depth):
-        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").coalesce(parts)
+        # Nodes that two levels did not divide below a leaf are compared as they are, if a task can hold them.
+        enough = leaf if at < 2 else max(leaf, block)
+        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1 and lo <> hi").select("path", "n").coalesce(parts)
         counted = cut(level.join(size, "path").coalesce(parts))
-        last = at == depth - 1
-        here = (counted if last else counted.where(F.col("n") <= leaf)).select(F.col("path").alias("grp"), "n", "id")
-        done = here if done is None else done.unionByName(here)
-        grown = counted.where(F.col("n") > leaf)
-        if last or grown.isEmpty():
-            return done
-        ways = branches if at == 0 else 1
-        chosen = [(F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(TOKENS // ways)) * ways + b).cast("int") for b in range(ways)]
-        level = grown.join(reps, "id").coalesce(parts).select("id", F.explode(F.array(*[F.xxhash64("path", c, token(c)) for c in chosen])).alias("path"))
-    return done
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 13, leaf: int = 128, depth: int = 4, branches: int = 2, block: int = 512) -> DataFrame:
+        last = at == depth - 1 or (counted.agg(F.max("n")).first()[0] or 0) <= enough
+        done.append((counted if last else counted.where(F.col("n") <= enough)).select(F.col("path").alias("grp"), (F.col("n") * share).alias("fill"), "id", share.alias("w")))
+        if last:
+            break
+        grown = counted.where(F.col("n") > enough)
+        if split:
+            marked = grown.select(F.col("path").alias("grp"), "id", share.alias("w"), "cls")
+            few = _by_class(marked, f"{FEW_OUTSIDERS} and 2 * inside > whole").where("few")
+            pairs.append(marked.join(few, "grp"))
+            grown = grown.join(few.select(F.col("grp").alias("path")), "path", "left_anti")
+        ways = [F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(TOKENS // 2)).cast("int") * 2 + b for b in range(2)]
+        second = F.lit(at == 0) | (F.pmod(F.xxhash64(F.lit(2), "path"), F.lit(4)) == 0)
+        nodes = F.array(F.xxhash64("path", ways[0], token(ways[0])), F.when(second, F.xxhash64("path", ways[1], token(ways[1]))))
+        level = grown.join(reps.select("id", "tokens"), "id").coalesce(parts).select("id", "cls", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("path"))
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, pairs) if pairs else None
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 13, leaf: int = 256, depth: int = 12, block: int = 512, set_block: int = 256, block_shingles: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each input row.
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
     component_id is the smallest doc_id reachable by links. A pair exactly at 80 % shares a leaf of
-    one tree with probability 0.77, and 0.61 where its nodes stay large to the last level. All trees
-    choose from the same TOKENS values, so that their misses go together; counting that (by simulation),
-    thirteen trees miss fewer than one in a thousand of such pairs, and of more alike pairs far fewer;
-    sketches further apart than 4.5 standard errors are not checked on full sets. `leaf`, `block` and `depth` bound the work of one task, not the result.
+    one tree with probability 0.77, and about 0.6 where its nodes stay large for some levels. All trees
+    choose from the same TOKENS values, so that their misses go together; the README gives the recall
+    measured against brute force. Sketches further apart than 4.5 standard errors are not checked on
+    full sets. `leaf`, `depth` and the block sizes (documents, and shingles where sets are compared)
+    bound the work of one task, not the result.
 
     A null or blank text has no shingles: its row stays alone, kept, and component_id is its doc_id.
-    A text with fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node.
-    A row with null doc_id links with nothing, component_id null, kept true. Other columns are ignored.
+    A text with fewer words than a shingle is one shingle. Rows that repeat a doc_id are one node,
+    whatever their texts. A row with null doc_id links with nothing, component_id null, kept true.
+    Other columns are ignored. No rows give no rows.
     """
     similarity = percent / 100
-    sets = cut(_sketched(docs, words))
-    keys = cut(sets.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id")))
+    sets = cut(_sketched(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    usable = sets.where("set_hash is not null and doc_id is not null")
+    # One row stands for each distinct set, however often rows repeat; inside, its number is the node.
+    keys = cut(usable.groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min_by("row", "doc_id").alias("id")))
     # A partition for each 200,000 paths is enough between shuffles, however many the session's default deals.
     n = keys.count()
     parts = max(1, -(-n * trees // 200_000))
-    own = sets.select(F.col("doc_id").alias("id"), "set_hash", "tokens")
+    reps = cut(sets.select(F.col("row").alias("id"), "set_hash", "n_shingles", "tokens", "sketch").join(keys.select("id", "doc"), "id"))
 
-    def sketches(ids: DataFrame) -> DataFrame:
-        return sets.where("set_hash is not null").select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
+    def sketches(dealt: DataFrame) -> DataFrame:
+        return dealt.join(reps.select("id", "sketch", "n_shingles"), "id")
 
     def by_sketch(batch: pa.RecordBatch) -> np.ndarray:
         rows = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
         sizes = batch.column(batch.schema.get_field_index("n_shingles")).to_numpy(zero_copy_only=False)
         return _sketch_matrix(np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, SKETCH), sizes, similarity)
 
-    leaves = _leaves(own.join(keys, ["id", "set_hash"]).select("id", "tokens"), trees, leaf, depth, branches, parts)
-    candidates = connected_components(_blocked(leaves, sketches, by_sketch, block, parts))
-
-    def full_sets(ids: DataFrame) -> DataFrame:
-        return _sets_of(docs, ids, words)
+    nodes, _ = _leaves(reps.select("id", "tokens", F.col("id").alias("cls")), range(2), leaf, min(depth, 2), parts, block, False)
+    quick = _blocked(nodes, sketches, by_sketch, parts, exhaustive=False)
+    known = connected_components(quick).select(F.col("node").alias("id"), F.col("component").alias("cls"))
+    classed = cut(reps.select("id", "tokens").join(known, "id", "left").withColumn("cls", F.coalesce("cls", "id")))
+    nodes, pairs = _leaves(classed, range(2, 2 + trees), leaf, depth, parts, block, True)
+    links = quick.unionByName(_blocked(nodes, sketches, by_sketch, parts, more=None if pairs is None else _by_pairs(pairs)))
+    candidates = connected_components(links).select(F.col("component").alias("grp"), F.col("node").alias("id"))
 
     def by_set(batch: pa.RecordBatch) -> np.ndarray:
         return _set_matrix([np.frombuffer(x, dtype=np.uint64) for x in batch.column(batch.schema.get_field_index("members")).to_pylist()], percent)
 
-    group_size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    grouped = cut(candidates.join(group_size, "component").coalesce(parts).select(F.col("component").alias("grp"), "n", F.col("node").alias("id")))
-    found = connected_components(_blocked(grouped, full_sets, by_set, block // 2, parts))
-
-    by_set_hash = keys.join(found, F.col("id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "id").alias("component_id")).coalesce(parts)
+    # Only groups that do not fit a block need their size.
+    weighed = cut(candidates.join(reps.select("id", "doc", "set_hash", "n_shingles"), "id").withColumn("w", F.lit(1.0 / set_block) + F.col("n_shingles") / F.lit(float(block_shingles))))
+    large = checked_broadcast(weighed.groupBy("grp").agg(F.sum("w").alias("fill")).where("fill > 1"))
+    grouped = cut(weighed.select("grp", "id", "w").join(large, "grp", "left").withColumn("fill", F.coalesce("fill", F.lit(1.0))))
+    found_sets = _sets_of(docs, weighed.select("id", "doc", "set_hash"), words)
+
+    def full_sets(dealt: DataFrame) -> DataFrame:
+        return dealt.join(found_sets, "id")
+
+    confirmed = _blocked(grouped, full_sets, by_set, None, reps=reps, levels=12)
+    named = reps.select("id", "doc")
+    by_doc = confirmed.join(named.select(F.col("id").alias("a"), F.col("doc").alias("da")), "a").join(named.select(F.col("id").alias("b"), F.col("doc").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    # A doc_id of several texts joins what each of them links to.
+    several = usable.groupBy("doc_id").agg(F.min(F.xxhash64("set_hash")).alias("lo"), F.max(F.xxhash64("set_hash")).alias("hi")).where("lo <> hi").select("doc_id")
+    if not several.isEmpty():
+        by_doc = by_doc.unionByName(usable.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(keys.select("set_hash", "doc"), "set_hash").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
+    found = connected_components(by_doc)
+
+    by_set_hash = keys.join(found, F.col("doc") == F.col("node"), "left").select("set_hash", F.coalesce("component", "doc").alias("component_id")).coalesce(parts)
     result = sets.select("doc_id", "n_shingles", "set_hash").join(by_set_hash, "set_hash", "left")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
