@@ -282,8 +282,8 @@ def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, bl
     level = reps.select("id", "cls", F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t % TOKENS))) for t in trees])).alias("path"))
     done, pairs = [], []
     for at in range(depth):
-        # Nodes that two levels did not divide below a leaf are compared as they are, if a task can hold them.
-        enough = leaf if at < 2 else max(leaf, block)
+        # Nodes that three levels did not divide below a leaf are compared as they are, if a task can hold them.
+        enough = leaf if at < 3 else max(leaf, block)
         size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1 and lo <> hi").select("path", "n").coalesce(parts)
         counted = cut(level.join(size, "path").coalesce(parts))
         last = at == depth - 1 or (counted.agg(F.max("n")).first()[0] or 0) <= enough
@@ -303,7 +303,7 @@ def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, bl
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, pairs) if pairs else None
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 13, leaf: int = 256, depth: int = 12, block: int = 512, set_block: int = 256, block_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 13, leaf: int = 128, depth: int = 12, block: int = 512, set_block: int = 256, block_shingles: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each input row.
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
