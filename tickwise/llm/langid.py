@@ -9,7 +9,6 @@ language, and a cosine below what nearly all learning texts reach is reported as
 from __future__ import annotations
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +18,26 @@ from pyspark.sql import functions as F
 from tickwise.llm.common import checked_broadcast, map_batches, one_text_each, texts_of, with_fields
 
 DIM = 4096
-# What \w takes for a letter but is a number: "²", "½", "Ⅷ".
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def letters_of(text: str) -> str:
+    """A text's lower-cased letters, words set apart by one space each."""
+    letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    joined = letters.replace(" ", "")
+    if joined and not joined.isalpha():
+        # The pattern takes "²", "½" and "Ⅷ" for letters, but they are numbers; few texts have any.
+        for c in set(joined):
+            if not c.isalpha():
+                letters = letters.replace(c, " ")
+        letters = " ".join(letters.split())
+    return letters
+
+
 def counts_of(text: str) -> np.ndarray | None:
     """Trigram counts of a text's letters, words set apart by spaces; None without a letter."""
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    letters = letters_of(text)
     if not letters:
         return None
     b = np.frombuffer(f" {letters} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
