@@ -12,11 +12,12 @@ from tickwise.llm.common import bucket_of, table
 from tickwise.llm.decontam import hit_words, mark_contamination
 from tickwise.llm.embed_dedup import embedding_duplicates
 from tickwise.llm.langid import language_ids
+from tickwise.llm.merkle import lowered, manifest
 from tickwise.llm.near_dup import near_duplicates
 from tickwise.llm.packing import pack
 from tickwise.llm.quality import quality_scores
 from tickwise.llm.secrets import find_secrets
-from tickwise.llm.sql import DECONTAM_SQL, URL_RULES, url_sql
+from tickwise.llm.sql import DECONTAM_SQL, URL_RULES, merkle_sql, url_sql
 from tickwise.llm.toxicity import toxicity_scores
 from tickwise.llm.url_filter import judge_urls
 
@@ -78,9 +79,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forged = F.when(bucket_of("doc_id", 3) == 0, lowered(F.col("text")))
+    return manifest(table(spark, sf_dir, "documents"), forged=forged).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": DECONTAM_SQL, "op8_url_filter": url_sql()}
+    return {"op5_decontam": DECONTAM_SQL, "op8_url_filter": url_sql(), "op11_merkle": merkle_sql()}

@@ -49,3 +49,36 @@ def url_sql(rules=URL_RULES) -> str:
         "h AS (SELECT CASE WHEN ma IS NULL OR mr IS NULL THEN 0 WHEN sa + sr > 0 THEN round((ma * sr + mr * sa) / (sa + sr), 6) ELSE round((ma + mr) / 2, 6) END AS threshold FROM v)",
     ]
     return "WITH " + ",\n".join(ctes) + "\nSELECT u.page_id, u.host, u.path, u.rule, coalesce(u.act, CASE WHEN s.score IS NULL OR s.score >= (SELECT threshold FROM h) THEN 'allow' ELSE 'block' END) AS verdict FROM u LEFT JOIN s USING (txt)"
+
+
+def merkle_sql(height: int = 11) -> str:
+    """The trees level by level, `height` of them: enough for 8 ** height rows of one language."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # CRC-32 of the digits of doc_id: eight steps for the bits of each byte, folded over lists.
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, (s & 1) * 3988292384))))"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"l AS (SELECT doc_id, coalesce(':' || lang, '') AS tree, {leaf('text')} AS leaf, {leaf(f'CASE WHEN {crc} % 3 = 0 THEN {low} ELSE text END')} AS fake FROM documents)",
+        "n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM l)",
+        "t0 AS (SELECT tree, place, n, leaf AS d FROM n0)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(1, height + 1):
+            ctes.append(f"{name}{k} AS (SELECT tree, place // 8 AS place, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY place)) END AS d FROM {name}{k - 1} GROUP BY tree, place // 8)")
+            # the siblings before and after a node, where the level above is another one
+            ctes.append(f"s{name}{k - 1} AS (SELECT tree, place, CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS p, CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS q, n FROM {name}{k - 1})")
+
+    climb("t")
+    ctes.append(f"r0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY t{height}.tree) - 1 AS place, count(*) OVER () AS n, d FROM t{height})")
+    ctes.append(f"names AS (SELECT tree AS name, row_number() OVER (ORDER BY tree) - 1 AS top, d AS subroot FROM t{height})")
+    climb("r")
+    ctes.append(f"f0 AS (SELECT n0.doc_id, n0.tree, n0.place, names.top, n0.leaf, names.subroot, (SELECT d FROM r{height}) AS root, '' AS proof, fake AS x FROM n0 JOIN names ON n0.tree = names.name)")
+    step = 0
+    for name, key in (("t", "f.tree"), ("r", "''")):
+        for k in range(height):
+            spot = f"f.{'place' if name == 't' else 'top'} // {8**k}"
+            ctes.append(f"f{step + 1} AS (SELECT f.* REPLACE (f.proof || s.p || s.q AS proof, CASE WHEN s.n = 1 THEN f.x ELSE sha256(s.p || f.x || s.q) END AS x) FROM f{step} f JOIN s{name}{k} s ON s.tree = {key} AND s.place = {spot})")
+            step += 1
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM f{step}"
