@@ -15,9 +15,10 @@ from tickwise.llm.langid import language_ids
 from tickwise.llm.merkle import lowered, manifest
 from tickwise.llm.near_dup import near_duplicates
 from tickwise.llm.packing import pack
+from tickwise.llm.phrases import collocations
 from tickwise.llm.quality import quality_scores
 from tickwise.llm.secrets import find_secrets
-from tickwise.llm.sql import DECONTAM_SQL, URL_RULES, merkle_sql, url_sql
+from tickwise.llm.sql import DECONTAM_SQL, URL_RULES, merkle_sql, phrases_sql, url_sql
 from tickwise.llm.toxicity import toxicity_scores
 from tickwise.llm.url_filter import judge_urls
 
@@ -84,9 +85,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), forged=forged).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), support=100, most=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup, op11_merkle)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup, op11_merkle, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": DECONTAM_SQL, "op8_url_filter": url_sql(), "op11_merkle": merkle_sql()}
+    return {"op5_decontam": DECONTAM_SQL, "op8_url_filter": url_sql(), "op11_merkle": merkle_sql(), "op13_phrases": phrases_sql()}

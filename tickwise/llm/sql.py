@@ -82,3 +82,21 @@ def merkle_sql(height: int = 11) -> str:
             ctes.append(f"f{step + 1} AS (SELECT f.* REPLACE (f.proof || s.p || s.q AS proof, CASE WHEN s.n = 1 THEN f.x ELSE sha256(s.p || f.x || s.q) END AS x) FROM f{step} f JOIN s{name}{k} s ON s.tree = {key} AND s.place = {spot})")
             step += 1
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM f{step}"
+
+
+def phrases_sql(support: int = 100, most: int = 2000) -> str:
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest([array_to_string(w[i : i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size),
+c AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= {support}),
+k AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM c WHERE size > 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[1 : size - 1], ' ') AS phrase, a FROM k WHERE size > 2 UNION ALL SELECT lang, array_to_string(w[2 : size], ' '), a FROM k WHERE size > 2) GROUP BY lang, phrase),
+q AS (SELECT k.lang, k.phrase, k.a, unnest(range(1, size)) AS cutting, w, size FROM k LEFT JOIN x USING (lang, phrase) WHERE x.longer IS NULL OR 100 * x.longer < 100 * k.a),
+s AS (SELECT q.lang, q.phrase, q.a, q.cutting, l.a AS l, r.a AS r, n.n, (1000 * q.a::HUGEINT * n.n) // (l.a::HUGEINT * r.a) AS score FROM q JOIN c l ON l.lang = q.lang AND l.phrase = array_to_string(q.w[1 : q.cutting], ' ') JOIN c r ON r.lang = q.lang AND r.phrase = array_to_string(q.w[q.cutting + 1 : q.size], ' ') JOIN n ON n.lang = q.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cutting) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= {most}
+"""
