@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.llm import token_store
@@ -16,6 +16,7 @@ from tickwise.llm.merkle import lowered, manifest
 from tickwise.llm.near_dup import near_duplicates
 from tickwise.llm.packing import pack
 from tickwise.llm.phrases import collocations
+from tickwise.llm.pii import KINDS, find_pii
 from tickwise.llm.quality import quality_scores
 from tickwise.llm.secrets import find_secrets
 from tickwise.llm.sql import DECONTAM_SQL, URL_RULES, merkle_sql, phrases_sql, url_sql
@@ -35,12 +36,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, learned, threshold=0.7).select("doc_id", F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def _span_digests(found: DataFrame, base: Column, spans: Column, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, the number of base spans of each kind, a hash of these, and all spans as text."""
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("secrets", lambda s: s["kind"] != "value")
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return _span_digests(found, F.filter("secrets", lambda s: s["kind"] != "value"), F.col("secrets"), ("assign", "access", "hex"))
 
 
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +90,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), forged=forged).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _span_digests(found, F.filter("pii", lambda s: s["base"]), F.col("pii"), KINDS)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), support=100, most=2000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup, op11_merkle, op13_phrases)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_secrets, op4_embed_dedup, op5_decontam, op6_packing, op7_token_store, op8_url_filter, op9_language, op10_near_dup, op11_merkle, op12_pii, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
