@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tickwise.plans import registry, registry_checks
+from tickwise.plans import registry, registry_checks, registry_intake
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,7 +19,7 @@ def test_twins_have_queries():
 
 
 @have
-@pytest.mark.parametrize("name", [*registry_checks.SQL, "flagship", "sc2_score_events", "an8_corpus_patterns", "ex1_search_exercises", "ex5_recommend_fills", "ev15_benchmark_summary", "pb5_events_between", "an7_near_repeats", "ts1_label_issues", "ev2_evaluate", "pr7_difficulty", "pb6_position_at", "lb8_bar_labels", "tx3_unsupported_claims", "st1_monthly_spend"])
+@pytest.mark.parametrize("name", [*registry_checks.SQL, *registry_intake.SQL, "flagship", "sc2_score_events", "an8_corpus_patterns", "ex1_search_exercises", "ex5_recommend_fills", "ev15_benchmark_summary", "pb5_events_between", "an7_near_repeats", "ts1_label_issues", "ev2_evaluate", "pr7_difficulty", "pb6_position_at", "lb8_bar_labels", "tx3_unsupported_claims", "st1_monthly_spend"])
 def test_query_equals_twin(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickwise.operators import analytics as an
 from tickwise.operators import scores as sc
 from tickwise.plans import adapters as ad
-from tickwise.plans import registry_checks, registry_more, sql_more
+from tickwise.plans import registry_checks, registry_intake, registry_more, sql_more
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,8 +135,8 @@ def an17_offline_answers(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | registry_more.QUERIES | registry_checks.QUERIES
+    return QUERIES | registry_more.QUERIES | registry_checks.QUERIES | registry_intake.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (sql_more.SQL | registry_checks.SQL).items() if k in queries()}
+    return {k: v for k, v in (sql_more.SQL | registry_checks.SQL | registry_intake.SQL).items() if k in queries()}

@@ -1,4 +1,4 @@
-"""Readers and writers (IO1-IO8). Schemas are fixed; rows that do not fit go to a side table, not to nulls."""
+"""Readers and writers (IO1-IO8). Schemas are fixed; JSON texts that do not fit go to a side table with their problems (see intake)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABEL = "song string, bar int, time_signature string, beats array<struct<beat string, duration string, drums array<string>, rest boolean, flam boolean>>, simile boolean"
+from tickwise.sources.intake import parse_labels, parse_scores
+
 NOTE = "struct<event_id string, duration string, dotted boolean, triplet boolean, drums array<string>>"
 SCORE = f"schema_version int, score_id string, revision int, title string, tempo_bpm int, meter struct<beats int, beat_unit int>, bars array<struct<bar_id string, provenance struct<source string, reviewed boolean, warnings array<string>, model string>, notes array<{NOTE}>>>"
 MANIFEST = "split string, song string, source_song string, source_kind string, source_file string, bar_number int, image_path string, label_path string, source_label_path string"
@@ -25,10 +26,8 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """IO1: one JSON file a bar -> (labels with path and raw text, rejected): no object, song empty or bar below 1."""
-    rows = _documents(spark, path).withColumn("l", F.from_json("raw", LABEL))
-    ok = F.coalesce((F.col("l.song") != "") & (F.col("l.bar") >= 1), F.lit(False))
-    return rows.where(ok).select("path", "l.*", "raw"), rows.where(~ok).select("path", "raw")
+    """IO1: one JSON file a bar -> (labels with path and raw text, rejected with path, raw text and problem)."""
+    return parse_labels(_documents(spark, path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
@@ -42,12 +41,8 @@ def write_csv(df: DataFrame, path: str, schema: str = MANIFEST) -> None:
 
 
 def read_scores(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
-    """IO3: score documents -> (scores, rejected). Without a version a document is taken as the current one; a newer one is refused."""
-    rows = _documents(spark, path).withColumn("s", F.from_json("raw", SCORE))
-    number = F.coalesce("s.schema_version", F.lit(version))
-    ok = F.coalesce(F.col("s.score_id").isNotNull() & (number <= version), F.lit(False))
-    why = F.when(number > version, "newer schema version").otherwise("not a score")
-    return rows.where(ok).select("path", "s.*").withColumn("schema_version", F.lit(version)), rows.where(~ok).select("path", why.alias("problem"))
+    """IO3: score documents -> (scores, rejected with path, code, place and problem)."""
+    return parse_scores(_documents(spark, path), version=version)
 
 
 def hash_files(spark: SparkSession, path: str, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
