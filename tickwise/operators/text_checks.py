@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwise.functions.frames import settled
+
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -17,6 +19,11 @@ def _any(words: str) -> str:
     return rf"(?i){_L}(?:{words}){_R}"
 
 
+def _either(*patterns: str) -> str:
+    """One pattern that matches where any of these does."""
+    return "(?i)" + "|".join(p.removeprefix("(?i)") for p in patterns)
+
+
 # Patterns of what a text must not hold, or must.
 HIDDEN = "[\\u202A-\\u202E\\u2066-\\u2069\\u200B-\\u200F\\u2060-\\u2064\\uFEFF\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 UNSUPPORTED = _any("accent(?:s|ed)?|sticking|dynamics?|crescendo|decrescendo|diminuendo|forte|fortissimo|pianissimo|mezzo|ghost notes?|flams?|drags?|rolls?|tied|ties|repeat signs?|first ending|second ending|coda|left hand|right hand|left foot|right foot|leading hand|let (?:it|them) ring|choke|muffle|mute|rimshot|swing feel|[RL]{4,}")
@@ -41,6 +48,11 @@ KNOWN_CAPITALS = ("A", "Across", "Aim", "Assignments", "Best", "Continue", "Duri
 LIMITS = {"answer": 2000, "references": 10, "label": 60, "suggestions": 3, "suggestion": 120, "caveats": 5, "caveat": 300, "summary": 900, "reason": 200}
 
 
+# What tells whether a text, or a sentence of it, needs a closer look: one pass instead of one for each class.
+NAMES_A_DRUM = _either(NOT_IN_SCORES, *(p for p, _ in DRUM_WORDS))
+SUSPECT = _either(UNSUPPORTED, UNSAFE, LEAK, JARGON)
+
+
 def has_hidden(text: Column) -> Column:
     """TX1"""
     return F.coalesce(text.rlike(HIDDEN), F.lit(False))
@@ -54,12 +66,13 @@ def clean_short_text(text: Column, most: int = 300) -> Column:
 
 def sentences(text: Column) -> Column:
     """TX2"""
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, r"\s(?<=[.!?]\s)\s*")
 
 
 def unsupported_claims(text: Column, told: Column | None = None) -> Column:
     """TX3: sentences (told, if they are at hand) that claim what a score does not record, and do not say so."""
-    return F.filter(sentences(text) if told is None else told, lambda s: s.rlike(UNSUPPORTED) & ~s.rlike(UNAVAILABLE))
+    told = F.when(text.rlike(UNSUPPORTED), sentences(text)).otherwise(F.array().cast("array<string>")) if told is None else told
+    return F.filter(told, lambda s: s.rlike(UNSUPPORTED) & ~s.rlike(UNAVAILABLE))
 
 
 def ungrounded_drums(text: Column, seen: Column, told: Column | None = None) -> Column:
@@ -67,7 +80,7 @@ def ungrounded_drums(text: Column, seen: Column, told: Column | None = None) ->
 
     def bad(s: Column) -> Column:
         named = [s.rlike(p) & ~F.arrays_overlap(seen, F.array(*[F.lit(d) for d in drums])) for p, drums in DRUM_WORDS]
-        return ~s.rlike(NEGATED) & (s.rlike(NOT_IN_SCORES) | reduce(Column.__or__, named))
+        return s.rlike(NAMES_A_DRUM) & ~s.rlike(NEGATED) & (s.rlike(NOT_IN_SCORES) | reduce(Column.__or__, named))
 
     return F.filter(sentences(text) if told is None else told, bad)
 
@@ -79,7 +92,7 @@ def safety_flags(text: Column, abstained: Column) -> Column:
 
 _NUMBERS = r"\d+(?:\s*(?:,|and|&|–|-|to|or)\s*\d+)*"
 _AFTER_BAR = rf"(?i){_L}bars?\s+({_NUMBERS})"
-_BARE = r"(?i)(?<![\w.])(\d+\s*[–-]\s*\d+)(?!\s*(?:bpm|%|percent|times|seconds|s(?![A-Za-z0-9_])|minutes|out of|beats))(?![\w]|\.\d)"
+_BARE = r"(?i)(?=\d)(?<![\w.])(\d+\s*[–-]\s*\d+)(?!\s*(?:bpm|%|percent|times|seconds|s(?![A-Za-z0-9_])|minutes|out of|beats))(?![\w]|\.\d)"
 
 
 def bar_mentions(text: Column) -> Column:
@@ -162,41 +175,86 @@ def required_caveats(answers: DataFrame, bars: DataFrame) -> DataFrame:
     return answers.join(hit, "answer_id", "left").select("answer_id", F.array_join(F.array_compact(F.array(text, cut)), " ").alias("caveats"))
 
 
-# Units that may follow or precede a number, and what their facts are about.
-UNITS = ((r"(?i)^\s*(?:minutes?|mins?)" + _R, "minute"), (r"(?i)^\s*sessions?" + _R, "session"), (r"(?i)^\s*(?:attempts?|tries|try)" + _R, "attempt"), (r"(?i)^\s*bpm" + _R, "bpm"), (r"(?i)^\s*assignments?" + _R, "assignment"))
+# A text as tokens that stand one behind the other: numbers, words, and what is between them. A number or word is
+# always followed by a gap, so the neighbours of token i are the gaps i - 1 and i + 1 and the words i - 2 and i + 2.
+_TOKEN = rf"[0-9]+(?:[.][0-9]+)?{_R}|[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
+_IS_NUMBER, _IS_NAME = r"^[0-9]+([.][0-9]+)?$", r"^[A-Z][a-z]{2,}$"
+# The words that follow a number as its unit.
+UNITS = {"minute": ("minute", "minutes", "min", "mins"), "session": ("session", "sessions"), "attempt": ("attempt", "attempts", "tries", "try"), "bpm": ("bpm",), "assignment": ("assignment", "assignments")}
+BAR_WORDS = ("bar", "bars")
 
 
-def number_claims(text: Column) -> Column:
-    """TX11: array<struct<number double, unit string>>: numbers of a text with the unit they are said in; 'assignment 2' is a name."""
-    split = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,24}}?){_L}(\d+(?:\.\d+)?){_R}"), F.lit(0))
-    tails = F.transform(F.sequence(F.lit(0), F.size(split)), lambda i: F.get(split, i + 1))
-    last = F.regexp_extract(text, r"(?s)^.*?((?:(?<!\d)[^\d]*))$", 1)
+def tokens(text: Column) -> Column:
+    """The tokens of a text; put together they are the text."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _near(found: Column, i: Column) -> Column:
+    """The token at a place, empty beyond the ends."""
+    return F.when(i >= 0, F.coalesce(F.get(found, i), F.lit(""))).otherwise("")
+
+
+def _blank(gap: Column) -> Column:
+    return gap.rlike(r"^\s*$")
+
+
+def claims_of(found: Column) -> Column:
+    """TX11: array<struct<start int, number double, unit string>> of a text's tokens: its numbers with the unit they are said in.
 
-    def claim(piece: Column, i: Column) -> Column:
-        head = F.regexp_replace(piece, r"\d+(?:\.\d+)?$", "")
-        tail = F.coalesce(F.get(tails, i), last)
-        unit = F.lit(None).cast("string")
-        for pattern, name in reversed(UNITS):
-            unit = F.when(tail.rlike(pattern), name).otherwise(unit)
-        unit = F.coalesce(unit, F.when(head.rlike(rf"(?i){_L}bars?\s*$|[–-]\s*$"), "bar"))
-        return F.struct(F.regexp_extract(piece, r"(\d+(?:\.\d+)?)$", 1).cast("double").alias("number"), unit.alias("unit"), head.rlike(rf"(?i){_L}assignment\s*$").alias("named"))
+    start counts characters from 0. A unit is the word behind a number, or `bar` before it or before the
+    number that a dash ties to it; with neither it is null. `assignment 2` is a name, not a number.
+    """
+    places = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: _near(found, i).rlike(_IS_NUMBER))
+
+    def claim(i: Column) -> Column:
+        word = lambda k: F.lower(_near(found, i + k))
+        gap = lambda k: _near(found, i + k)
+        follows, leads = _blank(gap(1)), _blank(gap(-1))
+        unit = F.coalesce(*[F.when(follows & word(2).isin(*words), name) for name, words in UNITS.items()])
+        ranged = gap(-1).rlike(r"^\s*[–-]\s*$") & word(-2).rlike("^[0-9]+$") & _blank(gap(-3)) & word(-4).isin(*BAR_WORDS)
+        bar = F.when((leads & word(-2).isin(*BAR_WORDS)) | ranged, "bar")
+        start = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, t: n + F.length(t))
+        return F.struct(start.alias("start"), gap(0).cast("double").alias("number"), F.coalesce(unit, bar).alias("unit"), (leads & (word(-2) == "assignment")).alias("named"))
+
+    kept = F.filter(F.transform(places, claim), lambda c: ~c["named"])
+    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["number"].alias("number"), c["unit"].alias("unit")))
 
-    return F.filter(F.transform(split, claim), lambda c: ~c["named"])
+
+def number_claims(text: Column) -> Column:
+    """TX11: claims_of() a text; texts without a digit are not taken apart."""
+    return F.when(text.rlike("[0-9]"), claims_of(tokens(text))).otherwise(F.array().cast("array<struct<start:int,number:double,unit:string>>"))
 
 
 def ungrounded_numbers(texts: DataFrame, facts: DataFrame) -> DataFrame:
     """TX11: texts(text_id, student_id, text), facts(student_id, text, value) -> (text_id, number, unit) without a fact of that value, about that unit where one is said."""
-    claims = texts.select("text_id", "student_id", F.explode(number_claims(F.col("text"))).alias("c")).select("text_id", "student_id", "c.number", "c.unit").distinct()
+    rows = settled(texts.where("text rlike '[0-9]'").select("text_id", "student_id", tokens(F.col("text")).alias("_t")))
+    claims = rows.select("text_id", "student_id", F.explode(claims_of(F.col("_t"))).alias("c")).select("text_id", "student_id", "c.number", "c.unit").distinct()
     known = facts.select("student_id", F.lower("text").alias("about"), F.col("value").alias("number"))
-    fits = claims.alias("c").join(known.alias("f"), (F.col("c.student_id") == F.col("f.student_id")) & (F.col("c.number") == F.col("f.number")) & (F.col("c.unit").isNull() | F.contains(F.col("f.about"), F.col("c.unit"))), "left_anti")
+    bar = F.col("f.about").rlike(rf"{_L}bar{_R}")
+    about = F.col("c.unit").isNull() | F.when(F.col("c.unit") == "bar", bar).otherwise(F.contains(F.col("f.about"), F.col("c.unit")))
+    fits = claims.alias("c").join(known.alias("f"), (F.col("c.student_id") == F.col("f.student_id")) & (F.col("c.number") == F.col("f.number")) & about, "left_anti")
     return fits.select("text_id", "number", "unit")
 
 
+def names_of(found: Column, allowed: Column) -> Column:
+    """TX12: distinct capitalised words of a text's tokens that are not allowed and begin no sentence.
+
+    A sentence begins with the text, behind `.`, `!`, `?` or `:` whatever blanks follow, or on a new line.
+    """
+    places = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: _near(found, i).rlike(_IS_NAME))
+
+    def begins(i: Column) -> Column:
+        gap = _near(found, i - 1)
+        return (i == 0) | ((i == 1) & _blank(gap)) | gap.rlike(r"[.!?:]\s*$") | gap.rlike(r"\n\s*$")
+
+    return F.array_except(F.transform(F.filter(places, lambda i: ~begins(i)), lambda i: _near(found, i)), allowed)
+
+
 def summary_flags(text: Column, display_name: Column) -> Column:
     """TX12: struct(judgement boolean, names array<string>): capitalised words inside a sentence that are not expected there."""
-    inner = F.regexp_extract_all(text, F.lit(r"(?<![.!?:\n])\s+([A-Z][a-z]{2,})(?![A-Za-z0-9_])"), F.lit(1))
     allowed = F.concat(F.array(*[F.lit(w) for w in KNOWN_CAPITALS]), F.split(display_name, r"\s+"))
-    return F.struct(text.rlike(JUDGEMENT).alias("judgement"), F.array_except(inner, allowed).alias("names"))
+    names = F.when(text.rlike("[A-Z][a-z]{2}"), names_of(tokens(text), allowed)).otherwise(F.array().cast("array<string>"))
+    return F.struct(text.rlike(JUDGEMENT).alias("judgement"), names.alias("names"))
 
 
 ACTIONS = ("select_bars", "set_loop", "set_tempo", "open_exercise")
@@ -230,26 +288,30 @@ def check_answers(answers: DataFrame, exercises: DataFrame | None = None) -> Dat
 
     With actions and exercises, TX13's problems are among them.
     """
-    # The bars that a text names and its sentences serve several checks: columns, so that they are found once.
-    answers = answers.withColumn("_text", F.coalesce("answer", F.lit(""))).withColumns({"_bars": bar_mentions(F.col("_text")), "_told": sentences(F.col("_text"))})
-    text, bars, told = F.col("_text"), F.col("_bars"), F.col("_told")
+    # What several checks look at is found once: the bars that a text names, its sentences, and whether any class of words occurs at all.
+    text = F.col("_text")
+    none = F.array().cast("array<string>")
+    answers = settled(answers.withColumn("_text", F.coalesce("answer", F.lit(""))))
+    spoken = F.array_join(F.concat(F.array(text), F.coalesce("caveats", none)), "\n")
+    answers = settled(answers.withColumns({"_bars": bar_mentions(text), "_told": F.when(text.rlike(_either(NAMES_A_DRUM, UNSUPPORTED)), sentences(text)).otherwise(none), "_spoken": spoken, "_suspect": spoken.rlike(SUSPECT)}))
+    bars, told, suspect = F.col("_bars"), F.col("_told"), F.col("_suspect")
     outside = F.exists(bars, lambda n: ~n.between(F.col("first_bar"), F.col("last_bar")))
     uncited = F.exists(bars, lambda n: ~F.exists("references", lambda r: n.between(r["from_bar"], r["to_bar"])))
-    flags = safety_flags(F.array_join(F.concat(F.array(text), F.coalesce("caveats", F.array().cast("array<string>"))), "\n"), F.col("abstained"))
     problems = F.array_compact(F.array(
         F.when((F.trim(text) == "") | (F.length(text) > LIMITS["answer"]), "answer is empty or too long"),
         F.when(F.size("references") > LIMITS["references"], "too many references"),
         F.when(~F.forall("references", lambda r: (r["from_bar"] >= F.col("first_bar")) & (r["to_bar"] <= F.col("last_bar")) & (r["from_bar"] <= r["to_bar"])), "reference is not a range of the score"),
-        F.when(has_hidden(text) | F.exists(F.coalesce("caveats", F.array().cast("array<string>")), has_hidden), "hidden characters"),
-        F.when(text.rlike(JARGON), "internal words"),
-        F.when(F.size(unsupported_claims(text, told)) > 0, "claims what the score does not record"),
-        F.when(flags["unsafe"], "unsafe"), F.when(flags["leak"], "talks about its instructions"),
+        F.when(has_hidden(F.col("_spoken")), "hidden characters"),
+        F.when(suspect & text.rlike(JARGON), "internal words"),
+        F.when(suspect & (F.size(unsupported_claims(text, told)) > 0), "claims what the score does not record"),
+        F.when(suspect & F.col("_spoken").rlike(UNSAFE), "unsafe"), F.when(suspect & F.col("_spoken").rlike(LEAK), "talks about its instructions"),
         F.when(~F.col("abstained") & ~text.rlike(ON_TOPIC), "off topic"),
         F.when(F.col("abstained") & outside, "names bars outside the score"),
         F.when(~F.col("abstained") & uncited, "names bars that are not cited"),
         F.when(F.size(ungrounded_drums(text, F.col("seen_drums"), told)) > 0, "names drums that were not looked up"),
     ))
-    found = answers.select("answer_id", F.explode(problems).alias("problem"))
+    answers = settled(answers.select(*[c for c in answers.columns if not c.startswith("_")], problems.alias("_problems")))
+    found = answers.select("answer_id", F.explode("_problems").alias("problem"))
     return found if exercises is None else found.unionByName(validate_actions(answers, exercises).select("answer_id", F.concat(F.lit("action "), (F.col("idx") + 1).cast("string"), F.lit(": "), "problem").alias("problem")))
 
 

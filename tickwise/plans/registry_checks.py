@@ -13,7 +13,7 @@ from tickwise.operators import subset as ts
 from tickwise.operators import text_checks as tx
 from tickwise.plans import adapters as ad
 from tickwise.plans.sql import EVENTS, pick
-from tickwise.plans.sql_more import BOXES, LABELS, PRACTICE, USAGE
+from tickwise.plans.sql_more import BOXES, LABELS, PRACTICE, USAGE, _re
 
 QUERIES, SQL = {}, {}
 
@@ -216,27 +216,52 @@ def tx10_required_caveats(spark, sf_dir):
     return tx.required_caveats(q, ad.bars(spark, sf_dir))
 
 
+# Tokens of the texts tx(text_id, text): words and digits, and what is between them, with their neighbours (g: gap, w: word; b: before, a: after).
+_TOKENS = r"""
+tk AS (SELECT text_id, unnest(l) AS w, unnest(range(CAST(len(l) AS BIGINT))) AS i FROM (SELECT text_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS l FROM tx)),
+nb AS (SELECT *, lag(w, 1, '') OVER o AS gb1, lag(w, 2, '') OVER o AS wb1, lag(w, 3, '') OVER o AS gb2, lag(w, 4, '') OVER o AS wb2, lead(w, 1, '') OVER o AS ga1, lead(w, 2, '') OVER o AS wa1, lead(w, 3, '') OVER o AS ga2, lead(w, 4, '') OVER o AS wa2, coalesce(sum(length(w)) OVER (PARTITION BY text_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM tk WINDOW o AS (PARTITION BY text_id ORDER BY i))"""
+# Digits tied by single points are numbers two by two: 1.2.3 is 1.2 and 3.
+_CLAIMS = r"""
+dg AS (SELECT *, sum(CASE WHEN gb1 = '.' AND regexp_full_match(wb1, '[0-9]+') THEN 0 ELSE 1 END) OVER (PARTITION BY text_id ORDER BY i) AS chain FROM nb WHERE regexp_full_match(w, '[0-9]+')),
+hd AS (SELECT *, row_number() OVER (PARTITION BY text_id, chain ORDER BY i) AS n, ga1 = '.' AND regexp_full_match(wa1, '[0-9]+') AS tied FROM dg),
+nu AS (SELECT text_id, start, CAST(CASE WHEN tied THEN w || '.' || wa1 ELSE w END AS DOUBLE) AS number, CASE WHEN tied THEN ga2 ELSE ga1 END AS ga, lower(CASE WHEN tied THEN wa2 ELSE wa1 END) AS wa, gb1, lower(wb1) AS wb1, gb2, lower(wb2) AS wb2 FROM hd WHERE n % 2 = 1),
+cl AS (SELECT DISTINCT text_id, start, number, CASE WHEN regexp_full_match(ga, '\s*') AND wa IN ('minute', 'minutes', 'min', 'mins') THEN 'minute' WHEN regexp_full_match(ga, '\s*') AND wa IN ('session', 'sessions') THEN 'session' WHEN regexp_full_match(ga, '\s*') AND wa IN ('attempt', 'attempts', 'tries', 'try') THEN 'attempt' WHEN regexp_full_match(ga, '\s*') AND wa = 'bpm' THEN 'bpm' WHEN regexp_full_match(ga, '\s*') AND wa IN ('assignment', 'assignments') THEN 'assignment'
+  WHEN regexp_full_match(gb1, '\s*') AND wb1 IN ('bar', 'bars') THEN 'bar' WHEN regexp_full_match(gb1, '\s*[–-]\s*') AND regexp_full_match(wb1, '[0-9]+') AND regexp_full_match(gb2, '\s*') AND wb2 IN ('bar', 'bars') THEN 'bar' END AS unit FROM nu WHERE NOT (regexp_full_match(gb1, '\s*') AND wb1 = 'assignment'))"""
+_CAPITALS = ", ".join(f"'{w}'" for w in tx.KNOWN_CAPITALS)
+_NAMES = rf"na AS (SELECT DISTINCT text_id, w FROM nb WHERE regexp_full_match(w, '[A-Z][a-z]{{2,}}') AND w NOT IN ({_CAPITALS}) AND NOT (i = 0 OR (i = 1 AND trim(gb1, ' ' || chr(9) || chr(10) || chr(13)) = '') OR regexp_matches(gb1, '[.!?:]\s*$') OR regexp_matches(gb1, '\n\s*$')))"
+_TURNS = "SELECT conv_id * 1000 + turn AS text_id, conv_id AS student_id, {} AS text FROM conversations"
+
+
+def _turns(spark, sf_dir):
+    """(text_id, student_id, text): every turn of every conversation."""
+    return ad.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), F.col("conv_id").alias("student_id"), "turn", "text")
+
+
+_SAID = "concat('Bars ', conv_id % 9 + 1, '–', conv_id % 9 + 4, ' went up to ', turn * 7 + 60, ' BPM. ', text, ' They practised ', conv_id % 50, '.5 minutes, with ', turn + 1, ' attempts in assignment 2')"
+
+
 @query(
-    "o AS (SELECT o_orderkey AS k, o_custkey AS s, o_orderkey % 90 + 1 AS m, o_orderkey % 200 + 40 AS b FROM orders)",
-    "SELECT k AS text_id, CAST(m AS DOUBLE) AS number, 'minute' AS unit FROM o WHERE NOT EXISTS (SELECT 1 FROM o f WHERE f.s = o.s AND f.m = o.m AND f.k % 3 <> 0) UNION ALL SELECT k, CAST(b AS DOUBLE), 'bpm' FROM o WHERE NOT EXISTS (SELECT 1 FROM o f WHERE f.s = o.s AND f.b = o.b AND f.k % 5 <> 0)",
+    f"tx AS ({_TURNS.format(_SAID)}), {_TOKENS}, {_CLAIMS}",
+    """, fa AS (SELECT DISTINCT conv_id AS s, 'minute' AS about, conv_id % 50 + 0.5 AS v FROM conversations WHERE conv_id % 3 <> 0 UNION SELECT conv_id, 'bpm', turn * 7 + 60 FROM conversations WHERE turn % 2 = 0 UNION SELECT conv_id, 'bar', conv_id % 9 + 1 FROM conversations UNION SELECT conv_id, 'attempt', 1 FROM conversations)
+SELECT DISTINCT text_id, number, coalesce(unit, '') AS unit FROM cl WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.s = cl.text_id // 1000 AND fa.v = cl.number AND (cl.unit IS NULL OR cl.unit = fa.about))""",
 )
 def tx11_ungrounded_numbers(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = ad.table(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_custkey").alias("student_id"), (k % 90 + 1).alias("m"), (k % 200 + 40).alias("b"))
-    text = F.concat(F.lit("They practised for "), F.col("m").cast("string"), F.lit(" minutes, up to "), F.col("b").cast("string"), F.lit(" BPM, for assignment 2."))
-    facts = o.where("k % 3 <> 0").select("student_id", F.lit("Minutes practised").alias("text"), F.col("m").cast("double").alias("value")).unionByName(o.where("k % 5 <> 0").select("student_id", F.lit("target BPM").alias("text"), F.col("b").cast("double").alias("value")))
-    return tx.ungrounded_numbers(o.select(F.col("k").alias("text_id"), "student_id", text.alias("text")), facts)
+    """The numbers of every turn, with sentences around it, that are no fact of the conversation."""
+    t = _turns(spark, sf_dir)
+    n, turn = F.col("student_id"), F.col("turn")
+    facts = lambda text, value, keep=None: (t if keep is None else t.where(keep)).select("student_id", F.lit(text).alias("text"), value.cast("double").alias("value"))
+    known = facts("Minutes practised", n % 50 + 0.5, n % 3 != 0).unionByName(facts("best clean BPM", turn * 7 + 60, turn % 2 == 0)).unionByName(facts("range starts at bar", n % 9 + 1)).unionByName(facts("Attempts recorded", F.lit(1))).distinct()
+    text = F.expr(_SAID.replace("conv_id", "student_id"))
+    return tx.ungrounded_numbers(t.select("text_id", "student_id", text.alias("text")), known).withColumn("unit", F.coalesce("unit", F.lit("")))
 
 
 @query(
-    "c AS (SELECT c_custkey AS k FROM customer)",
-    "SELECT k, k % 5 = 0 AS judgement, CASE k % 3 WHEN 0 THEN 'Zoe' WHEN 1 THEN '' ELSE 'Zoe,Max' END AS names FROM c",
+    f"tx AS ({_TURNS.format('text')}), {_TOKENS}, {_NAMES}",
+    rf", l AS (SELECT text_id, string_agg(w, ',' ORDER BY w) AS names FROM na WHERE w <> 'Elle' GROUP BY 1) SELECT tx.text_id, regexp_matches(text, '{_re(tx.JUDGEMENT)}') AS judgement, coalesce(names, '') AS names FROM tx LEFT JOIN l USING (text_id)",
 )
 def tx12_summary_flags(spark, sf_dir):
-    c = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    n = F.col("k")
-    said = F.concat(F.lit("Ann Lee played well. Sessions were long. "), ad.pick(("In May with Zoe.", "With Ann they use the Practice plan.", "Then Zoe and Max and Zoe sang."), n % 3), F.when(n % 5 == 0, " They are gifted.").otherwise(" They practise."))
-    return c.select("k", tx.summary_flags(said, F.lit("Ann Lee May")).alias("f")).select("k", "f.judgement", F.array_join("f.names", ",").alias("names"))
+    """Every turn: words of judgement, and capitalised words inside its sentences but for the student's own name."""
+    return _turns(spark, sf_dir).select("text_id", tx.summary_flags(F.col("text"), F.lit("Elle")).alias("f")).select("text_id", "f.judgement", F.array_join(F.array_sort("f.names"), ",").alias("names"))
 
 
 def _actions(spark, sf_dir):
@@ -261,18 +286,29 @@ def tx13_validate_actions(spark, sf_dir):
 
 
 @query(
-    "o AS (SELECT o_orderkey AS k, o_custkey AS s FROM orders)",
-    "SELECT k AS draft_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'summary is empty or too long' END, CASE WHEN k % 7 = 0 THEN 'a caveat is empty' END, CASE WHEN k % 11 = 0 AND k % 7 <> 0 THEN 'judges the student' END, CASE WHEN k % 13 = 0 THEN 'an item has no text' END, CASE WHEN k % 17 = 0 THEN 'an item cites nothing' END, CASE WHEN k % 19 = 0 AND k % 17 <> 0 THEN 'cites an unknown fact' END, CASE WHEN (k % 23 = 0 OR k % 19 = 0) AND k % 13 <> 0 AND k % 17 <> 0 THEN 'a number is no cited fact''s value' END], lambda x : x IS NOT NULL)) AS problem FROM o",
+    f"""dr AS (SELECT conv_id * 1000 + turn AS draft_id, conv_id AS s, turn, text, concat('The student made ', turn + 1, ' attempts.') AS item, CASE WHEN turn % 3 = 1 THEN ['f9'] WHEN turn % 5 = 4 THEN [] ELSE ['f2'] END AS cited FROM conversations),
+tx AS (SELECT draft_id * 10 AS text_id, text FROM dr UNION ALL SELECT draft_id * 10 + 1, item FROM dr), {_TOKENS}, {_CLAIMS}, al AS (SELECT draft_id, 2 AS part, text || chr(10) || item AS text FROM dr),
+{_TOKENS.replace("tk AS", "tk2 AS").replace("nb AS", "nb2 AS").replace("FROM tk ", "FROM tk2 ").replace("FROM tx)", "FROM (SELECT draft_id AS text_id, text FROM al))").strip()}, {_NAMES.replace("na AS", "na2 AS").replace("FROM nb ", "FROM nb2 ")}""",
+    rf""", fa AS (SELECT DISTINCT conv_id AS s, 'f2' AS f, 'attempt' AS about, conv_id % 4 + 1 AS v FROM conversations UNION SELECT conv_id, 'f3', 'minute', 10 FROM conversations)
+SELECT DISTINCT draft_id, problem FROM (
+  SELECT draft_id, 'summary is empty or too long' AS problem FROM dr WHERE trim(text) = '' OR length(text) > {tx.LIMITS['summary']}
+  UNION ALL SELECT draft_id, 'judges the student' FROM al WHERE regexp_matches(text, '{_re(tx.JUDGEMENT)}')
+  UNION ALL SELECT text_id, 'names somebody' FROM na2 WHERE w <> 'Elle'
+  UNION ALL SELECT draft_id, 'an item cites nothing' FROM dr WHERE len(cited) = 0
+  UNION ALL SELECT draft_id, 'cites an unknown fact' FROM dr WHERE list_contains(cited, 'f9')
+  UNION ALL SELECT text_id // 10, 'a number is no cited fact''s value' FROM cl WHERE text_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM fa WHERE fa.s = cl.text_id // 10000 AND fa.v = cl.number AND (cl.unit IS NULL OR cl.unit = fa.about))
+  UNION ALL SELECT text_id // 10, 'a number is no cited fact''s value' FROM cl JOIN dr ON dr.draft_id = cl.text_id // 10 WHERE text_id % 10 = 1 AND len(cited) > 0 AND NOT EXISTS (SELECT 1 FROM fa WHERE fa.s = dr.s AND list_contains(dr.cited, fa.f) AND fa.v = cl.number AND (cl.unit IS NULL OR cl.unit = fa.about)))""",
 )
 def tx15_check_summaries(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = ad.table(spark, sf_dir, "orders").select(k.alias("draft_id"), F.col("o_custkey").alias("student_id"))
-    n = F.col("draft_id")
-    item = F.struct(F.when(n % 13 == 0, " ").when(n % 23 == 0, "Practise 9 sessions.").otherwise("Practise 4 sessions.").alias("text"), F.when(n % 17 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(n % 19 == 0, "f9").otherwise("f1"))).alias("fact_ids"))
-    d = o.select("draft_id", "student_id", F.when(n % 5 == 0, "").otherwise("They practised.").alias("summary"), F.array(item).alias("highlights"), F.array().cast("array<struct<text:string,fact_ids:array<string>>>").alias("next_steps"), F.array(F.when(n % 7 == 0, "").when(n % 11 == 0, "The player is gifted.").otherwise("The rest is open.")).alias("caveats"))
-    students = ad.practice(spark, sf_dir)["students"]
-    facts = students.select("student_id", F.lit("f1").alias("fact_id"), F.lit("Sessions practised").alias("text"), F.lit(4.0).alias("value"))
-    return tx.check_summaries(d, facts, students)
+    """Every turn of every conversation as the summary of a student, with an item that cites facts."""
+    t = _turns(spark, sf_dir)
+    turn = F.col("turn")
+    item = F.struct(F.concat(F.lit("The student made "), (turn + 1).cast("string"), F.lit(" attempts.")).alias("text"), F.when(turn % 3 == 1, F.array(F.lit("f9"))).when(turn % 5 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("f2"))).alias("fact_ids"))
+    d = t.select(F.col("text_id").alias("draft_id"), "student_id", F.col("text").alias("summary"), F.array(item).alias("highlights"), F.array().cast("array<struct<text:string,fact_ids:array<string>>>").alias("next_steps"), F.array().cast("array<string>").alias("caveats"))
+    who = t.select("student_id").distinct()
+    n = F.col("student_id")
+    facts = who.select(n, F.lit("f2").alias("fact_id"), F.lit("Attempts recorded").alias("text"), (n % 4 + 1).cast("double").alias("value")).unionByName(who.select(n, F.lit("f3").alias("fact_id"), F.lit("Minutes practised").alias("text"), F.lit(10.0).alias("value")))
+    return tx.check_summaries(d, facts, who.withColumn("display_name", F.lit("Elle")))
 
 
 @query(

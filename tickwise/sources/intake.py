@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwise.functions.frames import settled
 from tickwise.functions.notation import DRUMS, DURATION_TICKS, strings
 from tickwise.operators.scores import triplet_groups
 
@@ -215,11 +216,6 @@ def _timing(bar: Column, i: Column, capacity: Column) -> Column:
     return _problems(F.when(loose, _row(where, "a triplet note is outside a group of three")), F.when(total > 2 * capacity, _row(where, "notes overfill the bar")))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df, whose columns later steps take as they are: behind a generator no filter or projection is written out anew over what made them."""
-    return df.select(F.inline(F.array(F.struct("*"))))
-
-
 def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataFrame]:
     """IO3, SC5: docs(path, raw) -> (scores, rejected).
 
@@ -238,7 +234,7 @@ def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataF
     rows = rows.withColumn("_code", F.when(m.isNull() | (new & listed.isNull()), "unreadable").when(number > version, "future_version"))
     # Every object is opened once: the bars, their provenance and their notes as maps.
     rows = rows.withColumn("_bars", F.transform(F.transform(listed, as_map), lambda b: F.struct(b.alias("b"), as_map(field(b, "provenance")).alias("p"), F.transform(as_list(field(b, "notes")), as_map).alias("notes"))))
-    rows = _settled(rows)
+    rows = settled(rows)
     default = lambda value, given: F.when(new, F.lit(value)).otherwise(given)
     rows = rows.withColumns({
         "schema_version": F.lit(version),
@@ -250,7 +246,7 @@ def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataF
         "bars": F.transform("_bars", lambda x, i: _typed_bar(x, i, path, new)),
         "_checks": F.transform("_bars", lambda x, i: _bar_problems(x, i, new)),
     })
-    rows = _settled(rows)
+    rows = settled(rows)
     ids = F.flatten(F.transform("bars", lambda b: F.concat(F.array(b["bar_id"]), F.coalesce(F.transform(b["notes"], lambda n: n["event_id"]), F.array().cast("array<string>")))))
     rows = rows.withColumn("_ids", F.array_sort(F.filter(ids, lambda x: F.coalesce(x.rlike(_ID), F.lit(False)))))
     twice = F.array_distinct(F.filter("_ids", lambda x, i: (i > 0) & (F.get(F.col("_ids"), i - 1) == x)))
@@ -264,7 +260,7 @@ def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataF
     )
     found = F.concat(of_score, F.when(F.coalesce(F.size("bars").between(1, MAX_BARS), F.lit(False)), of_bars).otherwise(_none()))
     whole = F.when(F.col("_code") == "unreadable", F.array(_row(F.lit("document"), "not a score"))).when(F.col("_code") == "future_version", F.array(_row(F.lit("document"), "newer schema version"))).otherwise(found)
-    rows = _settled(rows.withColumn("_found", whole).drop("_m", "_bars", "_checks", "_ids"))
+    rows = settled(rows.withColumn("_found", whole).drop("_m", "_bars", "_checks", "_ids"))
     good = rows.where(F.size("_found") == 0).select("path", "schema_version", "score_id", "revision", "title", "tempo_bpm", "meter", "bars")
     bad = rows.where(F.size("_found") > 0).select("path", F.coalesce("_code", F.lit("invalid")).alias("code"), F.explode("_found").alias("x")).select("path", "code", "x.place", "x.problem")
     return good, bad
