@@ -218,6 +218,19 @@ def test_token_counts_equal_the_library(spark):
     assert sum(r.n_tokens for r in pack(docs(spark, texts), tokenizer=path).collect()) == sum(len(reference.encode(t or "", add_special_tokens=False).ids) for t in texts)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_tokenizer_equals_the_library(name):
+    import public_tokenizers
+
+    made = token_store.Encoder(public_tokenizers.path(name))
+    assert made.by_pieces == (name == "word_bpe_49k.json")
+    r = random.Random(9)
+    texts = ["", " ", "It's 12 o'clock\n<|endoftext|> ÉÀ", *("".join(r.choices(["The", "the ", "É", "ß", "ǅ", "İ", "'s", "12", " ", "\n\t", "...", "中文", "e\u0301", "🙂", "<|endoftext|>"], k=r.randrange(1, 30))) for _ in range(300))]
+    want = [[*made.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(x, dtype=made.dtype).tolist() for x in made.encode(texts, 1)] == want
+    assert made.count(texts) == [len(x) - 1 for x in want]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -10,6 +10,7 @@ A null document id is stored as the smallest i64 and sorts first.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,16 +37,20 @@ _SEEK = struct.Struct("<III")
 _FOOTER = struct.Struct("<IBI")
 
 
-# The pre-tokenizer's pieces of lower-cased text whose characters beyond ASCII are Latin letters below U+0180 (not U+0130,
+# The normaliser and pre-tokenizer, as a tokenizer's file writes them, whose pieces are known below.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# That pre-tokenizer's pieces of lower-cased text whose characters beyond ASCII are Latin letters below U+0180 (not U+0130,
 # which lower-cases to a letter and a mark); fixed by the tokenizer's file. _OTHER finds a text with further characters.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 _OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc6-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
 
 
 class Encoder:
-    """The tokenizers library, piece by piece and remembered.
+    """The tokenizers library; piece by piece and remembered where the tokenizer's file is of a known kind.
 
-    Its pre-tokenizer never joins what ASCII white space divides, so the ids of a text are those of its
+    For any other normaliser, pre-tokenizer or post-processor whole texts go to the library. The known
+    pre-tokenizer never joins what ASCII white space divides, so the ids of a text are those of its
     words in a row; those of a Latin word are those of its runs of letters, digits and signs. The library
     encodes each new piece, many in one text. A text that spells an added token is encoded whole.
     """
@@ -55,6 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_pieces = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and told["post_processor"] is None and not told["model"].get("dropout")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
@@ -80,6 +87,9 @@ class Encoder:
 
     def _known(self, texts: list[str]) -> Iterator[tuple[list[bytes] | None, str]]:
         """The pieces of each text, all of them learnt (None for a text to be encoded whole), and the text."""
+        if not self.by_pieces:
+            yield from ((None, text) for text in texts)
+            return
         for begin in range(0, len(texts), 1000):
             part = texts[begin : begin + 1000]
             split = [None if any(a in text for a in self.added) else self._pieces(text) for text in part]
