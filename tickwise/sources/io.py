@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickwise.sources.batches import append_batch, read_batches
 from tickwise.sources.intake import parse_labels, parse_scores
 
 NOTE = "struct<event_id string, duration string, dotted boolean, triplet boolean, drums array<string>>"
@@ -82,13 +83,14 @@ def read_practice(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """IO6: JSON lines, appended."""
-    df.write.mode("append").json(path)
+def append_results(df: DataFrame, path: str, batch: str) -> None:
+    """IO6: JSON lines, appended as a named batch: one that is written again (a retried job) is there once."""
+    append_batch(df, path, batch, "json")
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """IO6: the rows of all batches."""
+    return read_batches(spark, path, "json", schema).drop("batch")
 
 
 def write_report(df: DataFrame, path: str) -> None:
