@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,23 @@ def test_cheap_long_values_and_plain_words_stay():
         assert scan(f"passphrase: {value}") == []
 
 
+def test_only_the_cost_decides():
+    found = lambda text: [text[s:e] for k, s, e, _ in scan(text) if k == "value"]
+    for value in ("correcthorsebatterystaplemountain", "thequickbrownfoxjumpsoverthelazydog", "Xq7#vR2!pLm9$wé#Kz81", "пароль1234567", "naïveÉtéKx9", "q" * 40 + "Xk4#pT9" + "ab" * 300 + "Zw8"):
+        assert found(f"pwd: {value} end") == found(f"passphrase: {value} end") == [value], value
+    for value in ("understanding", "Élémentaire", "ab" * 5000, "as" * 4000, "20190403", "Geschwindigkeitsbegrenzung"):
+        assert found(f"pwd: {value} end") == [], value
+
+
+def test_long_values_are_costed_whole():
+    key = "".join(random.Random(5).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#%+", k=60))
+    assert guess_cost(key * 2) == pytest.approx(guess_cost(key) * 2 + math.log10(2), rel=0.2)
+    assert guess_cost("z" * 5000 + key) > guess_cost(key) and guess_cost("z" * 5000) < 7
+    took = time.process_time()
+    guess_cost(key * 300)
+    assert time.process_time() - took < 8  # 18,000 characters; the time grows with the length
+
+
 def test_redaction(spark):
     got = [r.text for r in redact_secrets(docs(spark, SECRET_TEXTS)).orderBy("doc_id").collect()]
     assert got[0] is None and got[1] == "" and got[2] == SECRET_TEXTS[2]
