@@ -124,6 +124,26 @@ def reconciliation_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("song").alias("songs"))
 
 
+def reconciliation_report(rows: DataFrame, packaged: DataFrame, audits: DataFrame) -> DataFrame:
+    """MF11: one pass of grouping sets over what is missing and what is packaged -> (kind, name, bars, songs, packaged_bars, reason, crop_audit).
+
+    rows as reconcile() gives them, packaged(song, bar, split), audits(song, crops, labels). kind `reason`:
+    bars and songs of each reason; `song`: missing and packaged bars of each affected song, its reason, and
+    the crops and labels of its only document; `split`: packaged bars and songs of each split.
+    """
+    seen = audits.groupBy("song").agg(F.count(F.lit(1)).alias("n"), F.max("crops").alias("crops"), F.max("labels").alias("labels"))
+    audit = F.when(F.col("n") == 1, F.concat(F.col("crops").cast("string"), F.lit(" crops / "), F.col("labels").cast("string"), F.lit(" labels"))).otherwise("no unique match")
+    missing = rows.join(seen, "song", "left").select(F.lit(True).alias("missing"), F.col("song").cast("string").alias("song"), "reason", F.lit(None).cast("string").alias("split"), F.col("packaged_song_bars").cast("long").alias("have"), audit.alias("audit"))
+    there = packaged.select(F.lit(False).alias("missing"), F.col("song").cast("string").alias("song"), F.lit(None).cast("string").alias("reason"), "split", F.lit(None).cast("long").alias("have"), F.lit(None).cast("string").alias("audit"))
+    sets = [[F.col("missing"), F.col("reason")], [F.col("missing"), F.col("song")], [F.col("missing"), F.col("split")]]
+    of = lambda c: F.grouping(c) == 0
+    kind = F.when(of("reason") & F.col("missing"), "reason").when(of("song") & F.col("missing"), "song").when(of("split") & ~F.col("missing"), "split")
+    per_song = of("song")
+    grouped = missing.unionByName(there).withColumn("_song", F.col("song")).withColumn("_reason", F.col("reason")).groupingSets(sets, F.col("missing"), F.col("reason"), F.col("song"), F.col("split"))
+    out = grouped.agg(kind.alias("kind"), F.coalesce("reason", "song", "split").alias("name"), F.count(F.lit(1)).alias("bars"), F.countDistinct("_song").alias("songs"), F.when(per_song, F.max("have")).alias("packaged_bars"), F.when(per_song, F.min("_reason")).alias("song_reason"), F.when(per_song, F.max("audit")).alias("crop_audit"))
+    return out.where("kind is not null").select("kind", "name", "bars", "songs", "packaged_bars", F.col("song_reason").alias("reason"), "crop_audit")
+
+
 def sample_pairs(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """MF12: n rows by a hash of key and seed; the same ones every time."""
     return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)

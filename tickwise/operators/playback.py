@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickwise.functions.frames import in_ranges
 from tickwise.functions.notation import BAR_TICKS, DRUMS, DURATION_TICKS, GM_NOTES, MODEL_SHAPES, SLOT_TICKS, SLOTS, TICKS_PER_BEAT, lookup, strings
 
 
@@ -95,7 +96,7 @@ def _asked(requests: DataFrame) -> DataFrame:
 def playback_hits(events: DataFrame, requests: DataFrame) -> DataFrame:
     """PB3: (request_id, ticks, time, drum, bar_number, event_idx); bars keep their full length, the count-in shifts all."""
     at = F.col("lead") + (F.col("bar_number") - F.col("from_bar")) * BAR_TICKS + F.col("onset_ticks")
-    rows = events.join(_asked(requests), "score_id").where("bar_number between from_bar and to_bar")
+    rows = in_ranges(events, _asked(requests), ["score_id"], "bar_number", "from_bar", "to_bar")
     return rows.select("request_id", at.cast("long").alias("ticks"), (at * F.col("tick_s")).alias("time"), F.explode("drums").alias("drum"), "bar_number", "event_idx")
 
 

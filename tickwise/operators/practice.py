@@ -11,9 +11,11 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickwise.sources import tables
+
 RANGE = ["student_id", "score_id", "from_bar", "to_bar"]
 # Weights of the difficulty.
 WEIGHTS = {"unclean": 0.40, "tempo_gap": 0.35, "rating": 0.25}
@@ -52,6 +54,31 @@ def delete_students(t: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFr
     return {n: df.join(ended, "session_id", "left_anti") if n == "attempts" else df.join(gone, "student_id", "left_anti") for n, df in t.items()}
 
 
+_STORED = ("students", "sessions", "attempts", "assignments", "resets")
+
+
+def store_practice(t: dict[str, DataFrame], path: str, buckets: int = tables.BUCKETS) -> None:
+    """PR3, PR6: the tables under path, in buckets of the student (their number is given again with each change); an attempt has its session's student."""
+    own = t["attempts"].join(t["sessions"].select("session_id", "student_id"), "session_id")
+    for name in _STORED:
+        tables.create(own if name == "attempts" else t[name], f"{path}/{name}", "student_id", buckets)
+
+
+def stored_practice(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: tables.read(spark, f"{path}/{name}", "student_id") for name in _STORED}
+
+
+def delete_stored(spark: SparkSession, path: str, ids: DataFrame, buckets: int = tables.BUCKETS) -> None:
+    """PR3: delete students and all that is theirs from the stored tables: what hangs on a student goes before the student."""
+    for name in reversed(_STORED):
+        tables.delete(spark, f"{path}/{name}", ids, "student_id", buckets)
+
+
+def reset_stored(spark: SparkSession, path: str, new: DataFrame, buckets: int = tables.BUCKETS) -> None:
+    """PR6: put difficulty resets into the stored table; the latest of each student and score stays."""
+    tables.upsert(spark, f"{path}/resets", new, "student_id", ["student_id", "score_id"], "reset_at", buckets)
+
+
 def session_summary(t: dict[str, DataFrame], since: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """PR4: (by student: sessions, minutes, attempts, assignments done; by range: attempts and best clean tempo)."""
     s = t["sessions"] if since is None else t["sessions"].where(F.col("started_at") >= F.lit(since))

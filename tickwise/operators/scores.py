@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickwise.functions.frames import in_ranges
 from tickwise.functions.notation import BAR_TICKS, DRUMS, DURATION_TICKS, note_ticks, strings
 
 EVENT_FIELDS = ("event_idx", "onset_ticks", "duration_ticks", "written_duration", "dotted", "triplet", "drums", "is_rest")
@@ -125,7 +126,7 @@ def slice_bars(events: DataFrame, requests: DataFrame, most: int = 64) -> DataFr
     last = events.groupBy("score_id").agg(F.max("bar_number").alias("last"))
     asked = requests.join(last, "score_id").withColumns({"lo": F.greatest(F.least("from_bar", "to_bar"), F.lit(1)), "hi": F.least(F.greatest("from_bar", "to_bar"), "last")}).withColumn("cut", F.least("hi", F.col("lo") + (most - 1)))
     shown = asked.select("request_id", "score_id", "lo", "cut", ((F.col("lo") > 1) | (F.col("cut") < F.col("last"))).alias("truncated"))
-    return events.join(shown, "score_id").where("bar_number between lo and cut").drop("lo", "cut")
+    return in_ranges(events, shown, ["score_id"], "bar_number", "lo", "cut").drop("lo", "cut")
 
 
 def score_hash(events: DataFrame) -> DataFrame:

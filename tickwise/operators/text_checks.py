@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.frames import settled
+from tickwise.functions.frames import in_ranges, settled
 
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -168,7 +168,8 @@ def required_caveats(answers: DataFrame, bars: DataFrame) -> DataFrame:
     scoped = F.col("scope_from").isNotNull() & ~((F.col("scope_from") <= 1) & (F.col("scope_to") >= F.col("total_bars")))
     spans = F.concat("references", F.when(scoped, F.array(F.struct(F.col("scope_from").alias("from_bar"), F.col("scope_to").alias("to_bar")))).otherwise(F.array().cast("array<struct<from_bar:int,to_bar:int>>")))
     asked = answers.select("answer_id", "score_id", F.explode(spans).alias("s"))
-    hit = asked.join(bars.where("reviewed = false"), "score_id").where("bar_number between s.from_bar and s.to_bar").groupBy("answer_id").agg(F.array_sort(F.collect_set("bar_number")).alias("b"))
+    asked = asked.select("answer_id", "score_id", F.col("s.from_bar").alias("from_bar"), F.col("s.to_bar").alias("to_bar"))
+    hit = in_ranges(bars.where("reviewed = false").select("score_id", "bar_number"), asked, ["score_id"], "bar_number", "from_bar", "to_bar").groupBy("answer_id").agg(F.array_sort(F.collect_set("bar_number")).alias("b"))
     listed = F.array_join(F.transform("b", lambda x: x.cast("string")), ", ")
     text = F.when(F.size("b") == 1, F.concat(F.lit("Bar "), listed, F.lit(" was imported and not checked yet."))).when(F.size("b") > 1, F.concat(F.lit("Bars "), listed, F.lit(" were imported and not checked yet.")))
     cut = F.when((F.col("first_bar") > 1) | (F.col("last_bar") < F.col("total_bars")), F.concat(F.lit("Only bars "), F.col("first_bar").cast("string"), F.lit("-"), F.col("last_bar").cast("string"), F.lit(" of "), F.col("total_bars").cast("string"), F.lit(" were looked at.")))

@@ -1,16 +1,23 @@
-"""Queries on JSON texts made from the driver's tables, some of whose values have other types than their fields allow."""
+"""Queries on what is read and kept: JSON texts made from the driver's tables, some of whose values have other types
+than their fields allow, tables kept in buckets, appended results and written subsets."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.functions.notation import DRUMS, DURATIONS
+from tickwise.operators import manifest as mf
+from tickwise.operators import practice as pr
 from tickwise.operators import subset as ts
 from tickwise.plans import adapters as ad
-from tickwise.sources import intake
+from tickwise.plans.sql_more import PACKAGING
+from tickwise.sources import intake, io, scratch
 
 QUERIES, SQL = {}, {}
+BUCKETS = 8
 
 # One text a rule, for both engines: (condition, JSON text); the last has none.
 _EIGHTHS = ("0", "125", "25", "375", "5", "625", "75", "875")
@@ -121,4 +128,86 @@ def io3_read_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.unionByName(good.select("path", F.lit("read").alias("code"), F.concat(F.size("bars").cast("string"), F.lit(" bars")).alias("place"), F.concat_ws(" ", F.lit("score"), F.col("title"), F.col("tempo_bpm").cast("string")).alias("problem")))
 
 
+def _practice(spark: SparkSession, sf_dir: str) -> str:
+    """The practice tables, stored anew."""
+    path = scratch.new_folder(spark, "practice")
+    pr.store_practice(ad.practice(spark, sf_dir), path, BUCKETS)
+    return path
+
+
+def pr3_delete_students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth student is deleted, twice; what is left of each student's rows in each table."""
+    path = _practice(spark, sf_dir)
+    gone = ad.table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("student_id"))
+    for _ in range(2):
+        pr.delete_stored(spark, path, gone, BUCKETS)
+    kept = [df.select(F.lit(name).alias("table"), "student_id") for name, df in pr.stored_practice(spark, path).items()]
+    return reduce(DataFrame.unionByName, kept).groupBy("table", "student_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["pr3_delete_students"] = """
+SELECT 'students' AS "table", c_custkey AS student_id, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'sessions', o_custkey, count(*) FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'assignments', o_custkey, count(*) FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'attempts', o_custkey, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'resets', c_custkey, 1 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders)
+"""
+
+
+def pr6_upsert_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored resets after each order of a student reset one of its scores, put in twice."""
+    path = _practice(spark, sf_dir)
+    new = ad.table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 2).alias("score_id"), F.col("o_orderdate").alias("reset_at"))
+    for _ in range(2):
+        pr.reset_stored(spark, path, new, BUCKETS)
+    return pr.stored_practice(spark, path)["resets"]
+
+
+SQL["pr6_upsert_resets"] = """
+WITH f AS (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY 1),
+r AS (SELECT c_custkey AS student_id, c_custkey % 2 AS score_id, first + to_days(c_nationkey * 30) AS reset_at FROM customer JOIN f ON c_custkey = o_custkey
+ UNION ALL SELECT o_custkey, o_orderkey % 2, o_orderdate FROM orders WHERE o_custkey % 3 <> 0)
+SELECT student_id, score_id, CAST(max(reset_at) AS TIMESTAMP) AS reset_at FROM r GROUP BY 1, 2
+"""
+
+
+def mf11_reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons, affected songs with their audit, and totals of the splits."""
+    raw, packaged, audits = ad.packaging(spark, sf_dir)
+    n = F.col("song")
+    split = F.when(n % 10 < 8, "train").when(n % 10 == 8, "validation").otherwise("test")
+    counted = audits.withColumns({"crops": n % 50 + 1, "labels": F.when(F.col("matches"), n % 50 + 1).otherwise(n % 50 + 3)})
+    report = mf.reconciliation_report(mf.reconcile(raw, packaged, audits), packaged.withColumn("split", split), counted)
+    return report.fillna(-1, ["packaged_bars"]).fillna("", ["reason", "crop_audit"])
+
+
+SQL["mf11_reconciliation_report"] = f"""
+WITH {PACKAGING}, au AS (SELECT song, song % 3 + 1 AS n FROM (SELECT DISTINCT song FROM k) WHERE song % 4 <> 3), hv AS (SELECT song, count(*) AS n FROM pk GROUP BY 1)
+SELECT 'reason' AS kind, reason AS name, count(*) AS bars, count(DISTINCT song) AS songs, -1 AS packaged_bars, '' AS reason, '' AS crop_audit FROM rc GROUP BY reason
+UNION ALL SELECT 'song', CAST(rc.song AS VARCHAR), count(*), 1, coalesce(any_value(hv.n), 0), any_value(reason), CASE WHEN any_value(au.n) = 1 THEN (rc.song % 50 + 1) || ' crops / ' || (rc.song % 50 + CASE WHEN rc.song % 5 = 0 THEN 1 ELSE 3 END) || ' labels' ELSE 'no unique match' END FROM rc LEFT JOIN hv USING (song) LEFT JOIN au USING (song) GROUP BY rc.song
+UNION ALL SELECT 'split', CASE WHEN song % 10 < 8 THEN 'train' WHEN song % 10 = 8 THEN 'validation' ELSE 'test' END AS s, count(*), count(DISTINCT song), -1, '', '' FROM pk GROUP BY s
+"""
+
+
+def io6_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of each year's orders appended as a batch, every second one twice, and read again."""
+    path = scratch.new_folder(spark, "results")
+    rows = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"))
+    years = sorted(r.year for r in rows.select("year").distinct().collect())  # a few
+    for at in (*years, *years[::2]):
+        io.append_results(rows.where(F.col("year") == at), path, f"year-{at}")
+    return io.read_results(spark, path, "item_id long, status string, year int")
+
+
+SQL["io6_append_results"] = "SELECT o_orderkey AS item_id, o_orderstatus AS status, CAST(year(o_orderdate) AS INT) AS year FROM orders"
+
+
+def io8_write_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable bars written by split and read again: bars, songs and events of each split."""
+    path = scratch.new_folder(spark, "subset")
+    io.write_subset(ts.select_subset(ad.labels(spark, sf_dir))[0], path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("song").alias("songs"), F.sum(F.size("beats")).cast("long").alias("events"))
+
+
+QUERIES |= {f.__name__: f for f in (pr3_delete_students, pr6_upsert_resets, mf11_reconciliation_report, io6_append_results, io8_write_subset)}
 QUERIES |= {"io1_read_labels": io1_read_labels, "io3_read_scores": io3_read_scores}
