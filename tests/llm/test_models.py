@@ -198,6 +198,15 @@ def test_language_ids(spark):
     assert language_ids(docs.limit(0), learned).collect() == []
 
 
+def test_url_columns_keep_what_they_hold(spark):
+    from tickwise.llm.url_filter import judge_urls
+
+    pages = spark.createDataFrame([(1, "http://a.org/x", "t", "c", "h", 5), (2, None, "u", None, None, None)], "page_id long, url string, _txt string, _act string, __H1 string, host long")
+    got = {r.page_id: r for r in judge_urls(pages, [("allow", "org", "/")]).collect()}
+    assert (got[1]["_txt"], got[1]["_act"], got[1]["__H1"], got[1].host, got[1].verdict) == ("t", "c", "h", "a.org", "allow")
+    assert (got[2]["_txt"], got[2]["_act"], got[2].host, got[2].verdict) == ("u", None, "", "allow")
+
+
 def test_counting_letters_is_cheap():
     text = "Éauxment oienai réai letreaiier aiqueelle queçier. The 12 things ½ x² of it!\n" * 4000
     took = []

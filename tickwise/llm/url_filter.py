@@ -77,12 +77,17 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     row gives one row; input columns with these names are replaced.
     """
     pages = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")])
+    # Names of the columns in between, none of which the input has.
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in pages.columns):
+        mark += "_"
+    txt, act, h1, h2 = (f"{mark}{n}" for n in ("txt", "act", "h1", "h2"))
     host, path = url_parts(F.col(url))
     judged = pages.withColumns({"host": host, "path": path})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "_act": action, "_txt": F.concat("host", "path")})
+    judged = judged.withColumns({"rule": rule, act: action, txt: F.concat("host", "path")})
 
-    texts = judged.where("_txt <> ''").groupBy("_txt").agg(F.count_if(F.col("_act") == "allow").alias("a"), F.count_if(F.col("_act") == "block").alias("r"), F.substring(F.md5("_txt"), 1, 1).isin("0", "1", "2").alias("out"))
+    texts = judged.where(F.col(txt) != "").groupBy(F.col(txt).alias("_txt")).agg(F.count_if(F.col(act) == "allow").alias("a"), F.count_if(F.col(act) == "block").alias("r"), F.substring(F.md5(txt), 1, 1).isin("0", "1", "2").alias("out"))
     padded = F.concat(F.lit(START * (ORDER - 1)), "_txt", F.lit(END))
     each = texts.select(F.xxhash64("_txt").alias("h1"), F.xxhash64(F.lit(1), "_txt").alias("h2"), "a", "r", "out", F.explode(F.transform(F.sequence(F.lit(1), F.length("_txt") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
     learned = lambda c: F.when(F.col("out"), 0).otherwise(F.col(c)).cast("long").alias(c)
@@ -100,6 +105,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     if got.ma is not None and got.mr is not None:
         spread = got.sa + got.sr
         threshold = round((got.ma * got.sr + got.mr * got.sa) / spread, 6) if spread > 0 else round((got.ma + got.mr) / 2, 6)
-    with_score = judged.withColumns({"_h1": F.xxhash64("_txt"), "_h2": F.xxhash64(F.lit(1), "_txt")}).join(scored.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "score"), ["_h1", "_h2"], "left")
-    verdict = F.coalesce("_act", F.when(F.coalesce(F.col("score"), F.lit(threshold)) >= threshold, "allow").otherwise("block"))
+    with_score = judged.withColumns({h1: F.xxhash64(txt), h2: F.xxhash64(F.lit(1), txt)}).join(scored.select(F.col("h1").alias(h1), F.col("h2").alias(h2), "score"), [h1, h2], "left")
+    verdict = F.coalesce(act, F.when(F.coalesce(F.col("score"), F.lit(threshold)) >= threshold, "allow").otherwise("block"))
     return with_score.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "score")
