@@ -70,13 +70,15 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def split_songs(rows: DataFrame, seed: int, exact: bool = False, order_by: str = "image_name") -> DataFrame:
+def split_songs(rows: DataFrame, seed: int, exact: bool = False, order_by: str = "image_name", most: int = 1_000_000) -> DataFrame:
     """MF7, MF8: rows(song, ...) plus split: a tenth of songs (one at least) for test, as many for validation, the rest train.
 
-    exact: songs in order of their first image, shuffled on the driver by a seeded generator (the
-    list of distinct songs must fit there). Otherwise songs are ordered by a hash of name and seed.
+    exact: songs in order of their first image, shuffled on the driver by a seeded generator; more than
+    `most` songs are refused there, before any reaches it. Otherwise songs are ordered by a hash of name and seed.
     """
     if exact:
+        if (n_songs := rows.select("song").distinct().count()) > most:
+            raise ValueError(f"{n_songs} songs are too many to shuffle on the driver: split them with exact=False")
         songs = [r.song for r in rows.groupBy("song").agg(F.min(order_by).alias("o")).orderBy("o", "song").collect()]
         random.Random(seed).shuffle(songs)
         n = max(1, int(len(songs) * 0.1))
