@@ -104,23 +104,35 @@ def exact_repeats(events: DataFrame) -> DataFrame:
     return groups.where("n_bars > 1").drop("pattern")
 
 
-def _near_pairs(reps: DataFrame, least: float, scope: list[str]) -> DataFrame:
+def _near_pairs(reps: DataFrame, least: float, scope: list[str], block: int | None = None) -> DataFrame:
     """reps(scope..., id, keys) -> pairs a < b with Jaccard >= least, by prefix filtering on rare tokens.
 
-    Tokens are ordered by rarity; two sets that alike share one of their first n - ceil(least n) + 1.
+    Tokens are ordered by rarity; two sets that alike share one of their first n - ceil(least n) + 1. Ids,
+    places and sizes meet by token and size; the sets themselves join the distinct pairs that are left. With
+    `block`, a token and size that more sets share are dealt as blocks against all others.
     """
-    token = reps.select(*scope, "id", "keys", F.explode("keys").alias("token"))
+    token = reps.select(*scope, "id", F.explode("keys").alias("token"))
     rarity = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = token.join(rarity, "token").groupBy(*scope, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.first("keys").alias("keys"))
+    ranked = token.join(rarity, "token").groupBy(*scope, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("t"))
     n, floor = F.size("t"), F.lit(least - 1e-9)
-    prefix = ranked.select(*scope, "id", "keys", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), (n - F.ceil(n * floor) + 1).cast("int"))["token"]).alias("at", "token"))
-    a = prefix.select(*scope, "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("keys").alias("ka"))
+    prefix = ranked.select(*scope, "id", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), (n - F.ceil(n * floor) + 1).cast("int"))).alias("at", "token"))
+    a = prefix.select(*scope, "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
     # The other side of every size that may reach the similarity: a token that many sets share is divided by size.
-    b = prefix.withColumn("na", F.explode(F.sequence(F.ceil(F.col("n") * floor).cast("int"), F.col("n")))).select(*scope, "token", "na", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("keys").alias("kb"))
-    met = a.join(b, [*scope, "token", "na"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    b = prefix.withColumn("na", F.explode(F.sequence(F.ceil(F.col("n") * floor).cast("int"), F.col("n")))).select(*scope, "token", "na", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    keys = [*scope, "token", "na"]
+    if block is not None:
+        many = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block).select(*keys, F.ceil(F.col("c") / block).cast("int").alias("parts"))
+        parts = F.coalesce("parts", F.lit(1))
+        a = a.join(many, keys, "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+        b = b.join(many, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        keys = [*keys, "part"]
+    met = a.join(b, keys).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     # At the first token in common, what both have from there on must do for the overlap.
     reach = met.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil(floor / (1 + floor) * (F.col("na") + F.col("nb"))))
-    return reach.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("ka"), F.col("kb")).alias("raw")).where(F.col("raw") >= floor).distinct()
+    pairs = reach.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = lambda c: reps.select(*scope, F.col("id").alias(c), F.col("keys").alias(f"k{c}"))
+    both = pairs.join(sets("a"), [*scope, "a"]).join(sets("b"), [*scope, "b"])
+    return both.select(*scope, "a", "b", jaccard(F.col("ka"), F.col("kb")).alias("raw")).where(F.col("raw") >= floor)
 
 
 def near_repeats(events: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -142,7 +154,7 @@ def corpus_near_patterns(events: DataFrame, threshold: float = 0.75) -> DataFram
     One row a pattern: the pairs themselves grow with the square of the patterns that share a groove.
     """
     reps = _patterns(events).groupBy("pattern").agg(F.first("keys").alias("keys")).withColumnRenamed("pattern", "id")
-    near = _near_pairs(reps, threshold - 0.005, []).withColumn("similarity", round2(F.col("raw")))
+    near = _near_pairs(reps, threshold - 0.005, [], block=1000).withColumn("similarity", round2(F.col("raw")))
     both = near.where(F.col("similarity") >= threshold).select(F.explode(F.array(F.struct(F.col("a").alias("pattern"), F.col("b").alias("other")), F.struct(F.col("b").alias("pattern"), F.col("a").alias("other")))).alias("p"), "similarity").select("p.*", "similarity")
     return both.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_near"), F.min_by("other", F.struct(-F.col("similarity"), "other")).alias("nearest"), F.max("similarity").alias("similarity"))
 

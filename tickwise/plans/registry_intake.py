@@ -13,7 +13,7 @@ from tickwise.operators import manifest as mf
 from tickwise.operators import practice as pr
 from tickwise.operators import subset as ts
 from tickwise.plans import adapters as ad
-from tickwise.plans.sql_more import PACKAGING
+from tickwise.plans.sql_more import LABELS, PACKAGING
 from tickwise.sources import intake, io, scratch
 
 QUERIES, SQL = {}, {}
@@ -209,5 +209,7 @@ def io8_write_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("song").alias("songs"), F.sum(F.size("beats")).cast("long").alias("events"))
 
 
+# A usable label has an event of each of its lineitems.
+SQL["io8_write_subset"] = f"WITH {LABELS.strip().rstrip(',')}, c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT split, count(*) AS bars, count(DISTINCT song) AS songs, CAST(sum(n) AS BIGINT) AS events FROM rs JOIN c USING (k) WHERE len(reasons) = 0 GROUP BY split"
 QUERIES |= {f.__name__: f for f in (pr3_delete_students, pr6_upsert_resets, mf11_reconciliation_report, io6_append_results, io8_write_subset)}
 QUERIES |= {"io1_read_labels": io1_read_labels, "io3_read_scores": io3_read_scores}
