@@ -60,8 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        self.by_pieces = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and told["post_processor"] is None and not told["model"].get("dropout")
+        told = lambda part: part and json.loads(part.__getstate__())
+        self.by_pieces = told(self.tokenizer.normalizer) == _NORMALIZER and told(self.tokenizer.pre_tokenizer) == _PRE_TOKENIZER and self.tokenizer.post_processor is None and not getattr(self.tokenizer.model, "dropout", None)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
