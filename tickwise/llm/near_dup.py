@@ -63,8 +63,13 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, tokens, sketch) of every row: tokens are the values that paths choose from, sketch 16 bits of all."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("tokens", pa.binary()), ("sketch", pa.binary())])
+    """(doc_id, n_shingles, set_hash, tokens, sketch, brief) of every row.
+
+    tokens are the values that paths choose from, sketch 16 bits of all values, brief their low bytes.
+    brief goes with every row of a leaf, so it is short: two unlike values agree in a byte once in 256,
+    and equal ones never differ.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), *[(c, pa.binary()) for c in ("set_hash", "tokens", "sketch", "brief")]])
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -72,10 +77,10 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             hashes = shingle_hashes(text, words, known)
             least = sketch_of(hashes)
-            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes()) if len(hashes) else (doc_id, 0, None, None, None))
+            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes(), least.astype(np.uint8).tobytes()) if len(hashes) else (doc_id, 0, None, None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary, brief binary")
 
 
 def _id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
@@ -284,8 +289,10 @@ def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, bl
     for at in range(depth):
         # Nodes that three levels did not divide below a leaf are compared as they are, if a task can hold them.
         enough = leaf if at < 3 else max(leaf, block)
-        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1 and lo <> hi").select("path", "n").coalesce(parts)
-        counted = cut(level.join(size, "path").coalesce(parts))
+        # Sizes and rows come from one exchange: it is shared where both sides of the join read the same columns, hence the ids in the sizes.
+        dealt = level.repartition("path")
+        size = dealt.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and lo <> hi and a < b").select("path", "n")
+        counted = cut(dealt.join(size.hint("merge"), "path").coalesce(parts))
         last = at == depth - 1 or (counted.agg(F.max("n")).first()[0] or 0) <= enough
         done.append((counted if last else counted.where(F.col("n") <= enough)).select(F.col("path").alias("grp"), (F.col("n") * share).alias("fill"), "id", share.alias("w")))
         if last:
@@ -327,15 +334,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     # A partition for each 200,000 paths is enough between shuffles, however many the session's default deals.
     n = keys.count()
     parts = max(1, -(-n * trees // 200_000))
-    reps = cut(sets.select(F.col("row").alias("id"), "set_hash", "n_shingles", "tokens", "sketch").join(keys.select("id", "doc"), "id"))
+    reps = cut(sets.select(F.col("row").alias("id"), "set_hash", "n_shingles", "tokens", "sketch", "brief").join(keys.select("id", "doc"), "id"))
 
     def sketches(dealt: DataFrame) -> DataFrame:
-        return dealt.join(reps.select("id", "sketch", "n_shingles"), "id")
+        return dealt.join(reps.select("id", "brief", "n_shingles"), "id")
 
     def by_sketch(batch: pa.RecordBatch) -> np.ndarray:
-        rows = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
+        rows = batch.column(batch.schema.get_field_index("brief")).to_pylist()
         sizes = batch.column(batch.schema.get_field_index("n_shingles")).to_numpy(zero_copy_only=False)
-        return _sketch_matrix(np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, SKETCH), sizes, similarity)
+        return _sketch_matrix(np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, SKETCH), sizes, similarity)
 
     nodes, _ = _leaves(reps.select("id", "tokens", F.col("id").alias("cls")), range(2), leaf, min(depth, 2), parts, block, False)
     quick = _blocked(nodes, sketches, by_sketch, parts, exhaustive=False)
