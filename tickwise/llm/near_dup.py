@@ -63,13 +63,8 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, tokens, sketch, brief) of every row.
-
-    tokens are the values that paths choose from, sketch 16 bits of all values, brief their low bytes.
-    brief goes with every row of a leaf, so it is short: two unlike values agree in a byte once in 256,
-    and equal ones never differ.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), *[(c, pa.binary()) for c in ("set_hash", "tokens", "sketch", "brief")]])
+    """(doc_id, n_shingles, set_hash, tokens, sketch) of every row: tokens are the values that paths choose from, sketch 16 bits of all."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), *[(c, pa.binary()) for c in ("set_hash", "tokens", "sketch")]])
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -77,10 +72,10 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             hashes = shingle_hashes(text, words, known)
             least = sketch_of(hashes)
-            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes(), least.astype(np.uint8).tobytes()) if len(hashes) else (doc_id, 0, None, None, None, None))
+            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes()) if len(hashes) else (doc_id, 0, None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary, brief binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary")
 
 
 def _id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
@@ -334,10 +329,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     # A partition for each 200,000 paths is enough between shuffles, however many the session's default deals.
     n = keys.count()
     parts = max(1, -(-n * trees // 200_000))
-    reps = cut(sets.select(F.col("row").alias("id"), "set_hash", "n_shingles", "tokens", "sketch", "brief").join(keys.select("id", "doc"), "id"))
+    reps = cut(sets.select(F.col("row").alias("id"), "set_hash", "n_shingles", "tokens", "sketch").join(keys.select("id", "doc"), "id"))
 
     def sketches(dealt: DataFrame) -> DataFrame:
-        return dealt.join(reps.select("id", "brief", "n_shingles"), "id")
+        # The low byte of each value goes with every row of a leaf: unlike values agree in it once in 256, equal ones never differ.
+        brief = F.concat(*[F.substring("sketch", i * 2 + 1, 1) for i in range(SKETCH)])
+        return dealt.join(reps.select("id", brief.alias("brief"), "n_shingles"), "id")
 
     def by_sketch(batch: pa.RecordBatch) -> np.ndarray:
         rows = batch.column(batch.schema.get_field_index("brief")).to_pylist()
