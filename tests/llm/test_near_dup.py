@@ -2,6 +2,7 @@ import json
 import random
 import uuid
 
+from tickwise.llm import common
 from tickwise.llm.components import connected_components
 from tickwise.llm.near_dup import _blocked, near_duplicates, shingle_hashes, sketch_of
 
@@ -167,6 +168,22 @@ def test_nulls_empty_copies_and_clashing_columns(spark):
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
 
 
+def test_only_sets_of_large_groups_are_kept(spark, tmp_path, monkeypatch):
+    """Sets go from the texts to their groups once; a table holds those of groups over a block alone, for the rounds after."""
+    rows = [(2 * p + side, " ".join(f"p{p}x{i}" for i in range(30 + side))) for p in range(20) for side in (0, 1)]
+    rows += [(1000 + i, " ".join([f"g{j}" for j in range(60)] + [f"own{i}"])) for i in range(12)]
+    held = {}
+    for block in (256, 8):
+        folder = tmp_path / str(block)
+        monkeypatch.setattr(common, "shared_dir", lambda _, at=folder: str(at))
+        got = run(spark, rows, words=2, set_block=block)
+        assert {r.doc_id: r.component_id for r in got} == brute(rows, 2, 80)
+        tables = [spark.read.parquet(str(t)) for t in folder.glob("cut-*") if list(t.glob("part-*"))]
+        assert len(tables) > 5
+        held[block] = sum(t.count() for t in tables if "members" in t.columns)
+    assert held == {256: 0, 8: 12}
+
+
 def test_no_rows(spark):
     assert run(spark, [], words=5) == []
 

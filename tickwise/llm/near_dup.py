@@ -18,6 +18,7 @@ costs rows in proportion to n.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -63,7 +64,7 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, tokens, sketch) of every row: tokens are the values that paths choose from, sketch 16 bits of all."""
+    """(doc_id, n_shingles, set_hash, tokens, sketch) of every row: tokens are the values that paths choose from, sketch 16 bits of each of the others."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), *[(c, pa.binary()) for c in ("set_hash", "tokens", "sketch")]])
     known: dict[bytes, int] = {}
 
@@ -72,35 +73,45 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             hashes = shingle_hashes(text, words, known)
             least = sketch_of(hashes)
-            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least.astype(np.uint16).tobytes()) if len(hashes) else (doc_id, 0, None, None, None))
+            rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), least[:TOKENS].tobytes(), least[TOKENS:].astype(np.uint16).tobytes()) if len(hashes) else (doc_id, 0, None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hash binary, tokens binary, sketch binary")
 
 
+def _value(i: int, size: int) -> Column:
+    """The low 1 or 2 bytes of a document's i-th minwise value."""
+    return F.substring("tokens", i * 4 + 1, size) if i < TOKENS else F.substring("sketch", (i - TOKENS) * 2 + 1, size)
+
+
 def _id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """One-hash Bloom filter of ids(doc): 16 bits for each, 16 MB at most. It only spares work: an exact join follows."""
+    """Bloom filter of ids(doc), two hashes: 16 bits for each, 16 MB at most. It only spares work: an exact join follows."""
     bits = 1 << 16
     want = 16 * ids.count()
     while bits < min(want, most_bits):
         bits *= 2
-    at = F.xxhash64(F.lit(5), "doc").bitwiseAND(bits - 1)
-    found = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(5, doc) & 63 as int))")).alias("bits")).toArrow()
+    hashed = ids.select(F.xxhash64(F.lit(5), "doc").alias("h")).select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h"))
+    at = hashed.select(F.col("h").bitwiseAND(bits - 1).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(bits // 64, dtype=np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words, bits
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, members): the full shingle sets of ids(id, doc, set_hash), made from the texts once more."""
+    """(doc, set_hash, members): the full shingle sets of ids(doc, set_hash) and of few others, made from the texts once more.
+
+    Dealt by doc and set_hash, so that a join by these moves no set again.
+    """
     table, bits = _id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("doc", pa.int64()), ("set_hash", pa.binary()), ("members", pa.binary())])
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        at = batch.column(1).to_numpy() & (bits - 1)
-        hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
+        h = batch.column(1).to_numpy()
+        one, two = h & (bits - 1), (h >> 32) & (bits - 1)
+        hit = np.flatnonzero((shared.value[one >> 6] >> (one & 63)) & (shared.value[two >> 6] >> (two & 63)) & 1)
         if not len(hit):
             return None
         part = batch.take(pa.array(hit))
@@ -110,7 +121,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     asked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text").select("doc", F.xxhash64(F.lit(5), "doc").alias("h"), "text")
     made = map_batches(asked, run, "doc long, set_hash binary, members binary").where("length(members) > 0")
     # Rows that repeat a document and its text give one set.
-    return cut(made.dropDuplicates(["doc", "set_hash"]).join(ids, ["doc", "set_hash"]).select("id", "members"))
+    return made.dropDuplicates(["doc", "set_hash"])
 
 
 def _classes(near: np.ndarray) -> np.ndarray:
@@ -215,7 +226,7 @@ def _by_class(members: DataFrame, few: str) -> DataFrame:
     return checked_broadcast(largest.withColumn("few", F.expr(few)))
 
 
-def _blocked(members: DataFrame, payload, near_of, parts: int | None, *, more: DataFrame | None = None, reps: DataFrame | None = None, levels: int = 0, exhaustive: bool = True) -> DataFrame:
+def _blocked(members: DataFrame, payload, near_of, parts: int | None, *, more: DataFrame | None = None, reps: DataFrame | None = None, levels: int = 0, exhaustive: bool = True, later: Callable | None = None) -> DataFrame:
     """Links (a, b) that span the classes of each group of members(grp, fill, id, w); w is a member's share of a block, fill the sum of a group's.
 
     Groups that fill no more than one block are compared whole. Larger ones go to blocks by hash, each with
@@ -223,7 +234,8 @@ def _blocked(members: DataFrame, payload, near_of, parts: int | None, *, more: D
     by pairs of blocks: two members of different classes meet for certain, no task holds more than two
     blocks, and rows stay in proportion to members. If many, the group branches (`_children`), up to
     `levels` times, and only what still has many outsiders then is met by pairs all the same.
-    `more` are rows dealt already, compared along with the first round.
+    `more` are rows dealt already, compared along with the first round. `later`, of the members of large
+    groups, gives the payload of the rounds after it.
     """
     links = None
     for at in range(levels + 1):
@@ -233,6 +245,8 @@ def _blocked(members: DataFrame, payload, near_of, parts: int | None, *, more: D
         large = members.where("fill > 1")
         if not exhaustive or large.isEmpty():
             break
+        if later is not None:
+            payload, later = later(large), None
         # The first link of a member names its class; anchors come first, so the blocks of a large class agree on the name.
         first = found.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("cls"))
         marked = cut(large.select("grp", "id", "w").join(first, ["grp", "id"], "left").withColumn("cls", F.coalesce("cls", "id")))
@@ -270,7 +284,7 @@ def _children(many: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, core
 
 
-def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, block: int, split: bool) -> tuple[DataFrame, DataFrame | None]:
+def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, block: int, split: bool, few_rows: int = 500_000) -> tuple[DataFrame, DataFrame | None]:
     """Over all trees, of reps(id, cls, tokens): nodes to compare as (grp, fill, id, w), and nodes of few outsiders as `_by_pairs` takes them.
 
     A root branches by two tokens, each node below by one, and one in four of them by a second one: a pair
@@ -301,6 +315,8 @@ def _leaves(reps: DataFrame, trees: range, leaf: int, depth: int, parts: int, bl
         ways = [F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(TOKENS // 2)).cast("int") * 2 + b for b in range(2)]
         second = F.lit(at == 0) | (F.pmod(F.xxhash64(F.lit(2), "path"), F.lit(4)) == 0)
         nodes = F.array(F.xxhash64("path", ways[0], token(ways[0])), F.when(second, F.xxhash64("path", ways[1], token(ways[1]))))
+        # The tokens of all documents stay where they are if few rows go on.
+        grown = F.broadcast(grown) if grown.count() <= few_rows else grown
         level = grown.join(reps.select("id", "tokens"), "id").coalesce(parts).select("id", "cls", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("path"))
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, pairs) if pairs else None
 
@@ -333,7 +349,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
 
     def sketches(dealt: DataFrame) -> DataFrame:
         # The low byte of each value goes with every row of a leaf: unlike values agree in it once in 256, equal ones never differ.
-        brief = F.concat(*[F.substring("sketch", i * 2 + 1, 1) for i in range(SKETCH)])
+        brief = F.concat(*[_value(i, 1) for i in range(SKETCH)])
         return dealt.join(reps.select("id", brief.alias("brief"), "n_shingles"), "id")
 
     def by_sketch(batch: pa.RecordBatch) -> np.ndarray:
@@ -343,7 +359,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
 
     nodes, _ = _leaves(reps.select("id", "tokens", F.col("id").alias("cls")), range(2), leaf, min(depth, 2), parts, block, False)
     quick = _blocked(nodes, sketches, by_sketch, parts, exhaustive=False)
-    known = connected_components(quick).select(F.col("node").alias("id"), F.col("component").alias("cls"))
+    known = checked_broadcast(connected_components(quick).select(F.col("node").alias("id"), F.col("component").alias("cls")))
     classed = cut(reps.select("id", "tokens").join(known, "id", "left").withColumn("cls", F.coalesce("cls", "id")))
     nodes, pairs = _leaves(classed, range(2, 2 + trees), leaf, depth, parts, block, True)
     links = quick.unionByName(_blocked(nodes, sketches, by_sketch, parts, more=None if pairs is None else _by_pairs(pairs)))
@@ -356,12 +372,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     weighed = cut(candidates.join(reps.select("id", "doc", "set_hash", "n_shingles"), "id").withColumn("w", F.lit(1.0 / set_block) + F.col("n_shingles") / F.lit(float(block_shingles))))
     large = checked_broadcast(weighed.groupBy("grp").agg(F.sum("w").alias("fill")).where("fill > 1"))
     grouped = cut(weighed.select("grp", "id", "w").join(large, "grp", "left").withColumn("fill", F.coalesce("fill", F.lit(1.0))))
-    found_sets = _sets_of(docs, weighed.select("id", "doc", "set_hash"), words)
+    named_sets = weighed.select("id", "doc", "set_hash")
 
     def full_sets(dealt: DataFrame) -> DataFrame:
-        return dealt.join(found_sets, "id")
+        return dealt.join(named_sets, "id").join(_sets_of(docs, named_sets, words), ["doc", "set_hash"])
+
+    def kept_sets(large: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Rounds after the first concern large groups only: their sets are made once more and kept."""
+        ids = cut(named_sets.join(large.select("id"), "id", "left_semi"))
+        held = cut(ids.join(_sets_of(docs, ids, words), ["doc", "set_hash"]).select("id", "members"))
+        return lambda dealt: dealt.join(held, "id")
 
-    confirmed = _blocked(grouped, full_sets, by_set, None, reps=reps, levels=12)
+    whole = reps.select("id", F.concat(*[_value(i, 2) for i in range(SKETCH)]).alias("sketch"))
+    confirmed = _blocked(grouped, full_sets, by_set, None, reps=whole, levels=12, later=kept_sets)
     named = reps.select("id", "doc")
     by_doc = confirmed.join(named.select(F.col("id").alias("a"), F.col("doc").alias("da")), "a").join(named.select(F.col("id").alias("b"), F.col("doc").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     # A doc_id of several texts joins what each of them links to.
