@@ -87,3 +87,19 @@ def test_word_hashes_know_words_not_places():
     _, _, one = hashed_words(b"ab ba ab \xff aab b")
     assert one[0] == one[2] and len(set(one.tolist())) == 4
     assert len(hashed_words(b" \xff ")[2]) == 0 and np.array_equal(hashed_words(b"xyz ab")[2][1:], one[:1])
+
+
+def test_few_phrases_pass_that_are_not_frequent(spark):
+    """The filter lets less than 1 % of others through, and a phrase that is often enough in one shard only goes no further."""
+    keys = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 2 << 16)
+    bits = phrases.bits_of(spark.createDataFrame([(int(k),) for k in keys[: 1 << 16]], "key long"))
+    assert bits.has(keys[: 1 << 16].view(np.uint64)).all()
+    assert bits.has(keys[1 << 16 :].view(np.uint64)).mean() < 0.01
+    # Shards of 20 at least, and counts above 19 that must come to 5: 24 in one shard could be frequent, 23 could not.
+    texts = {1: "a b," * 24 + "c d," * 23 + "e f," * 21 + "g h," * 19, 2: "e f," * 22 + "g h," * 19}
+    docs = spark.createDataFrame([("en", share, text) for share, text in texts.items()], "lang string, share long, text string")
+    lowered = spark.createDataFrame([(1, 20, 5), (2, 20, 5)], "share long, least long, need long")
+    words = phrases.bits_of(phrases.word_keys(spark.createDataFrame([("en", w) for w in "abcdefgh"], "lang string, word string")))
+    _, _, hashes = hashed_words(b"a b c d e f g h")
+    named = dict(zip(phrases.mix64(phrase_hashes(hashes, 2) + phrases.salt_of("en")).view(np.int64).tolist(), ["a b", "b c", "c d", "d e", "e f", "f g", "g h"], strict=True))
+    assert sorted(named[r.key] for r in phrases._mined(docs, (2,), 1, words, lowered).collect()) == ["a b", "e f"]

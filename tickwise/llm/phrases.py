@@ -7,7 +7,7 @@ of these candidates are counted over all documents.
 
 Shards are a fixed number of parts by a hash of doc_id: the lowered support must not fall to one as the
 corpus grows, as it would with a shard a task. A shard therefore spans many tasks; its counts are summed by
-a shuffle of 64-bit hashes. Candidates travel to the tasks as a bitmap of bounded size; a wrong bit costs
+a shuffle of 64-bit hashes. Candidates travel to the tasks as a Bloom filter of bounded size; a wrong bit costs
 one more phrase in the exact count, which is made of the phrases' words, and loses none.
 """
 
@@ -73,19 +73,28 @@ def phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+PROBES = 3
+
+
 class Bits:
-    """A set of hashes as one bit each: every member is found, others rarely."""
+    """A Bloom filter: PROBES bits for each hash; every member is found, others rarely."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        found = np.zeros(len(keys), bool)
+        rows, at, step = np.arange(len(keys)), keys & self.mask, (keys >> np.uint64(32) | np.uint64(1)) & self.mask
+        for _ in range(PROBES):
+            hit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            rows, step = rows[hit], step[hit]
+            at = (at[hit] + step) & self.mask
+        found[rows] = True
+        return found
 
 
 def bits_of(keys: DataFrame, most: int = 1 << 30) -> Bits:
-    """The bitmap of keys(key long): 16 bits a row, a power of two, and no more than `most` bits (128 MB)."""
+    """The filter of keys(key long): 16 bits a row, a power of two, and no more than `most` bits (128 MB)."""
     keys = cut(keys)
     size = 1 << max(20, min(most.bit_length() - 1, (16 * keys.count() - 1).bit_length()))
     part = 1 << 18
@@ -96,7 +105,10 @@ def bits_of(keys: DataFrame, most: int = 1 << 30) -> Bits:
         got[at] = True
         return {"part": [group.column(0)[0].as_py()], "bits": [np.packbits(got, bitorder="little").tobytes()]}
 
-    dealt = keys.select(F.floor(F.col("key").bitwiseAND(size - 1) / part).alias("part"), F.col("key").bitwiseAND(size - 1).alias("at")).distinct()
+    # Masked before they are added, so that no sum leaves 64 bits.
+    step = F.shiftrightunsigned("key", 32).bitwiseOR(1).bitwiseAND(size - 1)
+    probes = keys.select(F.explode(F.array(*[(F.col("key").bitwiseAND(size - 1) + step * i).bitwiseAND(size - 1) for i in range(PROBES)])).alias("at"))
+    dealt = probes.select(F.floor(F.col("at") / part).alias("part"), "at").distinct()
     bits = np.zeros(size // 8, np.uint8)
     # The parts are bounded by the bitmap's size, however many keys there are.
     for row in map_groups(dealt, ["part"], fill, pa.schema([("part", pa.int64()), ("bits", pa.binary())]), "part long, bits binary").collect():
@@ -181,15 +193,17 @@ def word_keys(words: DataFrame) -> DataFrame:
     return words.select("lang", "word").mapInArrow(run, "key long")
 
 
-def _mined(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: Bits) -> DataFrame:
-    """Keys of the phrases of these sizes that a shard has often enough; docs(lang, shard, least, text).
+def _mined(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: Bits, lowered: DataFrame) -> DataFrame:
+    """Keys of the phrases of these sizes that a shard has often enough; docs(lang, share, text), lowered(share, least, need).
 
-    A phrase counts only where all its parts of `known` words are in the bitmap.
+    A phrase counts only where all its parts of `known` words are in the bitmap. Shards that do not have it
+    often enough have it least - 1 times at most: where even that, with the others' counts, stays below
+    the support, it is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def mine(key: tuple, part: bytes, limit: int) -> dict | None:
-        lang, shard, least = key
+        lang, share = key
         starts, pieces, words = hashed_words(part)
         salt = salt_of(lang)
         good = shared.value.has(mix64(phrase_hashes(words, known) + salt))
@@ -207,12 +221,12 @@ def _mined(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: Bits) -> D
         if not found:
             return None
         keys = np.concatenate(found)
-        return {"shard": np.full(len(keys), shard, np.int32), "key": keys, "least": np.full(len(keys), least, np.int64), "n": np.concatenate(counts)}
+        return {"share": np.full(len(keys), share, np.int64), "key": keys, "n": np.concatenate(counts)}
 
-    schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("least", pa.int64()), ("n", pa.int64())])
-    rows = _mapped(docs, ("lang", "shard", "least"), _PIECES, mine, schema, "shard int, key long, least long, n long")
-    often = rows.groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
-    return often.select("key")
+    schema = pa.schema([("share", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    rows = _mapped(docs, ("lang", "share"), _PIECES, mine, schema, "share long, key long, n long")
+    often = rows.groupBy("share", "key").agg(F.sum("n").alias("n")).join(lowered, "share").where("n >= least")
+    return often.groupBy("key").agg(F.sum(F.col("n") - F.col("least") + 1).alias("over"), F.min("need").alias("need")).where("over >= need").select("key")
 
 
 def _counted_phrases(docs: DataFrame, pairs: Bits, longer: Bits) -> DataFrame:
@@ -264,10 +278,13 @@ def frequent_phrases(docs: DataFrame, *, support: int = 100, shards: int = 5) ->
     words = cut(counted.where(F.col("word").isNotNull() & (F.col("n") >= support)).select("lang", "word", "n"))
     # The lowered support of a shard, rounded up: support * words of the shard / words of the language.
     least = F.expr(f"(part * {int(support)} + n - 1) div n")
-    lowered = checked_broadcast(parts.withColumnRenamed("n", "part").join(totals, "lang").where("part > 0").select("lang", "shard", F.greatest(F.lit(1), least).alias("least")))
-    dealt = docs.join(lowered, ["lang", "shard"])
-    pairs = bits_of(_mined(dealt, (2,), 1, bits_of(word_keys(words))))
-    longer = bits_of(_mined(dealt, tuple(range(3, LONGEST + 1)), 2, pairs))
+    shares = cut(parts.withColumnRenamed("n", "part").join(totals, "lang").where("part > 0").select("lang", "shard", F.xxhash64("lang", "shard").alias("share"), F.greatest(F.lit(1), least).alias("least")))
+    # What a phrase's counts above least - 1 must come to over its shards.
+    needed = shares.groupBy("lang").agg((F.lit(int(support)) - F.sum(F.col("least") - 1)).alias("need"))
+    lowered = checked_broadcast(shares.join(needed, "lang").select("share", "least", "need"))
+    dealt = docs.join(checked_broadcast(shares.select("lang", "shard", "share")), ["lang", "shard"])
+    pairs = bits_of(_mined(dealt, (2,), 1, bits_of(word_keys(words)), lowered))
+    longer = bits_of(_mined(dealt, tuple(range(3, LONGEST + 1)), 2, pairs, lowered))
     phrases = cut(_counted_phrases(docs.select("lang", "text"), pairs, longer).where(F.col("a") >= support).withColumn("size", F.size(F.split("phrase", " "))))
     return words, phrases, totals
 
