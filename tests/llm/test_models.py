@@ -342,3 +342,19 @@ def test_folds_follow_the_crc(spark):
     ids = [0, 1, 2, 3, 10, 12345]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", entry.bucket_of("doc_id", 5).alias("b")).collect()
     assert {r.doc_id: r.b for r in got} == {i: zlib.crc32(str(i).encode()) % 5 for i in ids}
+
+
+def test_pooling_holds_small_blocks_of_short_texts():
+    """Vectors of a few texts at a time, whatever their number; sums are those of each text alone, to the bit."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    table = r.normal(size=(ROWS, DIM)).astype(np.float32)
+    rows = [r.integers(0, ROWS, (int(n), 2)) for n in [0, 1, 5000, *r.integers(0, 400, 300)]]
+    alone = np.concatenate([pool([x], table) for x in rows])
+    tracemalloc.start()
+    together = pool(rows, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(together, alone)
+    assert peak < 12 << 20

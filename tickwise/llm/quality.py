@@ -26,7 +26,8 @@ from tickwise.llm.common import map_batches, mix64, one_text_each, texts_of, wit
 WORD_ROWS, SHAPE_ROWS, DIM = 8192, 256, 64
 ROWS = WORD_ROWS + SHAPE_ROWS
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-_PIECE = 32_768  # tokens handled at once
+_PIECE = 32_768  # tokens of a text summed in one go
+_BLOCK = 2048  # tokens of short texts handled at once: their vectors stay in the processor's cache
 
 
 def _shape(token: str) -> str:
@@ -80,12 +81,10 @@ def context_sums(docs: DataFrame) -> DataFrame:
             one, two = flat[:-1], flat[1:]
             inside = (one[:, 0] >= 0) & (two[:, 0] >= 0)
             one, two = one[inside], two[inside]
-            for a, b in ((one, two), (two, one)):
-                for context in (b[:, 0], b[:, 1]):
-                    at, weight = place[context], sign[context]
-                    for target in (a[:, 0], a[:, 1]):
-                        # Sums of +1 and -1: whole numbers, exact in doubles.
-                        total[:] += np.bincount(target * DIM + at, weights=weight, minlength=ROWS * DIM).astype(np.int64)
+            # Sums of +1 and -1: whole numbers, exact in doubles. One count over all pairs of rows makes one table of sums.
+            pairs = [(a[:, i], b[:, j]) for a, b in ((one, two), (two, one)) for i in range(2) for j in range(2)]
+            at = np.concatenate([target * DIM + place[context] for target, context in pairs])
+            total[:] += np.bincount(at, weights=np.concatenate([sign[context] for _, context in pairs]), minlength=ROWS * DIM).astype(np.int64)
 
         for batch in batches:
             for text in texts_of(batch):
@@ -126,7 +125,7 @@ def pool(token_rows: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     begin = 0
     while begin < len(pieces):
         end, n = begin, 0
-        while end < len(pieces) and (n == 0 or n + len(pieces[end][1]) <= _PIECE):
+        while end < len(pieces) and (n == 0 or n + len(pieces[end][1]) <= _BLOCK):
             n += len(pieces[end][1])
             end += 1
         sizes = np.array([len(p) for _, p in pieces[begin:end]])
