@@ -249,6 +249,33 @@ def test_every_tokenizer_equals_the_library(name):
     assert made.count(texts) == [len(x) - 1 for x in want]
 
 
+def test_pieces_are_learnt_by_words_where_each_is_one():
+    """Places of tokens, which are slow to take, are asked for only where a piece holds characters of another kind."""
+    import public_tokenizers
+
+    made = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    library, asked = made.tokenizer, []
+
+    class Told:
+        def __init__(self, got):
+            self.ids, self.words, self.got = got.ids, got.words, got
+
+        @property
+        def offsets(self):
+            asked.append(1)
+            return self.got.offsets
+
+    class Library:
+        def encode(self, text, **kw):
+            return Told(library.encode(text, **kw))
+
+    made.tokenizer = Library()
+    for text, times in (("It's 12 o'clock, déjà (vu)... x_y", 0), ("e\u0301 中文. \x85 x", 1)):
+        (got,) = made.encode([text], 1)
+        assert np.frombuffer(got, dtype=made.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert len(asked) == times
+
+
 def test_token_files_round_trip(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

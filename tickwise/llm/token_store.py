@@ -68,16 +68,21 @@ class Encoder:
         self.most = most
 
     def _learn(self, new: list[bytes]) -> None:
-        """Ids of new pieces: one text of many, taken apart by the places of its tokens."""
+        """Ids of new pieces: one text of many, taken apart by its words, or by the places of its tokens where a piece may be several words."""
         size = np.dtype(self.dtype).itemsize
-        for begin in range(0, len(new), 20_000):
-            part = [w.decode() for w in new[begin : begin + 20_000]]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owner = np.searchsorted(starts, np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right") - 1
-            edges = (np.searchsorted(owner, np.arange(len(part) + 1)) * size).tolist()
-            raw = np.array(got.ids, dtype=self.dtype).tobytes()
-            self.known.update(zip(new[begin : begin + 20_000], [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
+        other = [w for w in new if _OTHER.search(w)]
+        for pieces, places in ([w for w in new if not _OTHER.search(w)] if other else new, False), (other, True):
+            for begin in range(0, len(pieces), 20_000):
+                part = pieces[begin : begin + 20_000]
+                got = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+                if places:
+                    starts = np.cumsum([0, *(len(w.decode()) + 1 for w in part[:-1])])
+                    owner = np.searchsorted(starts, np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right") - 1
+                else:
+                    owner = np.array(got.words, dtype=np.int64)
+                edges = (np.searchsorted(owner, np.arange(len(part) + 1)) * size).tolist()
+                raw = np.array(got.ids, dtype=self.dtype).tobytes()
+                self.known.update(zip(part, [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
 
     def _pieces(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8")
