@@ -103,3 +103,46 @@ def test_few_phrases_pass_that_are_not_frequent(spark):
     _, _, hashes = hashed_words(b"a b c d e f g h")
     named = dict(zip(phrases.mix64(phrase_hashes(hashes, 2) + phrases.salt_of("en")).view(np.int64).tolist(), ["a b", "b c", "c d", "d e", "e f", "f g", "g h"], strict=True))
     assert sorted(named[r.key] for r in phrases._mined(docs, (2,), 1, words, lowered).collect()) == ["a b", "e f"]
+
+
+def rows_of_python(plan):
+    """Rows that the MapInArrow nodes of an executed plan handed to Spark."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return rows_of_python(plan.finalPhysicalPlan())
+    if name.endswith("QueryStageExec"):
+        return rows_of_python(plan.plan())
+    children = plan.children()
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if name == "MapInArrowExec" else 0
+    return own + sum(rows_of_python(children.apply(i)) for i in range(children.size()))
+
+
+def test_a_phrase_has_a_row_a_task_not_a_part(spark):
+    """Twelve splits of two parts each: the exact count hands on each phrase once for each of four tasks at most."""
+    text = "a b. c d. " * ((phrases.SLICE + phrases.SLICE // 2) // 10)
+    docs = spark.range(12, numPartitions=12).selectExpr("'en' as lang", f"'{text}' as text")
+    words = spark.createDataFrame([("en", "a"), ("en", "b"), ("en", "c"), ("en", "d")], "lang string, word string")
+    _, _, hashes = hashed_words(b"a b c d")
+    keys = phrases.mix64(phrase_hashes(hashes, 2) + phrases.salt_of("en")).view(np.int64).tolist()
+    pairs = phrases.bits_of(spark.createDataFrame([(keys[0],), (keys[2],)], "key long"))
+    counted = phrases._counted_phrases(docs, pairs, phrases.bits_of(phrases.word_keys(words)))
+    assert sorted(tuple(r) for r in counted.collect()) == [("en", "a b", 12 * text.count("a b")), ("en", "c d", 12 * text.count("c d"))]
+    assert rows_of_python(counted._jdf.queryExecution().executedPlan()) <= 4 * 2
+
+
+@pytest.mark.parametrize("held", [1, 60, 1 << 20])
+def test_sums_of_a_task_are_whole_however_little_is_held(held):
+    r = random.Random(3)
+    rows = [[(r.choice(["en", "de", ""]), r.choice(["a b", "é b", "a b c", "x" * 40 + " y"]), r.randrange(1, 9)) for _ in range(r.randrange(0, 7))] for _ in range(40)]
+    schema = phrases.pa.schema([("lang", "string"), ("phrase", "string"), ("n", "int64")])
+    batches = [phrases.pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in b], schema=schema) for b in rows]
+    out = list(phrases.summed(batches, held))
+    got, want = Counter(), Counter()
+    for b in out:
+        assert b.schema == schema
+        for x in b.to_pylist():
+            got[x["lang"], x["phrase"]] += x["n"]
+    for lang, phrase, n in sum(rows, []):
+        want[lang, phrase] += n
+    assert got == want and list(phrases.summed([], held)) == []
+    assert held < 1 << 20 or sum(b.num_rows for b in out) == len(want)

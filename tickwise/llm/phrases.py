@@ -35,6 +35,10 @@ _WORDS = bytes.maketrans(_UPPER + b"\t.,;:!?\n\v\f\r" + bytes([_END]), _UPPER.lo
 _AHEAD = re.compile(rb"(?:[ \xff]*[^ \xff]+){0,%d}" % (LONGEST - 1))
 _GAP = re.compile(rb"[ \xff]")
 SLICE = 1 << 21
+# Of the exact count: bytes of a part (smaller, as a task holds its sums as well), bytes of sums that a task holds, and words that it reads, about.
+COUNTED = 1 << 19
+HELD = 1 << 25
+TASK_WORDS = 1 << 28
 _FACTOR, _INVERSE = np.uint64(0x9E3779B97F4A7C13), np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _powers: list[np.ndarray] = []
@@ -116,11 +120,11 @@ def bits_of(keys: DataFrame, most: int = 1 << 30) -> Bits:
     return Bits(bits)
 
 
-def slices(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """(part, limit) of translated text: parts of about SLICE bytes that end at a gap, with the words that a phrase begun before limit may need."""
-    begin = 0
-    while len(data) - begin > SLICE:
-        gap = _GAP.search(data, begin + SLICE)
+def slices(data: bytes, size: int | None = None) -> Iterator[tuple[bytes, int]]:
+    """(part, limit) of translated text: parts of about `size` bytes (unset: SLICE) that end at a gap, with the words that a phrase begun before limit may need."""
+    begin, size = 0, size or SLICE
+    while len(data) - begin > size:
+        gap = _GAP.search(data, begin + size)
         if gap is None:
             break
         yield data[begin : _AHEAD.match(data, gap.start()).end()], gap.start() - begin
@@ -128,14 +132,14 @@ def slices(data: bytes) -> Iterator[tuple[bytes, int]]:
     yield data[begin:], len(data) - begin
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], table: bytes) -> Iterator[tuple[tuple, bytes, int]]:
+def _chunks(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], table: bytes, size: int) -> Iterator[tuple[tuple, bytes, int]]:
     """(key, part, limit): the texts of a task by their keys, joined to parts of bounded size; null texts are left out."""
     held: dict[tuple, list[bytes]] = {}
     sizes: Counter = Counter()
 
     def flush(key: tuple) -> Iterator[tuple[tuple, bytes, int]]:
         del sizes[key]
-        for part, limit in slices(bytes([_END]).join(held.pop(key)).translate(table)):
+        for part, limit in slices(bytes([_END]).join(held.pop(key)).translate(table), size):
             yield key, part, limit
 
     for batch in batches:
@@ -146,22 +150,26 @@ def _chunks(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], table: byt
             if text:
                 held.setdefault(key, []).append(text)
                 sizes[key] += len(text)
-                if sizes[key] >= SLICE:
+                if sizes[key] >= size:
                     yield from flush(key)
-        if sum(sizes.values()) >= 8 * SLICE or len(held) > 1000:
+        if sum(sizes.values()) >= 8 * size or len(held) > 1000:
             for key in list(held):
                 yield from flush(key)
+        del batch, columns, texts  # before the next one is read
     for key in list(held):
         yield from flush(key)
 
 
-def _mapped(df: DataFrame, keys: tuple[str, ...], table: bytes, fn: Callable[[tuple, bytes, int], dict | None], schema: pa.Schema, ddl: str) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, limit in _chunks(batches, keys, table):
+def _mapped(df: DataFrame, keys: tuple[str, ...], table: bytes, fn: Callable[[tuple, bytes, int], dict | None], schema: pa.Schema, ddl: str, size: int = SLICE, together: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, limit in _chunks(batches, keys, table, size):
             got = fn(key, part, limit)
             if got is not None and len(got[schema.names[0]]):
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in schema], schema=schema)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(made(batches))
+
     return df.mapInArrow(run, ddl)
 
 
@@ -229,8 +237,37 @@ def _mined(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: Bits, lowe
     return often.groupBy("key").agg(F.sum(F.col("n") - F.col("least") + 1).alias("over"), F.min("need").alias("need")).where("over >= need").select("key")
 
 
-def _counted_phrases(docs: DataFrame, pairs: Bits, longer: Bits) -> DataFrame:
-    """(lang, phrase, a): exact occurrences of every candidate, and of the few others whose bit is set."""
+def summed(batches: Iterable[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Batches (lang, phrase, n), with the counts of a phrase added up; whenever the sums come to `held` bytes they are handed on."""
+    waiting: list[pa.RecordBatch] = []
+    size = known = 0
+
+    def sums() -> pa.Table:
+        got = pa.Table.from_batches(waiting).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"lang": got["lang"], "phrase": got["phrase"], "n": got["n_sum"]})
+
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        # Added up when as much is new as is known, so that no row is taken often.
+        if size >= 2 * known + held // 8:
+            waiting = sums().to_batches()
+            size = known = sum(x.nbytes for x in waiting)
+            if known >= held:
+                yield from pa.Table.from_batches(waiting).to_batches(max_chunksize=1 << 16)
+                waiting, size, known = [], 0, 0
+    if waiting:
+        yield from sums().to_batches(max_chunksize=1 << 16)
+
+
+def _counted_phrases(docs: DataFrame, pairs: Bits, longer: Bits, tasks: int | None = None) -> DataFrame:
+    """(lang, phrase, a): exact occurrences of every candidate, and of the few others whose bit is set.
+
+    A phrase has a row for each task, not for each part of its text: phrases and parts both grow with the
+    input, and rows as their product. So a task adds up its parts, and there are `tasks` of them at most
+    (unset: as many as cores), each of many splits.
+    """
+    docs = docs.coalesce(tasks or docs.sparkSession.sparkContext.defaultParallelism)
     shared = docs.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def count(key: tuple, part: bytes, limit: int) -> dict | None:
@@ -261,7 +298,7 @@ def _counted_phrases(docs: DataFrame, pairs: Bits, longer: Bits) -> DataFrame:
         return {"lang": [lang] * len(phrases), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": np.concatenate(counts)}
 
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-    rows = _mapped(docs, ("lang",), _PIECES, count, schema, "lang string, phrase string, n long")
+    rows = _mapped(docs, ("lang",), _PIECES, count, schema, "lang string, phrase string, n long", COUNTED, summed)
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
@@ -285,7 +322,8 @@ def frequent_phrases(docs: DataFrame, *, support: int = 100, shards: int = 5) ->
     dealt = docs.join(checked_broadcast(shares.select("lang", "shard", "share")), ["lang", "shard"])
     pairs = bits_of(_mined(dealt, (2,), 1, bits_of(word_keys(words)), lowered))
     longer = bits_of(_mined(dealt, tuple(range(3, LONGEST + 1)), 2, pairs, lowered))
-    phrases = cut(_counted_phrases(docs.select("lang", "text"), pairs, longer).where(F.col("a") >= support).withColumn("size", F.size(F.split("phrase", " "))))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(totals.agg(F.sum("n")).first()[0] or 0) // TASK_WORDS))
+    phrases = cut(_counted_phrases(docs.select("lang", "text"), pairs, longer, tasks).where(F.col("a") >= support).withColumn("size", F.size(F.split("phrase", " "))))
     return words, phrases, totals
 
 
