@@ -31,16 +31,22 @@ def score_events(scores: DataFrame) -> DataFrame:
     return note.select(*BAR, "bar_id", "event_idx", F.col("note.event_id").alias("event_id"), onset.alias("onset_ticks"), ticks(F.col("note")).alias("duration_ticks"), F.col("note.duration").alias("written_duration"), F.col("note.dotted").alias("dotted"), F.coalesce("note.triplet", F.lit(False)).alias("triplet"), drums.alias("drums"), (F.size(drums) == 0).alias("is_rest"))
 
 
+def bar_events(events: DataFrame, *extra: str) -> DataFrame:
+    """(score_id, bar_number, ev): ev array<struct<event fields>> in order. One shuffle, by bar; none where events come so nested."""
+    if "ev" in events.columns:
+        return events.select(*BAR, "ev", *extra)
+    return events.groupBy(*BAR).agg(F.sort_array(F.collect_list(F.struct(*EVENT_FIELDS))).alias("ev"), *[F.first(c).alias(c) for c in extra])
+
+
 def bar_rows(events: DataFrame, *extra: str) -> DataFrame:
-    """One row a bar: ev array<struct<event fields>> in order, and the columns derived from it. One shuffle, by bar."""
-    grouped = events.groupBy(*BAR).agg(F.array_sort(F.collect_list(F.struct(*EVENT_FIELDS))).alias("ev"), *[F.first(c).alias(c) for c in extra])
-    return with_bar_columns(grouped)
+    """bar_events() and the columns derived from ev."""
+    return with_bar_columns(bar_events(events, *extra))
 
 
 def with_bar_columns(bars: DataFrame) -> DataFrame:
     """hits (sounding events), keys (distinct onset:drum pairs), smallest event, triplet groups and fill of each bar."""
     hits = F.filter("ev", lambda e: ~e["is_rest"])
-    keys = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda e: F.transform(e["drums"], lambda d: F.concat(F.lpad(e["onset_ticks"].cast("string"), 3, "0"), F.lit(":"), d))))))
+    keys = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda e: F.transform(e["drums"], lambda d: F.concat(F.lpad(e["onset_ticks"].cast("string"), 3, "0"), F.lit(":"), d))))))
     smallest = F.aggregate("ev", F.lit(None).cast(bars.schema["ev"].dataType.elementType), lambda s, e: F.when(s.isNull() | (e["duration_ticks"] < s["duration_ticks"]), e).otherwise(s))
     return bars.withColumn("hits", hits).withColumns({"keys": keys, "smallest": smallest, "triplet_groups": triplet_groups(F.col("ev")), "filled": F.aggregate("ev", F.lit(0), lambda s, e: s + e["duration_ticks"])})
 

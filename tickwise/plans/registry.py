@@ -31,8 +31,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return busy.join(same, ["score_id", "bar_number"], "left").select("score_id", "bar_number", "score", "rank", F.coalesce("n_bars", sounding).alias("copies"))
 
 
-def _of_events(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: fn(ad.events(spark, sf_dir))
+def _of_events(name: str, fn: Callable[[DataFrame], DataFrame], nested: bool = False) -> None:
+    QUERIES[name] = lambda spark, sf_dir: fn((ad.nested_events if nested else ad.events)(spark, sf_dir))
 
 
 
@@ -131,7 +131,7 @@ def an16_bar_ranges(spark, sf_dir):
 def an17_offline_answers(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("explain-bar", "count-bar", "practice-plan", "find-complex", "find-repeats", "overview")])
     asked = ad.requests(spark, sf_dir).withColumn("question", F.explode(kinds)).withColumn("request_id", F.concat(F.col("request_id").cast("string"), F.lit("/"), "question"))
-    return an.offline_answers(ad.events(spark, sf_dir), ad.scores(spark, sf_dir), asked)
+    return an.offline_answers(ad.nested_events(spark, sf_dir), ad.scores(spark, sf_dir), asked)
 
 
 def queries() -> dict[str, Query]:
