@@ -112,7 +112,7 @@ def an13_practice_plan(spark, sf_dir):
 
 @query
 def an14_insights(spark, sf_dir):
-    return an.insights(ad.events(spark, sf_dir), ad.scores(spark, sf_dir), ad.bars(spark, sf_dir))
+    return an.insights(ad.nested_events(spark, sf_dir), ad.scores(spark, sf_dir), ad.bars(spark, sf_dir))
 
 
 @query
