@@ -55,7 +55,7 @@ _of_events("sc10_describe_bars", sc.describe_bars)
 _of_events("an2_counting", an.counting)
 _of_events("an4_inspect_bars", an.inspect_bars)
 _of_events("an6_exact_repeats", an.exact_repeats)
-_of_events("an7_near_repeats", an.near_repeats)
+_of_events("an7_near_repeats", an.near_repeats, nested=True)
 _of_events("an8_corpus_patterns", an.corpus_patterns)
 _of_events("an8_corpus_near_patterns", lambda e: an.corpus_near_patterns(e))
 _of_events("an9_fill_candidates", lambda e: an.fill_candidates(e).drop("reasons"))
