@@ -100,7 +100,7 @@ def an11_complex_passages(spark, sf_dir):
 
 @query
 def an12_reasons(spark, sf_dir):
-    e = ad.events(spark, sf_dir)
+    e = ad.nested_events(spark, sf_dir)
     fills = an.fill_candidates(e).select("score_id", "bar_number", F.lit("fill").alias("kind"), "reasons")
     return fills.unionByName(an.complexity(e, ad.scores(spark, sf_dir)).select("score_id", "bar_number", F.lit("complexity").alias("kind"), "reasons"))
 
