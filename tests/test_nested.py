@@ -58,3 +58,14 @@ def test_one_shuffle_brings_bars_together(spark, tmp_path):
     # Each side of the pairs is made of that one shuffle, without one of tokens.
     assert plan(an.near_repeats(nested)) <= 2
     _same(nested.select("score_id", "bar_number", F.inline("ev")), ad.events(spark, str(tmp_path)))
+
+
+def test_corpus_near_patterns_meet_in_blocks(made):
+    """Blocks of all sizes give what one block does, and no more rows than patterns leave a pair of blocks."""
+    events, nested, _ = made
+    sets = {r.pattern: set(r["keys"]) for r in an._patterns(events).select("pattern", "keys").distinct().collect()}
+    like = {p: sorted((-int(100 * len(a & b) / len(a | b) + 0.5), q) for q, b in sets.items() if q != p) for p, a in sets.items()}
+    want = {p: (sum(-s >= 60 for s, _ in x), x[0][1], -x[0][0] / 100) for p, x in like.items() if -x[0][0] >= 60}
+    assert len(want) > 20
+    for block in (7, 1000):
+        assert {r.pattern: (r.n_near, r.nearest, r.similarity) for r in an.corpus_near_patterns(nested, 0.6, block).collect()} == want
