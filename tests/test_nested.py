@@ -69,3 +69,10 @@ def test_corpus_near_patterns_meet_in_blocks(made):
     assert len(want) > 20
     for block in (7, 1000):
         assert {r.pattern: (r.n_near, r.nearest, r.similarity) for r in an.corpus_near_patterns(nested, 0.6, block).collect()} == want
+
+
+def test_the_next_bar_to_check_is_the_one_ahead(spark):
+    """Bars 1 and 50 are equally far from 44 where one number of fifty is missing, whatever the order of rows."""
+    for numbers in (range(1, 51), range(50, 0, -1)):
+        bars = spark.createDataFrame([(1, n, n not in (1, 50)) for n in numbers if n != 20], "score_id long, bar_number int, reviewed boolean").coalesce(1)
+        assert [r.next_bar for r in sc.next_unreviewed(bars, spark.createDataFrame([(1, 44)], "score_id long, from_bar int")).collect()] == [50]

@@ -150,11 +150,14 @@ def review_summary(bars: DataFrame) -> DataFrame:
 
 
 def next_unreviewed(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """SC9: positions(score_id, from_bar) -> the next bar to check after it, wrapping round; null when all are checked."""
+    """SC9: positions(score_id, from_bar) -> the next bar to check after it, wrapping round; null when all are checked.
+
+    Where numbers are missing, a bar ahead and one from the start may be equally far: the one ahead comes first.
+    """
     count = bars.groupBy("score_id").agg(F.count(F.lit(1)).alias("n"))
     todo = bars.where("reviewed = false").select("score_id", "bar_number")
     away = F.pmod(F.col("bar_number") - F.col("from_bar") - 1, F.col("n"))
-    return positions.join(count, "score_id").join(todo, "score_id", "left").groupBy("score_id", "from_bar").agg(F.min_by("bar_number", away).alias("next_bar"))
+    return positions.join(count, "score_id").join(todo, "score_id", "left").groupBy("score_id", "from_bar").agg(F.min_by("bar_number", F.struct(away, F.col("bar_number") <= F.col("from_bar"), "bar_number")).alias("next_bar"))
 
 
 def describe_bars(events: DataFrame) -> DataFrame:
