@@ -5,6 +5,7 @@ Word edges are written as explicit ASCII guards, for Java's \\b takes accented l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -195,6 +196,11 @@ def _near(found: Column, i: Column) -> Column:
     return F.when(i >= 0, F.coalesce(F.get(found, i), F.lit(""))).otherwise("")
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is found once however often then looks at it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _blank(gap: Column) -> Column:
     return gap.rlike(r"^\s*$")
 
@@ -223,7 +229,7 @@ def claims_of(found: Column) -> Column:
 
 def number_claims(text: Column) -> Column:
     """TX11: claims_of() a text; texts without a digit are not taken apart."""
-    return F.when(text.rlike("[0-9]"), claims_of(tokens(text))).otherwise(F.array().cast("array<struct<start:int,number:double,unit:string>>"))
+    return F.when(text.rlike("[0-9]"), _bound(tokens(text), claims_of)).otherwise(F.array().cast("array<struct<start:int,number:double,unit:string>>"))
 
 
 def ungrounded_numbers(texts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -242,19 +248,19 @@ def names_of(found: Column, allowed: Column) -> Column:
 
     A sentence begins with the text, behind `.`, `!`, `?` or `:` whatever blanks follow, or on a new line.
     """
-    places = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: _near(found, i).rlike(_IS_NAME))
 
     def begins(i: Column) -> Column:
         gap = _near(found, i - 1)
         return (i == 0) | ((i == 1) & _blank(gap)) | gap.rlike(r"[.!?:]\s*$") | gap.rlike(r"\n\s*$")
 
-    return F.array_except(F.transform(F.filter(places, lambda i: ~begins(i)), lambda i: _near(found, i)), allowed)
+    return F.array_except(F.filter(found, lambda t, i: t.rlike(_IS_NAME) & ~begins(i)), allowed)
 
 
 def summary_flags(text: Column, display_name: Column) -> Column:
     """TX12: struct(judgement boolean, names array<string>): capitalised words inside a sentence that are not expected there."""
     allowed = F.concat(F.array(*[F.lit(w) for w in KNOWN_CAPITALS]), F.split(display_name, r"\s+"))
-    names = F.when(text.rlike("[A-Z][a-z]{2}"), names_of(tokens(text), allowed)).otherwise(F.array().cast("array<string>"))
+    # The tokens are bound to a name: written into what looks at each token, they would be found anew for each.
+    names = F.when(text.rlike("[A-Z][a-z]{2}"), _bound(tokens(text), lambda found: names_of(found, allowed))).otherwise(F.array().cast("array<string>"))
     return F.struct(text.rlike(JUDGEMENT).alias("judgement"), names.alias("names"))
 
 
