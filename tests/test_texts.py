@@ -140,3 +140,14 @@ def test_tokens_are_found_once(spark):
     for df in (flags, claims):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert flags.first().names == ["Ann", "Carl"]
+
+
+def test_tokens_of_a_summary_are_found_once(spark):
+    """Problems of a draft of many names: its tokens once for its names, and once for the numbers of the summary and of its items."""
+    items = "array<struct<text:string,fact_ids:array<string>>>"
+    drafts = spark.createDataFrame([(1, 1, "so Ann went on " * 30, [("made 3 attempts", ["f1"])], [], [])], f"draft_id long, student_id long, summary string, highlights {items}, next_steps {items}, caveats array<string>")
+    facts = spark.createDataFrame([(1, "f1", "Attempts recorded", 3.0)], "student_id long, fact_id string, text string, value double")
+    found = tx.check_summaries(drafts, facts, spark.createDataFrame([(1, "Elle")], "student_id long, display_name string"))
+    assert [r.problem for r in found.collect()] == ["names somebody"]
+    # Written into what looks at each token, they would be in the plan more often than steps look at them.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
