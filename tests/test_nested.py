@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickwise.operators import analytics as an
+from tickwise.operators import exercises as ex
 from tickwise.operators import scores as sc
 from tickwise.plans import adapters as ad
 
@@ -76,3 +77,19 @@ def test_the_next_bar_to_check_is_the_one_ahead(spark):
     for numbers in (range(1, 51), range(50, 0, -1)):
         bars = spark.createDataFrame([(1, n, n not in (1, 50)) for n in numbers if n != 20], "score_id long, bar_number int, reviewed boolean").coalesce(1)
         assert [r.next_bar for r in sc.next_unreviewed(bars, spark.createDataFrame([(1, 44)], "score_id long, from_bar int")).collect()] == [50]
+
+
+def test_fills_of_one_kind_meet_requests_by_their_first_ones(spark):
+    """Fills that score alike for every request are told apart by id only, so three of each kind meet the requests; the result is that of all."""
+    fills = [(f"f{i:03}", "fill", ("beginner", "intermediate")[i % 2], [["rock", "jazz"], ["jazz", "rock"], ["funk"]][i % 3], ("8th", "quarter")[i % 2], 60, 90 + i % 3, 120) for i in range(200)]
+    catalogue = spark.createDataFrame(fills, "id string, kind string, level string, styles array<string>, subdivision string, tempo_min int, tempo_target int, tempo_max int")
+    asked = [(i, 70 + 20 * i, "8th", ("beginner", "intermediate", "advanced")[i], ("rock", "funk")[i % 2]) for i in range(3)]
+    got = ex.recommend_fills(spark.createDataFrame(asked, "request_id int, tempo_bpm int, subdivision string, level string, style string"), catalogue)
+    near = {"beginner": ("beginner",), "intermediate": ("beginner", "intermediate"), "advanced": ("intermediate",)}
+    want = set()
+    for request, tempo, _, level, style in asked:
+        best = sorted((-(100 * (style in f[3]) + max(0, 50 - abs(f[6] - tempo))), f[0]) for f in fills if f[2] in near[level])[:3]
+        want |= {(request, i, -s, k) for k, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    kept = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "place#" in kept and kept.index("Join") < kept.index("place#")

@@ -101,7 +101,8 @@ def recommend_fills(requests: DataFrame, catalogue: DataFrame, top: int = 3) ->
     """EX5: requests(request_id, tempo_bpm, subdivision, level, style) -> fills of that level or one below, in tempo, no finer.
 
     Equal requests are answered once. They meet the fills on level, subdivision and whole beats per
-    minute: each request lists the levels and subdivisions that suit it, each fill the tempos it covers.
+    minute: each request lists the levels and subdivisions that suit it, each fill the tempos it covers. Fills
+    of one level, subdivision, tempo and the same styles score alike for every request, so that only the first ones of each such shelf meet any.
     """
     fields = ("tempo_bpm", "subdivision", "level", "style")
     each = requests.select(*fields).distinct()
@@ -109,7 +110,9 @@ def recommend_fills(requests: DataFrame, catalogue: DataFrame, top: int = 3) ->
     levels = F.array_compact(F.array(*[F.when((index == i) | (index == i + 1), name) for name, i in LEVELS.items()]))
     subdivisions = F.array_compact(F.array(*[F.when(depth >= d, name) for name, d in DEPTH.items()]))
     asked = each.withColumn("fill_level", F.explode(levels)).withColumn("fill_subdivision", F.explode(subdivisions)).withColumn("beats", F.floor("tempo_bpm").cast("int"))
-    fills = catalogue.where("kind = 'fill' and tempo_min <= tempo_max").select("id", F.col("level").alias("fill_level"), F.col("subdivision").alias("fill_subdivision"), "styles", "tempo_min", "tempo_target", "tempo_max", F.explode(F.sequence(F.floor("tempo_min").cast("int"), F.floor("tempo_max").cast("int"))).alias("beats"))
+    shelf = F.row_number().over(Window.partitionBy("level", "subdivision", F.sort_array(F.array_distinct("styles")), "tempo_min", "tempo_target", "tempo_max").orderBy("id"))
+    front = catalogue.where("kind = 'fill' and tempo_min <= tempo_max").withColumn("place", shelf).where(F.col("place") <= top)
+    fills = front.select("id", F.col("level").alias("fill_level"), F.col("subdivision").alias("fill_subdivision"), "styles", "tempo_min", "tempo_target", "tempo_max", F.explode(F.sequence(F.floor("tempo_min").cast("int"), F.floor("tempo_max").cast("int"))).alias("beats"))
     rows = asked.join(fills, ["fill_level", "fill_subdivision", "beats"]).where(F.col("tempo_bpm").between(F.col("tempo_min"), F.col("tempo_max")))
     score = F.when(F.array_contains("styles", F.col("style")), 100).otherwise(0) + F.greatest(F.lit(0), 50 - F.abs(F.col("tempo_target") - F.col("tempo_bpm")))
     best = rows.select(*fields, "id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy(*fields).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top)
