@@ -10,7 +10,7 @@ import pytest
 from tickwise.functions.notation import DRUMS, DURATION_TICKS
 from tickwise.operators.subset import label_issues
 from tickwise.plans import registry_intake as ri
-from tickwise.sources.intake import parse_labels, parse_scores
+from tickwise.sources.intake import checked_scores, parse_labels, parse_scores
 
 DIR = "/root/testdata/sf0.001"
 have = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
@@ -179,3 +179,14 @@ def test_score_query_equals_plain_checks(spark):
     want = sorted((p, code, *x) for p, t in raw.items() for code, found in [problems(t)] for x in found)
     got = sorted((r.path, r.code, r.place, r.problem) for r in ri.io3_read_scores(spark, DIR).where("code <> 'read'").collect())
     assert len({c for _, c, *_ in want}) == 3 and got == want
+
+
+def test_a_note_is_opened_once_and_texts_in_one_pass(spark):
+    """What is seen in a note is not written anew into each of its checks, and the report of all scores opens the texts once."""
+    import inspect
+
+    docs = spark.createDataFrame([("p", '{"bars": [{"notes": [{"duration": "8", "dotted": false, "drums": ["kick", 5]}]}]}')], "path string, raw string")
+    rows = checked_scores(docs)
+    assert [(x.place, x.problem) for x in rows.first()["_found"]] == [("bar 1 note 1", "unknown drum")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+    assert "parse_scores" not in inspect.getsource(ri.io3_read_scores)

@@ -124,8 +124,12 @@ def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def io3_read_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every saved score: (path, code, place, problem) of those refused, and a row with the number of bars of each that was read."""
-    good, bad = intake.parse_scores(raw_scores(spark, sf_dir))
-    return bad.unionByName(good.select("path", F.lit("read").alias("code"), F.concat(F.size("bars").cast("string"), F.lit(" bars")).alias("place"), F.concat_ws(" ", F.lit("score"), F.col("title"), F.col("tempo_bpm").cast("string")).alias("problem")))
+    rows = intake.checked_scores(raw_scores(spark, sf_dir))
+    # Both kinds of rows come from one pass, as opening the texts is what takes the time.
+    read = F.array(F.struct(F.concat(F.size("bars").cast("string"), F.lit(" bars")).alias("place"), F.concat_ws(" ", F.lit("score"), F.col("title"), F.col("tempo_bpm").cast("string")).alias("problem")))
+    valid = F.size("_found") == 0
+    code = F.when(valid, "read").otherwise(F.coalesce("_code", F.lit("invalid")))
+    return rows.select("path", code.alias("code"), F.explode(F.when(valid, read).otherwise(F.col("_found"))).alias("x")).select("path", "code", "x.place", "x.problem")
 
 
 def _practice(spark: SparkSession, sf_dir: str) -> str:

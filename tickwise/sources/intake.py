@@ -137,26 +137,39 @@ def _none() -> Column:
     return F.array().cast("array<struct<place:string,problem:string>>")
 
 
-def _note_problems(n: Column, where: Column, new: Column) -> tuple[Column, Column]:
-    """(problems of a note's fields, whether its length is known); new says that an absent id is filled in."""
-    drums = as_list(field(n, "drums"))
-    names = F.transform(drums, lambda d: F.coalesce(text_of(d), F.lit("?")))
-    duration, dotted, triplet = text_of(field(n, "duration")), flag_of(field(n, "dotted")), field(n, "triplet")
+def _opened_notes(notes: Column) -> Column:
+    """Each note's fields as they are typed, found once: array<struct<there, fields, has_id, id, duration, dotted, has_triplet, triplet, drums>>.
+
+    drums are the texts of a list (null for what is none), null where they are no list.
+    """
+    raw = F.transform(notes, lambda n: F.struct(n.isNotNull().alias("there"), F.map_keys(n).alias("fields"), *[field(n, f).alias(f) for f in ("eventId", "duration", "dotted", "triplet")], as_list(field(n, "drums")).alias("drums")))
+    return F.transform(raw, lambda n: F.struct(n["there"].alias("there"), n["fields"].alias("fields"), n["eventId"].isNotNull().alias("has_id"), text_of(n["eventId"]).alias("id"), text_of(n["duration"]).alias("duration"), flag_of(n["dotted"]).alias("dotted"), n["triplet"].isNotNull().alias("has_triplet"), flag_of(n["triplet"]).alias("triplet"), F.transform(n["drums"], text_of).alias("drums")))
+
+
+def _note_problems(notes: Column, place: Column, new: Column) -> Column:
+    """array<struct<problems, ok>> of _opened_notes(): problems of a note's fields, whether its length is known; new says that an absent id is filled in."""
     shortest = next(iter(DURATION_TICKS))
-    wrong = [
-        F.when(_not(duration.isin(*DURATION_TICKS)), _row(where, "unknown duration")),
-        F.when(dotted.isNull(), _row(where, "dotted is not true or false")),
-        F.when(triplet.isNotNull() & flag_of(triplet).isNull(), _row(where, "triplet is not true or false")),
-        F.when(drums.isNull(), _row(where, "drums is not a list")),
-        F.when(F.size(F.array_except(names, strings(DRUMS))) > 0, _row(where, "unknown drum")),
-        F.when(F.size(F.array_distinct(names)) < F.size(names), _row(where, "a drum repeats")),
-        F.when(drums.isNotNull() & dotted & (duration == shortest), _row(where, "a dotted 32nd is not supported")),
-        F.when(drums.isNotNull() & dotted & flag_of(triplet), _row(where, "a dotted triplet is not supported")),
-    ]
-    bad_id = F.when(_not(text_of(field(n, "eventId")).rlike(_ID)) & ~(new & field(n, "eventId").isNull()), _row(where, "event id is not valid"))
-    found = F.concat(_unknown(n, "note", where), _problems(bad_id, *wrong))
-    ok = n.isNotNull() & (F.size(_problems(*wrong)) == 0)
-    return F.when(n.isNull(), F.array(_row(where, "is not a note"))).otherwise(found), F.coalesce(ok, F.lit(False))
+
+    def checked(n: Column, j: Column) -> Column:
+        where = F.concat(place, F.lit(" note "), (j + 1).cast("string"))
+        duration, dotted, triplet, drums = n["duration"], n["dotted"], n["triplet"], n["drums"]
+        names = F.transform(drums, lambda d: F.coalesce(d, F.lit("?")))
+        wrong = _problems(
+            F.when(_not(duration.isin(*DURATION_TICKS)), _row(where, "unknown duration")),
+            F.when(dotted.isNull(), _row(where, "dotted is not true or false")),
+            F.when(n["has_triplet"] & triplet.isNull(), _row(where, "triplet is not true or false")),
+            F.when(drums.isNull(), _row(where, "drums is not a list")),
+            F.when(F.size(F.array_except(names, strings(DRUMS))) > 0, _row(where, "unknown drum")),
+            F.when(F.size(F.array_distinct(names)) < F.size(names), _row(where, "a drum repeats")),
+            F.when(drums.isNotNull() & dotted & (duration == shortest), _row(where, "a dotted 32nd is not supported")),
+            F.when(drums.isNotNull() & dotted & triplet, _row(where, "a dotted triplet is not supported")),
+        )
+        bad_id = _problems(F.when(_not(n["id"].rlike(_ID)) & ~(new & ~n["has_id"]), _row(where, "event id is not valid")))
+        unknown = F.transform(F.array_sort(F.array_except(n["fields"], strings(FIELDS["note"]))), lambda k: _row(where, F.concat(F.lit("unknown field "), k)))
+        return F.when(n["there"], F.struct(unknown.alias("head"), bad_id.alias("id"), wrong.alias("wrong"))).otherwise(F.struct(_none().alias("head"), F.array(_row(where, "is not a note")).alias("id"), F.array(_row(where, "")).alias("wrong")))
+
+    whole = lambda n, x: F.struct(F.when(n["there"], F.concat(x["head"], x["id"], x["wrong"])).otherwise(x["id"]).alias("problems"), (F.size(x["wrong"]) == 0).alias("ok"))
+    return F.zip_with(notes, F.transform(notes, checked), whole)
 
 
 def _bar_problems(x: Column, i: Column, new: Column) -> Column:
@@ -174,15 +187,16 @@ def _bar_problems(x: Column, i: Column, new: Column) -> Column:
     provenance = F.when(new & field(b, "provenance").isNull(), _none()).when(p.isNull(), F.array(_row(where, "provenance is missing"))).otherwise(of_provenance)
     bad_id = F.when(_not(text_of(field(b, "barId")).rlike(_ID)) & ~(new & field(b, "barId").isNull()), _row(where, "bar id is not valid"))
 
-    def note(n: Column, j: Column) -> Column:
-        problems, ok = _note_problems(n, F.concat(where, F.lit(" note "), (j + 1).cast("string")), new)
-        return F.struct(problems.alias("problems"), ok.alias("ok"))
+    # Bound to a name, as the checks of the notes are looked at twice.
+    each = _note_problems(x["notes"], where, new)
+    notes = F.get(F.transform(F.array(F.struct(each.alias("each"))), lambda y: F.struct(F.flatten(F.transform(y["each"], lambda z: z["problems"])).alias("problems"), F.coalesce(~F.exists(y["each"], lambda z: ~z["ok"]), F.lit(False)).alias("ok"))), F.lit(0))
 
-    each = F.transform(x["notes"], note)
-    tail = F.when(x["notes"].isNull(), F.array(_row(where, "notes is not a list"))).otherwise(F.flatten(F.transform(each, lambda y: y["problems"])))
-    whole = F.concat(_unknown(b, "bar", where), _problems(bad_id), provenance, tail)
-    good = F.coalesce(~F.exists(each, lambda y: ~y["ok"]), F.lit(False))
-    return F.when(b.isNull(), F.struct(F.array(_row(where, "is not a bar")).alias("problems"), F.lit(False).alias("ok"))).otherwise(F.struct(whole.alias("problems"), good.alias("ok")))
+    def of_bar(notes: Column) -> Column:
+        tail = F.when(x["notes"].isNull(), F.array(_row(where, "notes is not a list"))).otherwise(notes["problems"])
+        whole = F.concat(_unknown(b, "bar", where), _problems(bad_id), provenance, tail)
+        return F.when(b.isNull(), F.struct(F.array(_row(where, "is not a bar")).alias("problems"), F.lit(False).alias("ok"))).otherwise(F.struct(whole.alias("problems"), notes["ok"].alias("ok")))
+
+    return F.get(F.transform(F.array(notes), of_bar), F.lit(0))
 
 
 def _fresh(key: Column, *at: Column) -> Column:
@@ -198,7 +212,8 @@ def _typed_bar(x: Column, i: Column, key: Column, new: Column) -> Column:
     manual = F.struct(F.lit("manual").alias("source"), F.lit(True).alias("reviewed"), none.alias("warnings"), F.lit(None).cast("string").alias("model"))
 
     def note(n: Column, j: Column) -> Column:
-        return F.struct(own(n, "eventId", _fresh(key, i, j)).alias("event_id"), text_of(field(n, "duration")).alias("duration"), F.coalesce(flag_of(field(n, "dotted")), F.lit(False)).alias("dotted"), F.coalesce(flag_of(field(n, "triplet")), F.lit(False)).alias("triplet"), F.coalesce(names_of(field(n, "drums")), none).alias("drums"))
+        named = F.when(~F.exists(n["drums"], lambda d: d.isNull()), n["drums"])
+        return F.struct(F.when(new & ~n["has_id"], _fresh(key, i, j)).otherwise(n["id"]).alias("event_id"), n["duration"].alias("duration"), F.coalesce(n["dotted"], F.lit(False)).alias("dotted"), F.coalesce(n["triplet"], F.lit(False)).alias("triplet"), F.coalesce(named, none).alias("drums"))
 
     provenance = F.when(new & field(x["b"], "provenance").isNull(), manual).otherwise(given)
     return F.struct(own(x["b"], "barId", _fresh(key, i)).alias("bar_id"), provenance.alias("provenance"), F.transform(x["notes"], note).alias("notes"))
@@ -216,16 +231,8 @@ def _timing(bar: Column, i: Column, capacity: Column) -> Column:
     return _problems(F.when(loose, _row(where, "a triplet note is outside a group of three")), F.when(total > 2 * capacity, _row(where, "notes overfill the bar")))
 
 
-def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataFrame]:
-    """IO3, SC5: docs(path, raw) -> (scores, rejected).
-
-    scores(path, schema_version, score_id, revision, title, tempo_bpm, meter, bars) are the valid documents. A
-    document without a version but with a list of bars is migrated: a new score of title and tempo by default,
-    in 4/4, whose bars and notes get ids and provenance where these are absent (the ids come from the path and
-    place, so that a second run gives them again). rejected(path, code, place, problem) has a row for each
-    problem of each other document; code is unreadable (no JSON object, or neither a version nor bars),
-    future_version (left as it is) or invalid. Null texts are unreadable; nothing is dropped without a row.
-    """
+def checked_scores(docs: DataFrame, *, version: int = 1) -> DataFrame:
+    """Each document of parse_scores() once: path, _code, the fields of a score, and _found array<struct<place, problem>>, empty for a valid one."""
     m, new, path = F.col("_m"), F.col("_new"), F.col("path")
     number, listed = whole_of(field(m, "schemaVersion")), as_list(field(m, "bars"))
     meter = as_map(field(m, "meter"))
@@ -233,7 +240,7 @@ def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataF
     rows = rows.withColumn("_new", m.isNotNull() & field(m, "schemaVersion").isNull())
     rows = rows.withColumn("_code", F.when(m.isNull() | (new & listed.isNull()), "unreadable").when(number > version, "future_version"))
     # Every object is opened once: the bars, their provenance and their notes as maps.
-    rows = rows.withColumn("_bars", F.transform(F.transform(listed, as_map), lambda b: F.struct(b.alias("b"), as_map(field(b, "provenance")).alias("p"), F.transform(as_list(field(b, "notes")), as_map).alias("notes"))))
+    rows = rows.withColumn("_bars", F.transform(F.transform(listed, as_map), lambda b: F.struct(b.alias("b"), as_map(field(b, "provenance")).alias("p"), _opened_notes(F.transform(as_list(field(b, "notes")), as_map)).alias("notes"))))
     rows = settled(rows)
     default = lambda value, given: F.when(new, F.lit(value)).otherwise(given)
     rows = rows.withColumns({
@@ -261,6 +268,20 @@ def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataF
     found = F.concat(of_score, F.when(F.coalesce(F.size("bars").between(1, MAX_BARS), F.lit(False)), of_bars).otherwise(_none()))
     whole = F.when(F.col("_code") == "unreadable", F.array(_row(F.lit("document"), "not a score"))).when(F.col("_code") == "future_version", F.array(_row(F.lit("document"), "newer schema version"))).otherwise(found)
     rows = settled(rows.withColumn("_found", whole).drop("_m", "_bars", "_checks", "_ids"))
+    return rows
+
+
+def parse_scores(docs: DataFrame, *, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """IO3, SC5: docs(path, raw) -> (scores, rejected).
+
+    scores(path, schema_version, score_id, revision, title, tempo_bpm, meter, bars) are the valid documents. A
+    document without a version but with a list of bars is migrated: a new score of title and tempo by default,
+    in 4/4, whose bars and notes get ids and provenance where these are absent (the ids come from the path and
+    place, so that a second run gives them again). rejected(path, code, place, problem) has a row for each
+    problem of each other document; code is unreadable (no JSON object, or neither a version nor bars),
+    future_version (left as it is) or invalid. Null texts are unreadable; nothing is dropped without a row.
+    """
+    rows = checked_scores(docs, version=version)
     good = rows.where(F.size("_found") == 0).select("path", "schema_version", "score_id", "revision", "title", "tempo_bpm", "meter", "bars")
     bad = rows.where(F.size("_found") > 0).select("path", F.coalesce("_code", F.lit("invalid")).alias("code"), F.explode("_found").alias("x")).select("path", "code", "x.place", "x.problem")
     return good, bad
